@@ -176,6 +176,7 @@ def incoming_states(tables: DataFrame, keys: Sequence[str]) -> DataFrame:
                 if abs(v - last) >= r["limit"]:
                     last = result
                     break
-        return rows[ids].assign(_incoming=pd.array(incoming, dtype="Float64"))
+        # object columns: pandas' own string columns may not convert to one Arrow array
+        return rows[ids].astype(object).assign(_incoming=pd.array(incoming, dtype="Float64"))
 
     return tables.groupBy(*keys).applyInPandas(chain, schema)

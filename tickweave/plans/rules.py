@@ -92,10 +92,12 @@ def _stamp(rule: Rule, value: Column, window_start: Column, window_end: Column,
            digits: int | None) -> list[Column]:
     """The columns of a derived event, without the grouping keys."""
     fire = window_end if rule.fire_offset is None else window_start + F.lit(rule.fire_offset)
+    # a rule grouped by measure keeps the measure it was grouped by
+    measure = [] if "measure_name" in rule.keys else [F.lit(rule.head).alias("measure_name")]
     return [
         F.lit(rule.head).alias("event_type"),
         fire.cast("bigint").alias("tick"),
-        F.lit(rule.head).alias("measure_name"),
+        *measure,
         (value if digits is None else F.round(value, digits)).alias("value"),
         F.lit(rule.head).alias("triggered_by"),
         F.lit(rule.label).cast("string").alias("rule_label"),
@@ -104,10 +106,6 @@ def _stamp(rule: Rule, value: Column, window_start: Column, window_end: Column,
     ]
 
 
-def _head_value(rule: Rule) -> Column:
-    return F.col(rule.aggs[0].out) if rule.aggs else F.lit(DEFAULT_VALUE)
-
-
 def _own_aggs(rule: Rule) -> list[Agg]:
     mean = [Agg(MEAN, "avg", "value")] if rule.having else []
     return [*rule.aggs, *mean]
@@ -177,7 +175,9 @@ def row_rule(
     parts = []
     for source in rule.sources:
         rows = source_rows(events, source)
-        aggs = _own_aggs(rule)
+        # private names: an aggregate may be called like a column of the readings
+        private = [Agg(f"_agg{i}", a.func, a.input) for i, a in enumerate(rule.aggs)]
+        aggs = [*private, *([Agg(MEAN)] if rule.having else [])]
         if rule.window == "sliding":
             out = sliding_time(rows, rule.size, aggs, rule.keys, start)
             first, end = F.col("tick") - rule.size + 1, F.col("tick") + 1
@@ -192,18 +192,18 @@ def row_rule(
             first, end = F.col("tick"), F.col("tick") + 1
         else:
             # the constraint is on the reading itself, and the first aggregate is its value
-            mean = F.col("value")
-            out = rows.withColumn(MEAN, mean)
-            for a in rule.aggs:
+            out = rows.withColumn(MEAN, F.col("value"))
+            for a in private:
                 out = out.withColumn(a.out, F.lit(1.0) if a.func == "count" else F.col(a.input))
             first, end = F.col("tick"), F.col("tick") + 1
         if rule.having:
             out = out.filter(_mean_holds(F.col(MEAN), rule.having))
+        value = F.col(private[0].out) if private else F.lit(DEFAULT_VALUE)
         aggregates = F.map_from_arrays(
-            F.array(*[F.lit(a.out) for a in rule.aggs]), F.array(*[F.col(a.out) for a in rule.aggs])
+            F.array(*[F.lit(a.out) for a in rule.aggs]), F.array(*[F.col(a.out) for a in private])
         ) if rule.aggs else F.lit(None).cast("map<string,double>")
         parts.append(out.select(
-            *rule.keys, *_stamp(rule, _head_value(rule), first, end, digits),
+            *rule.keys, *_stamp(rule, value, first, end, digits),
             aggregates.alias("aggregates"),
         ))
     return reduce(DataFrame.unionByName, parts)

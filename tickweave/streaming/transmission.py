@@ -50,7 +50,7 @@ class _InOrder(StatefulProcessor):
             ends = sorted({r[0] for r in fresh})
             # one timer for the oldest reading; it sets the next one when it fires
             self.handle.registerTimer(int(ends[0]) + 1)
-        yield pd.DataFrame(columns=self.columns())
+        yield pd.DataFrame(columns=self.columns(), dtype=object)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
@@ -63,10 +63,8 @@ class _InOrder(StatefulProcessor):
         else:
             self.held.clear()
         out = self.fold(ready)
-        frame = pd.DataFrame(out, columns=self.columns()[len(self.key_names):])
-        for i, name in enumerate(self.key_names):
-            frame.insert(i, name, [key[i]] * len(frame))
-        yield frame
+        # object columns: pandas' own string columns may not convert to one Arrow array
+        yield pd.DataFrame([(*key, *r) for r in out], columns=self.columns(), dtype=object)
 
     def close(self) -> None:
         pass
