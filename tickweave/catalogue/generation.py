@@ -126,7 +126,7 @@ def _bound(spark, sf_dir):
     return bind_profiles(bindings, prepare_profiles(specs.profiles(spark, sf_dir)))
 
 
-_HOURS = 720
+_HOURS = 96
 
 
 @query(with_readings(f"""
@@ -144,7 +144,7 @@ _HOURS = 720
                   THEN greatest(1, CAST(floor(coalesce(interval_ms, 0) / 3600000) AS BIGINT)) ELSE 1 END)) AS tick
     FROM bindings b JOIN profiles p USING (profile) WHERE b.zone_id = p.zone_id)))"""))
 def gen_profile_readings(spark, sf_dir):
-    """From devices to readings through every step, in ticks of one hour over 30 days."""
+    """From devices to readings through every step, in ticks of one hour over four days."""
     out = generate_readings(_bound(spark, sf_dir), 0, _HOURS, 3_600_000, SEED)
     return out.select("device_id", "measure_name", "tick", "tier", r4("value").alias("value"))
 

@@ -149,11 +149,8 @@ def dq_unknown_measures(spark, sf_dir):
 def dq_unknown_event_types(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     declared = e.groupBy("event_type").agg(F.max("value").alias("m")).filter("m > 340")
-    # the event types of each user's stream; distinct first, so a busy user is a few values
-    streams = e.select("user_id", "event_type").distinct().groupBy("user_id").agg(
-        F.collect_list("event_type").alias("event_types")
-    ).withColumn("name", F.concat(F.lit("user_"), F.col("user_id")))
-    return q.unknown_event_types(streams, declared, "unknown_stream_event_type", q.ERROR)
+    streams = e.select(F.concat(F.lit("user_"), F.col("user_id")).alias("name"), "event_type")
+    return q.unknown_event_types(streams, declared, "unknown_stream_event_type", q.ERROR, types="event_type")
 
 
 def _dirty_arrivals(spark, sf_dir):

@@ -31,6 +31,7 @@ class Agg:
 class State:
     name: str
     from_rows: Column                      # aggregate over readings
+    of_row: Column                         # the state of a single reading
     merge: Callable[[Column], Column]      # aggregate over states
     combine: Callable[[Column, Column], Column]   # two states of one row
 
@@ -51,11 +52,11 @@ def states_for(aggs: Sequence[Agg], tick: str = "tick", tie: str = "event_id",
         v = F.col(agg.input) if where is None else F.when(where, F.col(agg.input))
         latest = F.when(v.isNotNull(), F.struct(F.col(tick).alias("t"), F.col(tie).alias("i"), v.alias("v")))
         build = {
-            "sum": lambda n: State(n, F.sum(v), F.sum, _add),
-            "count": lambda n: State(n, F.count(v), F.sum, _add),
-            "min": lambda n: State(n, F.min(v), F.min, F.least),
-            "max": lambda n: State(n, F.max(v), F.max, F.greatest),
-            "last": lambda n: State(n, F.max(latest), F.max, F.greatest),
+            "sum": lambda n: State(n, F.sum(v), v, F.sum, _add),
+            "count": lambda n: State(n, F.count(v), v.isNotNull().cast("bigint"), F.sum, _add),
+            "min": lambda n: State(n, F.min(v), v, F.min, F.least),
+            "max": lambda n: State(n, F.max(v), v, F.max, F.greatest),
+            "last": lambda n: State(n, F.max(latest), latest, F.max, F.greatest),
         }
         for kind in needed[agg.func]:
             name = f"_{kind}_{agg.input}"

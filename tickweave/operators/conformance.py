@@ -1,7 +1,6 @@
 """Observed statistics of readings against the declared tier mixture."""
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -53,25 +52,29 @@ def tier_moments(tiers: DataFrame, moments: str = "declared") -> DataFrame:
 def mixture_stats(tiers: DataFrame, keys: Sequence[str] = GROUP, moments: str = "declared") -> DataFrame:
     """Mean, standard deviation and expected transition rate of each declared mixture.
 
-    A mixture has at most a handful of tiers, so they are gathered per key and the
-    deviation is taken around the mean in a second step. The one-pass form would
-    need probabilities that sum to exactly one.
+    The three tiers become columns, as in a profile; a tier listed twice counts once. The
+    deviation is taken around the mean in a second step: the one-pass form would need
+    probabilities that sum to exactly one.
     """
-    each = F.struct("prob", "mean", "std", "tier")
-    gathered = tier_moments(tiers, moments).groupBy(*keys).agg(
-        F.array_sort(F.collect_list(each)).alias("_t")
-    )
-    total = lambda f: F.aggregate("_t", F.lit(0.0), lambda acc, t: acc + f(t))
+    each = F.struct("prob", "mean", "std")
+    order = -F.col("tier_order") if "tier_order" in tiers.columns else F.lit(0)
+    wide = tier_moments(tiers, moments).groupBy(*keys).agg(*[
+        F.max(F.when(F.col("tier") == t, F.struct(order.alias("o"), each.alias("t")))).getField("t").alias(t)
+        for t in TIER_NAMES
+    ])
+    total = lambda f: sum((F.coalesce(f(F.col(t)), F.lit(0.0)) for t in TIER_NAMES), F.lit(0.0))
+    off = lambda t: t["mean"] - F.col("declared_mean")
+    declared = F.map_from_entries(F.filter(
+        F.array(*[F.struct(F.lit(t).alias("tier"), F.col(f"{t}.prob").alias("prob")) for t in TIER_NAMES]),
+        lambda e: e["prob"].isNotNull(),
+    ))
     return (
-        gathered.withColumn("declared_mean", total(lambda t: t["prob"] * t["mean"]))
-        .withColumn("_var", total(lambda t: t["prob"] * (
-            t["std"] * t["std"]
-            + (t["mean"] - F.col("declared_mean")) * (t["mean"] - F.col("declared_mean")))))
-        .withColumn("_same", total(lambda t: t["prob"] * t["prob"]))
+        wide.withColumn("declared_mean", total(lambda t: t["prob"] * t["mean"]))
+        .withColumn("_var", total(lambda t: t["prob"] * (t["std"] * t["std"] + off(t) * off(t))))
         .select(
             *keys, "declared_mean", F.sqrt("_var").alias("declared_std"),
-            (100.0 * (1.0 - F.col("_same"))).alias("expected_transition_rate"),
-            F.map_from_entries(F.transform("_t", lambda t: F.struct(t["tier"], t["prob"]))).alias("_declared"),
+            (100.0 * (1.0 - total(lambda t: t["prob"] * t["prob"]))).alias("expected_transition_rate"),
+            declared.alias("_declared"),
         )
     )
 

@@ -8,7 +8,7 @@ large tables; counts are combined map side before the shuffle.
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 ERROR, WARN = "ERROR", "WARN"
 PROBABILITY_TOLERANCE = 0.001        # fixed value
@@ -170,8 +170,13 @@ def unknown_measures(declared: DataFrame, measures: DataFrame, check: str, sever
 
 def unknown_event_types(uses: DataFrame, event_types: DataFrame, check: str, severity: str,
                         user: str = "name", types: str = "event_types") -> DataFrame:
-    """Streams (ERROR) or rules (WARN) that refer to undeclared event types."""
-    used = uses.select(F.col(user).alias("_user"), F.explode(types).alias("event_type")).distinct()
+    """Streams (ERROR) or rules (WARN) that refer to undeclared event types.
+
+    ``types`` is an array of event types, or one event type per row.
+    """
+    is_array = isinstance(uses.schema[types].dataType, T.ArrayType)
+    one = F.explode(types) if is_array else F.col(types)
+    used = uses.select(F.col(user).alias("_user"), one.alias("event_type")).distinct()
     unknown = used.join(event_types.select("event_type"), "event_type", "left_anti")
     return violations(unknown, check, severity, F.col("_user"), F.col("event_type"))
 

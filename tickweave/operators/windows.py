@@ -1,9 +1,10 @@
 """Batch windows over ticks: tumbling, sliding by time, landmark, co-occurrence.
 
-Readings are first combined per (key, tick) or (key, window), map side first, so
-a hot device shrinks before it is shuffled. Sliding and landmark windows then
-run over the per-tick series cut into blocks of ticks; a block is a bounded
-amount of work whatever the number of readings, devices or days.
+Tumbling windows combine on the map side, so a hot device shrinks before it is
+shuffled. Sliding and landmark windows are running aggregates inside blocks of
+ticks. If a block or key holds too many readings for one task (a cheap count
+tells), readings are first combined per (key, tick), which bounds a block by
+its ticks; otherwise that step and the join back to the readings are saved.
 """
 
 from collections.abc import Sequence
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tickweave.operators.aggregates import Agg, State, result, states_for
 
 LANDMARK_BLOCK = 4096
+MAX_ROWS_PER_TASK = 2_000_000
 _RUNNING = (Window.unboundedPreceding, Window.currentRow)
 
 
@@ -56,51 +58,65 @@ def tick_series(df: DataFrame, states: Sequence[State], keys: Sequence[str],
     return df.groupBy(*keys, tick).agg(*[s.from_rows.alias(s.name) for s in states], *extra)
 
 
-def _sliding_states(series: DataFrame, size: int, states: Sequence[State],
+def _row_states(df: DataFrame, states: Sequence[State]) -> DataFrame:
+    """The states of single readings, beside all columns of the reading."""
+    return df.withColumns({s.name: s.of_row for s in states})
+
+
+def _is_heavy(df: DataFrame, by: Sequence[Column], max_rows: int) -> bool:
+    """Whether any group has more than ``max_rows`` readings: one narrow, map-side-combined count."""
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_rows)
+    return not sizes.isEmpty()
+
+
+def _sliding_states(rows: DataFrame, size: int, states: Sequence[State],
                     keys: Sequence[str], tick: str) -> DataFrame:
-    """Merge the states of (tick - size, tick] for every row of a per-tick series.
+    """Merge the states of (tick - size, tick] for every row.
 
     Ticks are cut into blocks as long as the window, so a window is a prefix of its
     own block plus a suffix of the block before. Both are running aggregates: the
     cost per row does not depend on the window length, and nothing is subtracted.
     Every row is placed in its own block and, as history, in the next one; one
-    shuffle brings both together.
+    shuffle brings both together. History rows carry the states only.
     """
     names = [s.name for s in states]
+    payload = [c for c in rows.columns if c not in (*keys, tick, *names)]
     block = F.floor(F.col(tick) / F.lit(size)).cast("bigint")
-    placed = series.withColumn("_own", F.explode(F.array(F.lit(True), F.lit(False))))
-    placed = placed.withColumn("_block", block + F.when(F.col("_own"), 0).otherwise(1))
-    placed = placed.repartition(*keys, "_block")
+    placed = rows.withColumn("_own", F.explode(F.array(F.lit(True), F.lit(False)))).select(
+        *keys, tick, "_own", *names,
+        (block + F.when(F.col("_own"), 0).otherwise(1)).alias("_block"),
+        *[F.when(F.col("_own"), F.col(c)).alias(c) for c in payload],
+    ).repartition(*keys, "_block")
 
     # history: suffix of the previous block from this row on; it takes effect when the row
     # before it has left the window
     backwards = Window.partitionBy(*keys, "_block", "_own").orderBy(F.col(tick).desc())
-    suffix = backwards.rowsBetween(*_RUNNING)
+    suffix = backwards.rangeBetween(*_RUNNING)
     left_at = F.lead(tick).over(backwards) + size
     placed = placed.select(
-        *keys, tick, "_block", "_own",
-        *[c for c in series.columns if c not in (*keys, tick, *names)],
-        *names,
+        *keys, tick, "_block", "_own", *payload, *names,
         F.struct(
             F.max(tick).over(suffix).alias("until"),
             *[s.merge(F.col(s.name)).over(suffix).alias(s.name) for s in states],
         ).alias("_suffix"),
         F.coalesce(left_at, F.col("_block") * size).alias("_from"),
     )
+    # peers (readings of one tick) see each other; history that takes effect at a tick
+    # comes before its readings
     forwards = (
         Window.partitionBy(*keys, "_block")
         .orderBy(F.when(F.col("_own"), F.col(tick)).otherwise(F.col("_from")), "_own", tick)
-        .rowsBetween(*_RUNNING)
+        .rangeBetween(*_RUNNING)
     )
     own = lambda c: F.when(F.col("_own"), c)
     merged = placed.select(
-        "*",
+        *keys, tick, "_own", *payload,
         *[s.merge(own(F.col(s.name))).over(forwards).alias(f"_p{s.name}") for s in states],
         F.last(F.when(~F.col("_own"), F.col("_suffix")), ignorenulls=True).over(forwards).alias("_h"),
     ).filter(F.col("_own"))
     alive = F.col("_h.until") + size > F.col(tick)
     return merged.select(
-        *[c for c in series.columns if c not in names],
+        *keys, tick, *payload,
         *[s.combine(F.col(f"_p{s.name}"), F.when(alive, F.col(f"_h.{s.name}"))).alias(s.name)
           for s in states],
     )
@@ -115,6 +131,7 @@ def sliding_time(
     emit: str = "reading",
     tick: str = "tick",
     tie: str = "event_id",
+    max_rows: int = MAX_ROWS_PER_TASK,
 ) -> DataFrame:
     """Aggregates over (tick - size, tick], from tick start + size on.
 
@@ -122,6 +139,11 @@ def sliding_time(
     repeats it on every reading of that tick.
     """
     states = states_for(aggs, tick, tie)
+    block = F.floor(F.col(tick) / F.lit(size))
+    if emit == "reading" and not _is_heavy(df, [*keys, block], max_rows):
+        out = _sliding_states(_row_states(df, states), size, states, keys, tick)
+        out = out.filter(F.col(tick) - start >= size)
+        return out.select(*df.columns, *[result(a) for a in aggs])
     series = _sliding_states(tick_series(df, states, keys, tick), size, states, keys, tick)
     series = series.filter(F.col(tick) - start >= size)
     return _emit(df, series, aggs, keys, tick, emit)
@@ -165,9 +187,14 @@ def landmark(
     block_ticks: int = LANDMARK_BLOCK,
     tick: str = "tick",
     tie: str = "event_id",
+    max_rows: int = MAX_ROWS_PER_TASK,
 ) -> DataFrame:
     """Aggregates over everything since the start, up to and with the current tick."""
     states = states_for(aggs, tick, tie)
+    if emit == "reading" and not _is_heavy(df, [F.col(k) for k in keys], max_rows):
+        so_far = Window.partitionBy(*keys).orderBy(tick).rangeBetween(*_RUNNING)
+        running = df.select("*", *[s.from_rows.over(so_far).alias(s.name) for s in states])
+        return running.select(*df.columns, *[result(a) for a in aggs])
     names = [s.name for s in states]
     series = tick_series(df, states, keys, tick)
     series = series.withColumn("_block", F.floor(F.col(tick) / F.lit(block_ticks)).cast("bigint"))
@@ -244,9 +271,9 @@ def cooccur_within(
     hits = right.select(*keys, tick, F.col(tick).alias("_hit"), F.lit(False).alias("_probe"))
     hit = F.col("_hit")
     states = [
-        State("_n", F.count(hit), F.sum, _plus),
-        State("_first", F.min(hit), F.min, F.least),
-        State("_last", F.max(hit), F.max, F.greatest),
+        State("_n", F.count(hit), hit.isNotNull().cast("bigint"), F.sum, _plus),
+        State("_first", F.min(hit), hit, F.min, F.least),
+        State("_last", F.max(hit), hit, F.max, F.greatest),
     ]
     series = tick_series(hits.unionByName(probes), states, keys, tick, F.bool_or("_probe").alias("_probe"))
     found = _sliding_states(series, 2 * within + 1, states, keys, tick)
