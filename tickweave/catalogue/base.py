@@ -63,9 +63,9 @@ def with_readings(body: str, *ctes: str) -> str:
     return "WITH " + ", ".join([READINGS_SQL, *ctes]) + " " + body
 
 
-def uniform_sql(keys: str, draw: str, seed: int = SEED, open_interval: bool = False) -> str:
+def uniform_sql(keys: str, draw: str, seed: int = SEED, open_interval: bool = False, part: int = 0) -> str:
     """The counter-based uniform as SQL; ``keys`` is an SQL list of columns."""
-    digest = f"substr(md5(concat_ws(':', '{seed}', {keys}, '{draw}')), 1, 13)"
+    digest = f"substr(md5(concat_ws(':', '{seed}', {keys}, '{draw}')), {1 + 13 * part}, 13)"
     number = f"CAST(('0x' || {digest}) AS BIGINT)"
     return f"(({number} + 0.5::DOUBLE) / 4503599627370496.0)" if open_interval \
         else f"({number} / 4503599627370496.0::DOUBLE)"

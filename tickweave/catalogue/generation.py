@@ -4,15 +4,16 @@ from pyspark.sql import functions as F
 
 from tickweave.catalogue import specs
 from tickweave.catalogue.base import SEED, query, r4, sql_r4, table, uniform_sql, with_readings
-from tickweave.functions.samplers import Draw, discrete_cdf, sample_value
+from tickweave.functions.samplers import discrete_cdf, sample_value
 from tickweave.functions.scalars import clamp
-from tickweave.functions.uniform import open_uniform, uniform
+from tickweave.functions.uniform import digest, uniform
 from tickweave.operators.binding import bind_devices, bind_profiles
 from tickweave.operators.generate import (
     KEYS, SENSOR_MIX, allocate_classes, chosen_tier, class_counts, emitted, generate_readings, make_plots,
     make_zones, name_devices, plots_per_zone, prepare_profiles, shuffle_stride, tick_grid,
+    value_draw,
 )
-from tickweave.operators.transmit import SENT, transmit
+from tickweave.plans.end_to_end import Deployment
 
 END = 1435          # the last tick of the day that is due
 MS_PER_TICK = 60_000
@@ -22,8 +23,8 @@ _GRID_SQL = """grid AS (
   SELECT CAST(c_custkey AS VARCHAR) AS device_id, c_mktsegment AS measure_name, c_acctbal, c_nationkey,
          unnest(range(0, 1436, 5)) AS tick FROM customer)"""
 _KEYS_SQL = "device_id, measure_name, CAST(tick AS VARCHAR)"
-_U1 = uniform_sql(_KEYS_SQL, "value1", open_interval=True)
-_U2 = uniform_sql(_KEYS_SQL, "value2")
+_U1 = uniform_sql(_KEYS_SQL, "value", open_interval=True)
+_U2 = uniform_sql(_KEYS_SQL, "value", part=1)
 
 
 def _bindings(spark, sf_dir):
@@ -41,9 +42,9 @@ def _drawn(spark, sf_dir, family, **params):
     grid = _grid(spark, sf_dir, params=F.create_map(*pairs)) if family not in ("poisson", "binomial") else tick_grid(
         _bindings(spark, sf_dir).withColumn("params", F.create_map(*pairs)).withColumn(
             "cdf", discrete_cdf(F.lit(family), F.col("params"))), 0, END, MS_PER_TICK)
-    cdf = F.col("cdf") if "cdf" in grid.columns else F.lit(None).cast("struct<first:bigint,cdf:array<double>>")
-    grid = grid.withColumn("u1", open_uniform(SEED, KEYS, "value1")).withColumn("u2", uniform(SEED, KEYS, "value2"))
-    value = sample_value(F.lit(family), Draw(F.col("params"), F.col("u1"), F.col("u2"), cdf))
+    cdf = F.col("cdf") if "cdf" in grid.columns else None
+    grid = grid.withColumn("bits", digest(SEED, KEYS, "value"))
+    value = sample_value(F.lit(family), value_draw(F.col("params"), F.col("bits"), cdf))
     return grid.select("device_id", "measure_name", "tick", r4(value).alias("value"))
 
 
@@ -115,9 +116,8 @@ def gen_binomial(spark, sf_dir):
 def gen_clamped(spark, sf_dir):
     params = F.create_map(F.lit("mean"), _mean().cast("double"), F.lit("std_dev"), _spread().cast("double"))
     grid = _grid(spark, sf_dir, params=params)
-    grid = grid.withColumn("u1", open_uniform(SEED, KEYS, "value1")).withColumn("u2", uniform(SEED, KEYS, "value2"))
-    none = F.lit(None).cast("struct<first:bigint,cdf:array<double>>")
-    value = sample_value(F.lit("NORMAL"), Draw(F.col("params"), F.col("u1"), F.col("u2"), none))
+    grid = grid.withColumn("bits", digest(SEED, KEYS, "value"))
+    value = sample_value(F.lit("NORMAL"), value_draw(F.col("params"), F.col("bits")))
     return grid.select("device_id", "measure_name", "tick", r4(clamp(value, F.lit(1.0), F.lit(60.0))).alias("value"))
 
 
@@ -152,8 +152,9 @@ def gen_profile_readings(spark, sf_dir):
 @query()
 def gen_transmitted(spark, sf_dir):
     """The same readings after arrival mode and loss, in the record shape of the sink."""
-    out = generate_readings(_bound(spark, sf_dir), 0, _HOURS, 3_600_000, SEED)
-    return emitted(transmit(out, 3_600_000, SEED).filter(F.col("status") == SENT))
+    deployment = Deployment(specs.measures(spark, sf_dir), specs.tiers(spark, sf_dir), specs.arrivals(spark, sf_dir),
+                            specs.devices(spark, sf_dir), specs.plots(spark, sf_dir))
+    return emitted(deployment.delivered(0, _HOURS, 3_600_000, SEED))
 
 
 _N_SQL = "(SELECT count(*) FROM customer)"

@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from tickweave.catalogue.base import SEED, query, readings, table, uniform_sql, with_readings
-from tickweave.functions.scalars import duration_ms
+from tickweave.catalogue.base import READINGS_SQL, SEED, query, readings, table, uniform_sql, with_readings
+from tickweave.functions.scalars import duration_ms, interval_ticks
 from tickweave.operators.transmit import (
     crossing, crossing_status, deadband, deadband_status, drop_counts, lossy, periodic, survives,
     with_stale_flag,
@@ -32,7 +32,7 @@ def periodic_anchored(spark, sf_dir):
 def _fold_sql(survive: str) -> str:
     """The dead-band as a recursion over each device's readings in order."""
     return f"""
-  WITH RECURSIVE {_readings_cte()},
+  WITH RECURSIVE {READINGS_SQL},
   numbered AS (SELECT *, {survive} AS ok,
                       row_number() OVER (PARTITION BY device_id ORDER BY tick, event_id) AS rn FROM readings),
   fold AS (
@@ -47,11 +47,6 @@ def _fold_sql(survive: str) -> str:
     FROM numbered n JOIN fold f ON n.device_id = f.device_id AND n.rn = f.rn + 1)"""
 
 
-def _readings_cte() -> str:
-    from tickweave.catalogue.base import READINGS_SQL
-    return READINGS_SQL
-
-
 @query(_fold_sql("true") + " SELECT device_id, event_id, tick, value FROM fold WHERE status = 'sent'")
 def deadband_kept(spark, sf_dir):
     return deadband(readings(spark, sf_dir), 20.0, keys=USER).select("device_id", "event_id", "tick", "value")
@@ -112,7 +107,6 @@ def stale_flag(spark, sf_dir):
          WHEN 3 THEN 3600000 WHEN 4 THEN 86400000 ELSE 1000 END / 60000) AS BIGINT)) AS ticks
   FROM lineitem""")
 def unit_conversion(spark, sf_dir):
-    from tickweave.functions.scalars import interval_ticks
     unit = F.get(F.array(*[F.lit(u) for u in ("MS", "SEC", "MIN", "HOURS", "days", "FORTNIGHT")]),
                  F.col("l_linenumber") % 6)
     ms = table(spark, sf_dir, "lineitem").withColumn("ms", duration_ms(F.col("l_quantity"), unit))

@@ -10,21 +10,28 @@ from collections.abc import Sequence
 from pyspark.sql import Column, functions as F
 
 _BITS = 52
+_HEX = _BITS // 4
 
 
-def _hash_52(seed: int, keys: Sequence[Column | str], draw: str) -> Column:
+def digest(seed: int, keys: Sequence[Column | str], draw: str) -> Column:
+    """The 128 random bits of a draw, enough for two numbers."""
     parts = [F.lit(str(seed))]
     parts += [(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys]
     parts.append(F.lit(draw))
-    digest = F.md5(F.concat_ws(":", *parts))
-    return F.conv(F.substring(digest, 1, _BITS // 4), 16, 10).cast("bigint")
+    return F.md5(F.concat_ws(":", *parts))
+
+
+def fraction(bits: Column, part: int = 0, open_interval: bool = False) -> Column:
+    """Number ``part`` (0 or 1) of a digest: uniform on [0, 1), or on (0, 1) for logarithms."""
+    k = F.conv(F.substring(bits, 1 + part * _HEX, _HEX), 16, 10).cast("bigint").cast("double")
+    return (k + 0.5 if open_interval else k) / F.lit(float(1 << _BITS))
 
 
 def uniform(seed: int, keys: Sequence[Column | str], draw: str) -> Column:
     """Uniform on [0, 1)."""
-    return _hash_52(seed, keys, draw).cast("double") / F.lit(float(1 << _BITS))
+    return fraction(digest(seed, keys, draw))
 
 
 def open_uniform(seed: int, keys: Sequence[Column | str], draw: str) -> Column:
     """Uniform on (0, 1): safe under a logarithm."""
-    return (_hash_52(seed, keys, draw).cast("double") + 0.5) / F.lit(float(1 << _BITS))
+    return fraction(digest(seed, keys, draw), open_interval=True)

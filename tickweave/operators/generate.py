@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tickweave.functions.samplers import Draw, discrete_cdf, sample_value
 from tickweave.functions.scalars import clamp, interval_ticks
-from tickweave.functions.uniform import open_uniform, uniform
+from tickweave.functions.uniform import digest, fraction, uniform
 from tickweave.operators.ordered import with_row_number
 from tickweave.operators.segments import Segments
 from tickweave.schemas import TIER_NAMES
@@ -114,16 +114,20 @@ def with_value(grid: DataFrame, seed: int, keys: Sequence[str] = KEYS,
     pick = lambda suffix: F.when(F.col("_drawn") == TIER_NAMES[0], F.col(f"normal{suffix}")).when(
         F.col("_drawn") == TIER_NAMES[1], F.col(f"above{suffix}")
     ).otherwise(F.col(f"below{suffix}"))
-    grid = (
-        grid.withColumn("_spec", pick("")).withColumn("_cdf", pick("_cdf"))
-        .withColumn("_u1", open_uniform(seed, keys, "value1"))
-        .withColumn("_u2", uniform(seed, keys, "value2"))
+    grid = grid.withColumns(
+        {"_spec": pick(""), "_cdf": pick("_cdf"), "_bits": digest(seed, keys, "value")}
     )
-    draw = Draw(F.col("_spec.params"), F.col("_u1"), F.col("_u2"), F.col("_cdf"))
+    draw = value_draw(F.col("_spec.params"), F.col("_bits"), F.col("_cdf"))
     drawn = clamp(sample_value(F.col("_spec.family"), draw, families), F.col("range_min"), F.col("range_max"))
     return grid.withColumn(
         "value", F.when(F.col("_declared"), drawn).otherwise(F.lit(0.0))
-    ).drop("_spec", "_cdf", "_u1", "_u2", "_drawn", "_declared")
+    ).drop("_spec", "_cdf", "_bits", "_drawn", "_declared")
+
+
+def value_draw(params: Column, bits: Column, cdf: Column | None = None) -> Draw:
+    """The two uniforms of a value, from one digest."""
+    none = F.lit(None).cast("struct<first:bigint,cdf:array<double>>")
+    return Draw(params, fraction(bits, 0, open_interval=True), fraction(bits, 1), none if cdf is None else cdf)
 
 
 def generate_readings(bound: DataFrame, start: int, end: int, ms_per_tick: int, seed: int) -> DataFrame:

@@ -22,6 +22,7 @@ from tickweave.functions.search import rank_in_sorted
 
 SEGMENT = "_segment"
 HOT = "_hot"
+MIN_HOT_ROWS = 2_000_000     # what one task is allowed to order
 _SAMPLES_PER_SEGMENT = 32
 
 
@@ -66,7 +67,7 @@ def plan_segments(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str] = ("tick", "event_id"),
-    min_rows: int = 2_000_000,
+    min_rows: int = MIN_HOT_ROWS,
     max_hot: int = 10_000,
     min_segment_rows: int = 1,
 ) -> Segments:

@@ -2,8 +2,9 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from tickweave.functions.scalars import interval_ticks
 from tickweave.functions.uniform import uniform
 from tickweave.operators.deadband import delivery_codes, transfer_rows, incoming_states
 from tickweave.operators.ordered import with_previous
@@ -129,28 +130,26 @@ def transmit(
     start: int = 0,
     keys: Sequence[str] = KEYS,
     order: Sequence[str] = ORDER,
-    segments: dict[str, Segments] | None = None,
+    segments: Segments | None = None,
+    modes: Sequence[str] = MODES,
 ) -> DataFrame:
     """Apply the arrival mode of each reading's profile and label the readings.
 
     Expects the profile columns ``mode``, ``interval_ms``, ``threshold`` and
     ``failure`` on each row, as ``bind_profiles`` leaves them. The modes are split
-    by a filter, so periodic readings, usually the bulk, are not shuffled.
+    by a filter, so periodic readings, usually the bulk, are not shuffled. Readings
+    without a mode are periodic; ``modes`` may leave out modes that no profile has.
     """
-    from tickweave.functions.scalars import interval_ticks
-
     ok = survives(F.col("failure"), seed, (*keys, "tick"))
-    parts = segments or {}
     mode = F.coalesce("mode", F.lit("PERIODIC"))
     due = periodic(df.filter(~mode.isin("ON_CHANGE", "ON_THRESHOLD")),
                    F.coalesce(interval_ticks(F.col("interval_ms"), ms_per_tick), F.lit(1)), start)
-    sent = due.withColumn("status", F.when(ok, SENT).otherwise(LOST))
+    out = due.withColumn("status", F.when(ok, SENT).otherwise(LOST))
     limit = F.coalesce("threshold", F.lit(0.0))
-    changed = deadband_status(df.filter(mode == "ON_CHANGE"), limit, ok, keys, order,
-                              parts.get("ON_CHANGE"))
-    crossed = crossing_status(df.filter(mode == "ON_THRESHOLD"), limit, ok, keys, order,
-                              parts.get("ON_THRESHOLD"))
-    return sent.unionByName(changed).unionByName(crossed)
+    for name, label in (("ON_CHANGE", deadband_status), ("ON_THRESHOLD", crossing_status)):
+        if name in modes:
+            out = out.unionByName(label(df.filter(mode == name), limit, ok, keys, order, segments))
+    return out
 
 
 def with_stale_flag(df: DataFrame, max_delay: str, event_ts: str = "event_ts",

@@ -7,13 +7,20 @@ from pyspark.sql import DataFrame, functions as F
 from tickweave.operators.binding import bind_devices, bind_profiles
 from tickweave.operators.conformance import conformance
 from tickweave.operators.generate import emitted, generate_readings, prepare_profiles
+from tickweave.operators.segments import MIN_HOT_ROWS, Segments
 from tickweave.operators.specs import DEFAULT_EVENT_TYPE, assemble_profiles, profile_tiers
-from tickweave.operators.transmit import SENT, transmit
+from tickweave.operators.transmit import KEYS, ORDER, SENT, transmit
 from tickweave.plans.rules import Rule, RuleSet, merge_events
 
 # Minutes per unit of simulated time. Fixed values.
 MINUTES = {"seconds": 1 / 60, "minutes": 1, "hours": 60, "days": 1440}
 
+# What the steps after generation need of a reading.
+READING_COLUMNS = (
+    "event_id", "event_type", "tick", "device_id", "device_class", "measure_name", "zone_id",
+    "value", "tier", "mode", "interval_ms", "threshold", "failure",
+)
+
 
 def tick_range(start: float, end: float, time_unit: str, tick_unit: str) -> tuple[int, int, int]:
     """First and last tick, and milliseconds per tick, of a span of simulated time."""
@@ -40,10 +47,18 @@ class Deployment:
     def bindings(self) -> DataFrame:
         return bind_devices(self.devices, self.plots, self.measures)
 
+    def modes(self) -> list[str]:
+        """Declared arrival modes: a handful of values."""
+        return [r["mode"] for r in self.arrivals.select("mode").distinct().collect()]
+
     def readings(self, start: int, end: int, ms_per_tick: int, seed: int) -> DataFrame:
         """All readings with their transmission status, values unrounded."""
         bound = bind_profiles(self.bindings(), prepare_profiles(self.profiles()))
-        return transmit(generate_readings(bound, start, end, ms_per_tick, seed), ms_per_tick, seed, start)
+        made = generate_readings(bound, start, end, ms_per_tick, seed).select(*READING_COLUMNS)
+        # a key has at most one reading per tick, so over a short span none can be hot
+        short = end - start + 1 <= MIN_HOT_ROWS
+        segments = Segments(KEYS, ORDER) if short else None
+        return transmit(made, ms_per_tick, seed, start, segments=segments, modes=self.modes())
 
     def delivered(self, start: int, end: int, ms_per_tick: int, seed: int) -> DataFrame:
         return self.readings(start, end, ms_per_tick, seed).filter(F.col("status") == SENT)
