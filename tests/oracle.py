@@ -2,6 +2,7 @@
 
 import decimal
 import math
+import os
 import sys
 import time
 
@@ -54,7 +55,7 @@ def compare(spark, con, name, fn, sql, sf_dir):
 
 
 if __name__ == "__main__":
-    sys.path.insert(0, ".")
+    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     from pyspark.sql import SparkSession
     from tickweave.catalogue import QUERIES, SQL
 

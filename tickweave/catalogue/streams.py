@@ -17,7 +17,6 @@ from tickweave.streaming import transmission as st
 from tickweave.streaming import windows as sw
 
 DELAY_MINUTES = 5
-_ORIGIN = "2024-01-01 00:00:00"
 # the last tick that is certainly behind the watermark at the end of the input
 _MARK = f"(SELECT max(tick) - {DELAY_MINUTES} FROM readings)"
 _MEAN = (Agg("value", "avg"),)
@@ -29,7 +28,7 @@ def _stream(spark, sf_dir) -> DataFrame:
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     tier = F.when(F.col("value") >= 100, "ABOVE").when(F.col("value") < 5, "BELOW").otherwise("NORMAL")
     ticks = events_as_readings(events, ORIGIN_S).withColumn("tier", tier)
-    return sw.with_event_time(ticks, f"{DELAY_MINUTES} minutes", _ORIGIN)
+    return sw.with_event_time(ticks, f"{DELAY_MINUTES} minutes", ORIGIN_S)
 
 
 def _run(df: DataFrame, name: str) -> DataFrame:
@@ -83,9 +82,8 @@ def stream_immediate(spark, sf_dir):
 def stream_chained(spark, sf_dir):
     alert = Rule("alert", "tumbling", DAY, (Source("sensor_reading", "error"),), _MEAN, (Having(">", 40),), label="ERRORS")
     report = Rule("report", "tumbling", 7 * DAY, (Source("alert", "ERRORS"),), (Agg("value", "count"),), (Having(">", 60),))
-    alerts = sw.as_source(sw.tumbling_rule(_stream(spark, sf_dir), alert))
-    # weeks are counted from the first day, not from the epoch's Thursday
-    reports = sw.tumbling_rule(alerts, report, offset=f"{ORIGIN_S % (7 * 86400)} seconds")
+    alerts = sw.as_source(sw.tumbling_rule(_stream(spark, sf_dir), alert, origin_s=ORIGIN_S))
+    reports = sw.tumbling_rule(alerts, report, origin_s=ORIGIN_S)
     return _run(reports, "chained").select(
         "device_id", _tick(F.col("window.start")).cast("bigint").alias("window_start"), F.col("value").alias("n"))
 

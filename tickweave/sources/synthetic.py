@@ -26,7 +26,7 @@ def readings_at(ticks: DataFrame, bound: DataFrame, seed: int, shards: int = 64)
     on by up to ``shards`` tasks.
     """
     sharded = bound.withColumn("_shard", F.pmod(F.xxhash64("device_id", "measure_name"), F.lit(shards)))
-    spread = ticks.withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("bigint"))
+    spread = ticks.withColumn("_shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint"))))
     grid = spread.join(sharded, "_shard").drop("_shard")
     out = with_value(with_tier(grid, seed), seed)
     return out.withColumn("event_id", F.xxhash64(*KEYS)).drop(

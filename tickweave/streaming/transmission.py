@@ -40,16 +40,13 @@ class _InOrder(StatefulProcessor):
         self.setup(handle)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        mark = timerValues.getCurrentWatermarkInMs()
-        fresh, ends = [], []
+        fresh = []
         for pdf in rows:
-            pdf = pdf[pdf["event_ms"] >= mark] if mark > 0 else pdf
             fresh += [tuple(r) for r in pdf[_HELD.names].astype(object).itertuples(index=False)]
         if fresh:
             self.held.appendList(fresh)
-            ends = sorted({r[0] for r in fresh})
             # one timer for the oldest reading; it sets the next one when it fires
-            self.handle.registerTimer(int(ends[0]) + 1)
+            self.handle.registerTimer(int(min(r[0] for r in fresh)) + 1)
         yield pd.DataFrame(columns=self.columns(), dtype=object)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:

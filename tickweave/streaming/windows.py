@@ -13,10 +13,13 @@ from tickweave.operators.aggregates import Agg, DEFAULT_VALUE, result, states_fo
 from tickweave.plans.rules import MEAN, Having, Rule, Source, _mean_holds, source_rows
 
 
-def with_event_time(df: DataFrame, delay: str, origin: str = "1970-01-01 00:00:00",
+def with_event_time(df: DataFrame, delay: str, origin_s: int = 0,
                     seconds_per_tick: int = 60, tick: str = "tick") -> DataFrame:
-    """Add ``event_ts`` from the tick, with a watermark of ``delay``."""
-    ts = F.timestamp_seconds(F.unix_timestamp(F.lit(origin)) + F.col(tick) * seconds_per_tick)
+    """Add ``event_ts`` from the tick, with a watermark of ``delay``.
+
+    ``origin_s`` is the time of tick 0 in seconds since the epoch.
+    """
+    ts = F.timestamp_seconds(F.lit(origin_s) + F.col(tick) * seconds_per_tick)
     return df.withColumn("event_ts", ts).withWatermark("event_ts", delay)
 
 
@@ -45,8 +48,12 @@ def windowed(
     return out.select(*keys, "window", *[result(a) for a in aggs])
 
 
-def tumbling_rule(df: DataFrame, rule: Rule, tick_seconds: int = 60, offset: str | None = None) -> DataFrame:
-    """A tumbling rule; chain the result into another one with ``as_source``."""
+def tumbling_rule(df: DataFrame, rule: Rule, tick_seconds: int = 60, origin_s: int = 0) -> DataFrame:
+    """A tumbling rule; chain the result into another one with ``as_source``.
+
+    Windows are counted from ``origin_s``, where Spark would count from the epoch.
+    """
+    offset = f"{origin_s % (rule.size * tick_seconds)} seconds"
     parts = []
     for source in rule.sources:
         out = windowed(source_rows(df, source), f"{rule.size * tick_seconds} seconds", rule.aggs,
