@@ -8,6 +8,7 @@ Arrow buffers.
 from bisect import bisect_left, insort
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -15,27 +16,35 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from tickweave.operators.segments import SEGMENT
 from tickweave.schemas import DOUBLE, struct
 
-_FOLD_COLUMNS = ("value", "_limit", "_ok", "_start", "_incoming")
+
+def _lists(batch: pa.RecordBatch, *names: str) -> list[list]:
+    """Columns as Python numbers, by way of numpy; a null number becomes NaN."""
+    return [batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in names]
 
 
 def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Append 2 (delivered), 1 (candidate, but lost) or 0 (suppressed) to each row."""
+    """Append 2 (delivered), 1 (candidate, but lost) or 0 (suppressed) to each row.
+
+    A missing value (null or NaN) is never delivered.
+    """
     last = None
     for batch in batches:
-        columns = (batch.column(c).to_pylist() for c in _FOLD_COLUMNS)
         codes = []
-        for value, limit, ok, start, incoming in zip(*columns):
+        add = codes.append
+        for value, limit, ok, start, incoming in zip(
+            *_lists(batch, "value", "_limit", "_ok", "_start", "_incoming")
+        ):
             if start:
-                last = incoming
-            if value is None or (last is not None and not abs(value - last) >= limit):
-                codes.append(0)
+                last = None if incoming != incoming else incoming
+            if value != value or (last is not None and not abs(value - last) >= limit):
+                add(0)
             elif ok:
                 last = value
-                codes.append(2)
+                add(2)
             else:
-                codes.append(1)
+                add(1)
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array(codes, pa.int32())], [*batch.schema.names, "_code"]
+            [*batch.columns, pa.array(np.array(codes, dtype=np.int32))], [*batch.schema.names, "_code"]
         )
 
 
@@ -141,14 +150,14 @@ def transfer_rows(sorted_rows: DataFrame, keys: Sequence[str]) -> DataFrame:
             return pa.RecordBatch.from_arrays([*owner, *values], ids + [f.name for f in fields])
 
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("value", "_limit", "_ok", "_start"))
+            columns = _lists(batch, "value", "_limit", "_ok", "_start")
             for i, (value, limit, ok, start) in enumerate(zip(*columns)):
                 if start:
                     if table is not None:
                         yield finish()
                     owner = [batch.column(c).slice(i, 1) for c in ids]
                     table = SegmentTable()
-                if ok and value is not None:
+                if ok and value == value:
                     table.add(value, limit)
         if table is not None:
             yield finish()

@@ -93,7 +93,7 @@ def deadband_status(
     limit = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
     df = seg.assign(df) if seg.any_hot else df
     df = df.withColumn("_limit", limit.cast("double")).withColumn(
-        "_ok", F.lit(True) if survive is None else survive
+        "_ok", F.lit(True) if survive is None else F.coalesce(survive, F.lit(True))
     )
     if seg.any_hot:
         hot = df.filter(F.col(HOT))
