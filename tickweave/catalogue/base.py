@@ -1,6 +1,7 @@
 """Registration, and the views that several queries share."""
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -16,9 +17,14 @@ _NUDGE = 1e-7
 
 
 def query(sql: str | None = None):
-    """Register a query under its function name."""
+    """Register a query under its function name. Timestamps are read as UTC, as in the SQL."""
     def register(fn):
-        QUERIES[fn.__name__] = fn
+        @wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return fn(spark, sf_dir)
+
+        QUERIES[fn.__name__] = run
         if sql is not None:
             SQL[fn.__name__] = sql
         return fn

@@ -174,9 +174,10 @@ def _pick_sql(values, key, draw):
 @query(f"""
   SELECT zone_id, 'Zone_' || zone_id AS zone_name,
          ['IRRIGATED', 'NON_IRRIGATED', 'INDOOR'][(zone_id - 1) % 3 + 1] AS zone_type, {_AREA(5.0, 50.0, 'zone_id')} AS area_ha
-  FROM (SELECT CAST(r_regionkey + 1 AS BIGINT) AS zone_id FROM region)""")
+  FROM (SELECT unnest(range(1, {_N_SQL} // 50 + 1)) AS zone_id)""")
 def gen_zones(spark, sf_dir):
-    return make_zones(spark, table(spark, sf_dir, "region").count(), SEED)
+    """A zone for every fifty customers."""
+    return make_zones(spark, _n_devices(spark, sf_dir) // 50, SEED)
 
 
 @query(f"""

@@ -23,7 +23,6 @@ _MEAN = (Agg("value", "avg"),)
 
 
 def _stream(spark, sf_dir) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     schema = table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     tier = F.when(F.col("value") >= 100, "ABOVE").when(F.col("value") < 5, "BELOW").otherwise("NORMAL")
