@@ -148,3 +148,22 @@ def test_synthetic_feed_reaches_every_binding(spark):
     ticks = spark.range(5).select(F.col("id").alias("tick"))
     out = readings_at(ticks, bound, 1, shards=4)
     assert out.select("device_id", "tick").distinct().count() == out.count() == 100
+
+
+@pytest.mark.parametrize("mode,limit", [("ON_CHANGE", 9.0), ("ON_THRESHOLD", 2.0)])
+def test_hot_keys_in_batches(spark, tmp_path, mode, limit):
+    from tickweave.streaming.hot_keys import delivered, thin_in_batches
+    rng = random.Random(4)
+    rows = [(i, "sensor_reading", i // 3, rng.choice("aaab"), "m", round(rng.gauss(0, 10), 2), "NORMAL") for i in range(400)]
+    src = str(tmp_path / "src")
+    for n in range(4):      # a key may be missing from a batch
+        part = [r for r in rows[n * 100: n * 100 + 100] if n != 1 or r[3] == "a"]
+        rng.shuffle(part)
+        spark.createDataFrame(part, FIELDS).coalesce(1).write.mode("append").parquet(src)
+    s = spark.readStream.schema(FIELDS).option("maxFilesPerTrigger", 1).parquet(src)
+    q = thin_in_batches(s, mode, limit, str(tmp_path / "work"), KEYS, min_rows=20).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = sorted(r.event_id for r in delivered(spark, str(tmp_path / "work")).collect())
+    op = deadband if mode == "ON_CHANGE" else crossing
+    want = sorted(r.event_id for r in op(spark.read.schema(FIELDS).parquet(src), limit, keys=KEYS).collect())
+    assert got == want and len(got) > 50
