@@ -13,7 +13,7 @@ from tickweave.operators.specs import assemble_profiles, classify_event_type, ef
 from tickweave.operators.summaries import scale_vs_first, scaling_exponent, throughput
 from tickweave.operators.transmit import with_stale_flag
 from tickweave.plans import example_farm as farm
-from tickweave.sources import read_profiles, read_readings, read_resources, write_events, write_report
+from tickweave.sources import read_profiles, read_readings, read_resources, write_events
 
 
 def test_units(spark):

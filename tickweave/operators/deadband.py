@@ -11,7 +11,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, types as T
 
 from tickweave.operators.segments import SEGMENT
 from tickweave.schemas import DOUBLE, struct

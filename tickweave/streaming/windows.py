@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tickweave.operators.aggregates import Agg, DEFAULT_VALUE, result, states_for
-from tickweave.plans.rules import MEAN, Having, Rule, Source, _mean_holds, source_rows
+from tickweave.plans.rules import MEAN, Having, Rule, _mean_holds, source_rows
 
 
 def with_event_time(df: DataFrame, delay: str, origin_s: int = 0,
