@@ -9,8 +9,8 @@ from tickweave.functions.scalars import clamp
 from tickweave.functions.uniform import digest, uniform
 from tickweave.operators.binding import bind_devices, bind_profiles
 from tickweave.operators.generate import (
-    KEYS, allocate_classes, chosen_tier, generate_readings, make_plots, make_zones, name_devices,
-    plots_per_zone, prepare_profiles, tick_grid, value_draw,
+    KEYS, allocate_classes, chosen_tier, emitted, generate_readings, make_plots, make_zones,
+    name_devices, plots_per_zone, prepare_profiles, tick_grid, value_draw,
 )
 from tickweave.plans.end_to_end import Deployment
 
