@@ -30,6 +30,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that are no columns of ``df``, whatever it has."""
+    taken = {c.lower() for c in df.columns}
+    prefix = "_"
+    while any((prefix + n).lower() in taken for n in names):
+        prefix += "_"
+    return [prefix + n for n in names]
+
+
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the offset of each text (one more than there are texts); null is empty."""
     texts = column.cast(pa.large_binary()) if not pa.types.is_large_binary(column.type) else column

@@ -12,7 +12,7 @@ others go. So copies of a document lose their lines to the first copy, not all o
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tickweave.llm.common import written
+from tickweave.llm.common import free_names, written
 
 SITES = 5               # lines on at least so many sites are boilerplate
 WORDS = 3               # lines with fewer words are too common by chance and stay
@@ -72,13 +72,15 @@ def remove_boilerplate(docs: DataFrame) -> DataFrame:
                         & (F.col("place") == F.col("kp"))))
     per_row = gone.select("doc_id", "row", "place").distinct().groupBy("doc_id", "row").agg(
         F.collect_list("place").alias("places"))
-    per_row = written(per_row, "removals").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "places")
+    own_id, own_row, key, places = free_names(own, "id", "row", "key", "places")
+    per_row = written(per_row, "removals").select(
+        F.col("doc_id").alias(own_id), F.col("row").alias(own_row), F.col("places").alias(places))
     parts = F.split("text", "\n")
-    left = F.filter(parts, lambda _, i: ~F.array_contains("places", i))
-    joined = own.withColumn("_key", F.xxhash64("text", "source")).join(
-        per_row, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_row")), "left")
+    left = F.filter(parts, lambda _, i: ~F.array_contains(places, i))
+    joined = own.withColumn(key, F.xxhash64("text", "source")).join(
+        per_row, F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col(key) == F.col(own_row)), "left")
     return joined.select(
-        *[F.when(F.col("places").isNull(), F.col("text")).otherwise(F.concat_ws("\n", left)).alias("text")
+        *[F.when(F.col(places).isNull(), F.col("text")).otherwise(F.concat_ws("\n", left)).alias("text")
           if c == "text" else F.col(c) for c in own.columns],
         F.coalesce(F.array_size(parts), F.lit(0)).cast("bigint").alias("n_lines"),
-        F.coalesce(F.array_size("places"), F.lit(0)).cast("bigint").alias("n_removed"))
+        F.coalesce(F.array_size(places), F.lit(0)).cast("bigint").alias("n_removed"))

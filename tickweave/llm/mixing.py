@@ -14,7 +14,7 @@ within each range.
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickweave.functions.uniform import open_uniform
-from tickweave.llm.common import written
+from tickweave.llm.common import free_names, written
 
 WEIGHTS = (5, 2, 1)         # of sources by code point, repeating
 MOST_EPOCHS = 3
@@ -45,8 +45,9 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     everything = Window.partitionBy()
     left = F.sum("source_size").over(everything) - F.coalesce(F.sum("most").over(before), F.lit(0.0))
     level = left / F.sum("weight").over(after)
-    stopped = ranked.withColumn("level", level).withColumn("stops", F.col("most") <= F.col("level") * F.col("weight"))
-    settled = F.min(F.when(~F.col("stops"), F.col("level"))).over(everything)
+    stopped = (ranked.withColumn("level", level).withColumn("nth", F.row_number().over(order))
+               .withColumn("stops", F.col("most") <= F.col("level") * F.col("weight")))
+    settled = F.min_by("level", F.when(~F.col("stops"), F.col("nth"))).over(everything)
     return stopped.select("source", "source_size", "rows", F.when(F.col("stops"), F.col("most")).otherwise(
         F.least("most", settled * F.col("weight"))).alias("target"))
 
@@ -96,11 +97,12 @@ def mix(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
 
 def mixed_rows(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """Each row of ``docs`` as many times as the mix takes it, all columns as they are."""
+    own_id, own_source, size, copies, n_words, copy = free_names(docs, "id", "source", "size", "copies", "words", "copy")
     counts = written(mix(docs, weights).select("doc_id", "source", "size", "copies"), "copies")
-    counts = counts.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"),
-                            F.col("size").alias("_size")).agg(F.max("copies").alias("_copies"))
-    rows = docs.withColumn("_words", words_of(F.col("text"))).join(
-        counts, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
-        & (F.col("_words") == F.col("_size")))
-    return rows.where("_copies > 0").select(
-        *docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).drop("_copy")
+    counts = counts.groupBy(F.col("doc_id").alias(own_id), F.col("source").alias(own_source),
+                            F.col("size").alias(size)).agg(F.max("copies").alias(copies))
+    rows = docs.withColumn(n_words, words_of(F.col("text"))).join(
+        counts, F.col("doc_id").eqNullSafe(F.col(own_id)) & F.col("source").eqNullSafe(F.col(own_source))
+        & (F.col(n_words) == F.col(size)))
+    return rows.where(F.col(copies) > 0).select(
+        *docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias(copy)).drop(copy)

@@ -67,7 +67,7 @@ levels AS (
               / sum(CASE WHEN 3.0::DOUBLE * b.source_size / b.w >= 3.0::DOUBLE * a.source_size / a.w THEN b.w END)
           FROM sources b) AS level
   FROM sources a),
-settled AS (SELECT min(CASE WHEN most > level * w THEN level END) AS level FROM levels),
+settled AS (SELECT arg_min(level, most / w) AS level FROM levels WHERE most > level * w),
 targets AS (
   SELECT l.source, l.source_size,
          CASE WHEN l.most <= l.level * l.w THEN l.most ELSE least(l.most, s.level * l.w) END AS target
