@@ -4,8 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickweave.llm import language_id, line_dedup, mixing, near_duplicates, packing, url_filter
-from tickweave.llm.common import written
+from tickweave.llm import cover_tree, language_id, line_dedup, mixing, near_duplicates, nearest, packing, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -134,3 +133,14 @@ def op9_packing(spark, sf_dir):
 def op10_near_duplicates(spark, sf_dir):
     found = near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
     return found.withColumn("kept", near_duplicates.stays(F.col("component_id"), F.col("doc_id")))
+
+
+@query()
+def op3_nearest_neighbours(spark, sf_dir):
+    return nearest.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query()
+def op6_similar_vectors(spark, sf_dir):
+    found = cover_tree.similar_vectors(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
