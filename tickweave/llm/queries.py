@@ -4,7 +4,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickweave.llm import cover_tree, language_id, line_dedup, mixing, near_duplicates, nearest, packing, url_filter
+from tickweave.llm import (
+    cover_tree, language_id, line_dedup, mixing, near_duplicates, nearest, packing, personal_data,
+    repeated_passages, url_filter,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -144,3 +147,13 @@ def op3_nearest_neighbours(spark, sf_dir):
 def op6_similar_vectors(spark, sf_dir):
     found = cover_tree.similar_vectors(table(spark, sf_dir, "embeddings"))
     return found.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+@query()
+def op2_personal_data(spark, sf_dir):
+    return personal_data.find(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+@query()
+def op8_repeated_passages(spark, sf_dir):
+    return repeated_passages.remove_repeats(table(spark, sf_dir, "documents"))
