@@ -33,7 +33,7 @@ from tickweave.llm.common import Powers, mix, range_hashes, text_blocks, utf8, w
 
 LENGTH = 50
 GRAM = 20
-BLOCK = 4 << 20         # bytes of text in a block; a longer text is a block of its own
+BLOCK = 3 << 20         # bytes of text in a block; a longer text is a block of its own
 BUCKET = 16 << 20       # bytes of text for each bucket of hashes
 BATCH = 1 << 20         # bytes of stretches that are sorted and merged at a time
 SHARDS = 4
@@ -159,6 +159,7 @@ def _stretches(blocks: pd.DataFrame, shared: pd.DataFrame, buckets: int) -> pd.D
         block = Block(blocks.iloc[0])
         hashes, doc, head, count = block.windows(powers)
         wanted = {b: unpacked(x, np.uint32) for b, x in zip(shared["bucket"], shared["hashes"])}
+        names = range_hashes(block.data, head, head + count + LENGTH - 1, powers)
         for b, at in _by_bucket(hashes, buckets):
             if b not in wanted:
                 continue
@@ -167,7 +168,7 @@ def _stretches(blocks: pd.DataFrame, shared: pd.DataFrame, buckets: int) -> pd.D
             hit = wanted[b][near] == m
             at, m = at[hit], m[hit]
             start, size = head[at], count[at] + LENGTH - 1
-            name = range_hashes(block.data, start, start + size, powers)
+            name = names[at]
             ids = block.ids[doc[at]]
             order = np.lexsort((ids, name))
             new = np.ones(len(order), bool)
