@@ -8,9 +8,11 @@ posted under their (coordinate, value) pairs; two documents that agree in at lea
 * Prefix: a pair with ``MATCHES`` common postings shares one among the rarest
   ``COORDINATES - MATCHES + 1`` postings of either side. Only these are posted, so values
   that many documents share by chance are not joined on.
-* Skip: each list first links its members to one leader. Members that this puts into one
-  component need not be compared; only pairs across components are, in a second pass.
-  So a list of n near copies costs about n comparisons.
+* Skip: each list first compares its members with one leader, another one in each of
+  ``ROUNDS`` rounds. Members that this puts into one component need not be compared; only
+  pairs across components are, at the end. So a list of n near copies costs about n comparisons.
+* Size: sets of a similarity of 0.8 differ by a factor of 1.25 at most, so lists are kept
+  by size class and only equal and adjacent classes meet.
 
 With a true similarity of 0.8, fewer than 15 of 32 coordinates agree with probability
 below 1e-5; confirmed pairs always have the exact similarity.
@@ -25,6 +27,7 @@ from tickweave.llm.components import components
 
 COORDINATES = 32
 MATCHES = 15
+ROUNDS = 2
 BLOCK = 2 << 20
 
 _MULTIPLIERS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -110,7 +113,7 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """``posting`` and ``set`` for the rarest postings by which a candidate pair must meet."""
+    """``posting``, ``set`` and ``n_shingles`` for the rarest postings by which a candidate pair must meet."""
     every = classes.select("set", F.posexplode("signature").alias("place", "value")).select(
         "set", (F.col("place").cast("bigint") * F.lit(1 << 32) + F.col("value")).alias("posting"))
     shared = every.groupBy("posting").agg(F.count("*").alias("n")).where("n > 1")
@@ -118,7 +121,8 @@ def postings(classes: DataFrame) -> DataFrame:
     mine = Window.partitionBy("set")
     ranked = (met.withColumn("rank", F.row_number().over(mine.orderBy("n", "posting")))
               .withColumn("of", F.count("*").over(mine)))
-    return ranked.where(F.col("rank") <= F.col("of") - (MATCHES - 1)).select("posting", "set")
+    met = ranked.where(F.col("rank") <= F.col("of") - (MATCHES - 1)).select("posting", "set")
+    return met.join(classes.select("set", "n_shingles"), "set")
 
 
 def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -142,31 +146,45 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int,
             .where(common.cast("bigint") * 100 >= joint.cast("bigint") * percent).select("a", "b"))
 
 
+def _grouped(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """The lists that hold several components, with each member's component."""
+    groups = components(links).withColumnRenamed("node", "set")
+    member = written(lists.drop("root").join(groups, "set", "left").withColumn("root", F.coalesce("root", "set")), "members")
+    mixed = member.groupBy("posting").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    return member.join(mixed.select("posting"), "posting")
+
+
 def linked_sets(docs: DataFrame, signs: DataFrame, size: int, percent: int) -> DataFrame:
     """``node`` and ``root`` of every set that is linked with another one."""
     classes = written(
-        signs.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("reader"),
-                                                         F.first("signature").alias("signature")), "classes")
-    lists = written(postings(classes), "postings")
-
-    leaders = lists.groupBy("posting").agg(F.min("set").alias("a"))
-    stars = lists.withColumnRenamed("set", "b").join(leaders, "posting").where("a <> b").select("a", "b").distinct()
-    stars = written(_agreeing(stars, classes), "pairs")
-    links = written(_confirmed(stars, docs, classes, size, percent), "confirmed")
-    groups = components(links)
-
-    member = lists.join(groups.withColumnRenamed("node", "set"), "set", "left").withColumn(
-        "root", F.coalesce("root", "set"))
-    member = written(member, "members")
-    mixed = member.groupBy("posting").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    open_lists = member.join(mixed.select("posting"), "posting")
-    a = open_lists.select("posting", F.col("set").alias("a"), F.col("root").alias("ra"))
-    b = open_lists.select("posting", F.col("set").alias("b"), F.col("root").alias("rb"))
-    across = a.join(b, "posting").where("a < b and ra <> rb").select("a", "b").distinct()
-    across = across.join(stars, ["a", "b"], "left_anti")
+        signs.where("set is not null").groupBy("set", "n_shingles").agg(
+            F.min("doc_id").alias("reader"), F.first("signature").alias("signature")), "classes")
+    width = float(np.log(100 / percent)) * (1 + 1e-9)       # so that rounding never puts a pair two classes apart
+    size_class = F.floor(F.log(F.col("n_shingles").cast("double")) / width)
+    lists = written(postings(classes).withColumn("class", size_class), "postings")
+
+    open_lists = lists.withColumn("root", F.col("set"))
+    links = None
+    for k in range(ROUNDS):
+        order = F.xxhash64("posting", "set", F.lit(k))
+        leaders = open_lists.groupBy("posting", "class").agg(
+            F.min(F.struct(order.alias("order"), F.col("set").alias("a"), F.col("root").alias("ra"))).alias("leader"))
+        met = open_lists.join(leaders, ["posting", "class"]).where("set <> leader.a and root <> leader.ra")
+        stars = met.select(F.least("set", "leader.a").alias("a"), F.greatest("set", "leader.a").alias("b")).distinct()
+        stars = written(_agreeing(stars, classes), "pairs")
+        found = written(_confirmed(stars, docs, classes, size, percent), "confirmed")
+        links = found if links is None else links.unionByName(found)
+        open_lists = _grouped(lists, links)
+
+    a = open_lists.select("posting", F.col("set").alias("a"), F.col("root").alias("ra"), F.col("class").alias("own"),
+                          F.col("n_shingles").alias("na"), F.explode(F.array("class", F.col("class") + 1)).alias("class"))
+    b = open_lists.select("posting", F.col("set").alias("b"), F.col("root").alias("rb"), F.col("n_shingles").alias("nb"), "class")
+    apart = (F.col("ra") != F.col("rb")) & ((F.col("own") != F.col("class")) | (F.col("a") < F.col("b")))
+    alike = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    across = a.join(b, ["posting", "class"]).where(apart & alike).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     across = written(_agreeing(across, classes), "pairs")
-    more = _confirmed(across, docs, classes, size, percent)
-    return components(links.unionByName(more))
+    return components(links.unionByName(_confirmed(across, docs, classes, size, percent)))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
