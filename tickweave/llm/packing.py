@@ -8,6 +8,7 @@ group leaves at most a few underfull bins among thousands.
 """
 
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,52 +19,79 @@ from tickweave.llm.common import text_blocks, utf8, within, written
 CAPACITY = 4096
 GROUP = 8192
 END_ID = 1
-CACHE_WORDS = 400_000       # words whose ids a task remembers
+CACHE_WORDS = 800_000       # words whose ids a task remembers
 PAIRS = 64                  # items of a bin that two-for-one exchanges pair up
 
 
+class _Places(dict):
+    """Numbers words as they come, and lists the new ones."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = k = len(self)
+        self.new.append(word)
+        return k
+
+
 class WordIds:
     """Ids of texts through a tokenizer that drops white space, remembered word by word.
 
     The tokenizer never joins what ASCII white space separates, so a text's ids are those
-    of its words in order.
+    of its words in order. It lower-cases and splits letters from punctuation, so a word of
+    ASCII letters with or without a final full stop or comma needs its merges only.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.tails = {b"": [], **{t: self.tokenizer.encode(t.decode(), add_special_tokens=False).ids for t in (b".", b",")}}
         self.clear()
 
     def clear(self):
-        self.place: dict[bytes, int] = {}
-        self.ids, self.begin = [], [0]
-        self.arrays = None
+        self.places = _Places()
+        self.letters: dict[bytes, list[int]] = {}
+        self.ids, self.begin = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _learn(self, new: list[bytes]) -> None:
+        parts, other = [], []
+        for w in new:
+            low = w.lower()
+            tail = low[-1:] if low[-1:] in (b".", b",") else b""
+            body = low[:-1] if tail else low
+            if not body.isalpha():
+                body, tail = None, w
+                other.append(w)
+            parts.append((body, tail))
+        missing = list({b for b, _ in parts if b is not None and b not in self.letters})
+        for b, e in zip(missing, self.merges.encode_batch_fast([b.decode() for b in missing], add_special_tokens=False)):
+            self.letters[b] = e.ids
+        odd = dict(zip(other, (e.ids for e in self.tokenizer.encode_batch_fast(
+            [w.decode("utf-8", "replace") for w in other], add_special_tokens=False))))
+        ids = [self.letters[b] + self.tails[t] if b is not None else odd[t] for b, t in parts]
+        ends = self.begin[-1] + np.cumsum([len(x) for x in ids])
+        self.begin = np.concatenate((self.begin, ends))
+        self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(ids), np.uint32)))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the offset of each text's."""
-        raw = data.tobytes()
-        split = [raw[a:b].split() for a, b in zip(offsets[:-1], offsets[1:])]
-        counts = np.array([len(s) for s in split], np.int64)
-        flat = [w for s in split for w in s]
-        if len(self.place) > CACHE_WORDS:
+        if len(self.places) > CACHE_WORDS:
             self.clear()
-        new = list(set(flat).difference(self.place))
-        if new:
-            texts = [w.decode("utf-8", "replace") for w in new]
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-                self.place[w] = len(self.begin) - 1
-                self.ids.extend(e.ids)
-                self.begin.append(len(self.ids))
-            self.arrays = None
-        if self.arrays is None:
-            self.arrays = np.array(self.ids, np.uint32), np.array(self.begin, np.int64)
-        ids, begin = self.arrays
-        at = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
-        lengths = begin[at + 1] - begin[at]
+        raw = data.tobytes()
+        split = [raw[a:b].split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        self.places.new = []
+        at = np.fromiter(map(self.places.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        if self.places.new:
+            self._learn(self.places.new)
+        lengths = self.begin[at + 1] - self.begin[at]
         ends = np.concatenate(([0], np.cumsum(lengths)))
-        out = ids[np.repeat(begin[at], lengths) + within(ends)]
-        return out, ends[np.concatenate(([0], np.cumsum(counts)))]
+        shift = np.repeat(self.begin[at] - ends[:-1], lengths)
+        return self.ids[shift + np.arange(len(shift))], ends[np.concatenate(([0], np.cumsum(counts)))]
 
 
 def pieces(docs: DataFrame, tokenizer: str, with_ids: bool = False, capacity: int = CAPACITY) -> DataFrame:
