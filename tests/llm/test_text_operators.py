@@ -177,7 +177,11 @@ def test_near_duplicates_equal_brute_force(spark, size):
     assert by_text(got) == by_text(groups_by_hand(rows, size, 80))
 
 
-def test_near_copies_in_one_large_group(spark):
+@pytest.mark.parametrize("few", [0, 50])
+def test_near_copies_in_one_large_group(spark, monkeypatch, few):
+    monkeypatch.setattr(near_duplicates, "SHORT", 8)
+    monkeypatch.setattr(near_duplicates, "LIST_BLOCK", 100)
+    monkeypatch.setattr(near_duplicates, "FEW", few)
     rng = np.random.default_rng(3)
     base = [f"w{i}" for i in rng.integers(0, 400, 300)]
     rows = []

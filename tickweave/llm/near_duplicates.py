@@ -11,6 +11,9 @@ posted under their (coordinate, value) pairs; two documents that agree in at lea
 * Skip: each list first compares its members with one leader, another one in each of
   ``ROUNDS`` rounds. Members that this puts into one component need not be compared; only
   pairs across components are, at the end. So a list of n near copies costs about n comparisons.
+* Long lists are compared inside tasks, in blocks of ``LIST_BLOCK`` members, and only links or
+  few candidates leave a task. If a block has many candidates, their full sets are sent to
+  the task, which confirms them itself.
 * Size: sets of a similarity of 0.8 differ by a factor of 1.25 at most, so lists are kept
   by size class and only equal and adjacent classes meet.
 
@@ -19,6 +22,7 @@ below 1e-5; confirmed pairs always have the exact similarity.
 """
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -28,6 +32,9 @@ from tickweave.llm.components import components
 COORDINATES = 32
 MATCHES = 15
 ROUNDS = 2
+SHORT = 32              # lists up to this length are joined with themselves
+LIST_BLOCK = 1024
+FEW = 2                 # candidate pairs for each member that a block may hand on
 BLOCK = 2 << 20
 
 _MULTIPLIERS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -121,7 +128,8 @@ def postings(classes: DataFrame) -> DataFrame:
     mine = Window.partitionBy("set")
     ranked = (met.withColumn("rank", F.row_number().over(mine.orderBy("n", "posting")))
               .withColumn("of", F.count("*").over(mine)))
-    met = ranked.where(F.col("rank") <= F.col("of") - (MATCHES - 1)).select("posting", "set")
+    ranked = ranked.withColumn("weight", F.sum("n").over(mine))
+    met = ranked.where(F.col("rank") <= F.col("of") - (MATCHES - 1)).select("posting", "set", "weight")
     return met.join(classes.select("set", "n_shingles"), "set")
 
 
@@ -132,13 +140,18 @@ def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").where(same >= MATCHES).select("a", "b")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs whose full sets have a Jaccard similarity of at least ``percent`` / 100."""
-    needed = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
+def _sets_of(needed: DataFrame, docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """The shingles of each of the ``needed`` sets, read from one of its documents."""
     readers = needed.join(classes.select("set", "reader"), "set").select(F.col("reader").alias("doc_id")).distinct()
     texts = docs.select("doc_id", "text").where("text is not null")
     sets = full_sets(texts.join(readers, "doc_id", "left_semi").unionByName(texts.where("doc_id is null")), size)
-    sets = written(sets.join(needed, "set", "left_semi").dropDuplicates(["set"]), "sets")
+    return written(sets.join(needed, "set", "left_semi").dropDuplicates(["set"]), "sets")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs whose full sets have a Jaccard similarity of at least ``percent`` / 100."""
+    needed = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
+    sets = _sets_of(needed, docs, classes, size)
     side = lambda k: sets.select(F.col("set").alias(k), F.col("shingles").alias(f"s{k}"))
     common = F.size(F.array_intersect("sa", "sb"))
     joint = F.size("sa") + F.size("sb") - common
@@ -146,6 +159,43 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int,
             .where(common.cast("bigint") * 100 >= joint.cast("bigint") * percent).select("a", "b"))
 
 
+_KEY = ["posting", "low", "high"]
+
+
+def _compare_block(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Candidate pairs across components, or one row without a pair if there are many; with ``shingles``, links.
+
+    Members of the component with most members are only compared with the others. Links
+    found on the way join components, so what they connect is not compared again.
+    """
+    sets = frame["set"].to_numpy()
+    _, root = np.unique(frame["root"].to_numpy().astype("S16"), return_inverse=True)
+    signature, n, block = np.stack(frame["signature"].to_numpy()), frame["n_shingles"].to_numpy(), frame["block"].to_numpy()
+    full = frame["shingles"].to_numpy() if "shingles" in frame else None
+    rest = root != np.bincount(root).argmax()
+    both_ways = frame["low"].iloc[0] != frame["high"].iloc[0]
+    later, out = np.arange(len(sets)), []
+    for s in np.flatnonzero(rest):
+        may = (root != root[s]) & (~rest | (later > s)) & (np.minimum(n, n[s]) * 100 >= np.maximum(n, n[s]) * percent)
+        may &= (block != block[s]) if both_ways else True
+        near = np.flatnonzero(may)
+        near = near[(signature[near] == signature[s]).sum(1) >= MATCHES]
+        if full is None:
+            out += [(sets[s], sets[k]) for k in near]
+            if len(out) > FEW * len(sets):
+                out = [(None, None)]
+                break
+        elif len(near):
+            each = np.concatenate(full[near])
+            owner = np.repeat(np.arange(len(near)), n[near])
+            common = np.bincount(owner[np.isin(each, full[s])], minlength=len(near))
+            for k in near[common * 100 >= (n[near] + n[s] - common) * percent]:
+                if root[k] != root[s]:
+                    out.append((sets[s], sets[k]))
+                    root[root == root[k]] = root[s]
+    return frame[_KEY].iloc[[0] * len(out)].assign(a=[a for a, _ in out], b=[b for _, b in out])
+
+
 def _grouped(lists: DataFrame, links: DataFrame) -> DataFrame:
     """The lists that hold several components, with each member's component."""
     groups = components(links).withColumnRenamed("node", "set")
@@ -166,7 +216,7 @@ def linked_sets(docs: DataFrame, signs: DataFrame, size: int, percent: int) -> D
     open_lists = lists.withColumn("root", F.col("set"))
     links = None
     for k in range(ROUNDS):
-        order = F.xxhash64("posting", "set", F.lit(k))
+        order = F.xxhash64("posting", "set", F.lit(k)) if k else -F.col("weight")     # first the one with most company
         leaders = open_lists.groupBy("posting", "class").agg(
             F.min(F.struct(order.alias("order"), F.col("set").alias("a"), F.col("root").alias("ra"))).alias("leader"))
         met = open_lists.join(leaders, ["posting", "class"]).where("set <> leader.a and root <> leader.ra")
@@ -176,15 +226,32 @@ def linked_sets(docs: DataFrame, signs: DataFrame, size: int, percent: int) -> D
         links = found if links is None else links.unionByName(found)
         open_lists = _grouped(lists, links)
 
-    a = open_lists.select("posting", F.col("set").alias("a"), F.col("root").alias("ra"), F.col("class").alias("own"),
-                          F.col("n_shingles").alias("na"), F.explode(F.array("class", F.col("class") + 1)).alias("class"))
-    b = open_lists.select("posting", F.col("set").alias("b"), F.col("root").alias("rb"), F.col("n_shingles").alias("nb"), "class")
+    lengths = open_lists.groupBy("posting").agg(F.count("*").alias("members"))
+    sized = written(open_lists.join(lengths, "posting"), "open")
+    short, long = sized.where(F.col("members") <= SHORT), sized.where(F.col("members") > SHORT)
+    a = short.select("posting", F.col("set").alias("a"), F.col("root").alias("ra"), F.col("class").alias("own"),
+                     F.col("n_shingles").alias("na"), F.explode(F.array("class", F.col("class") + 1)).alias("class"))
+    b = short.select("posting", F.col("set").alias("b"), F.col("root").alias("rb"), F.col("n_shingles").alias("nb"), "class")
     apart = (F.col("ra") != F.col("rb")) & ((F.col("own") != F.col("class")) | (F.col("a") < F.col("b")))
     alike = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    across = a.join(b, ["posting", "class"]).where(apart & alike).select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    across = a.join(b, ["posting", "class"]).where(apart & alike).select("a", "b")
+
+    blocks = F.ceil(F.col("members") / LIST_BLOCK)
+    placed = long.withColumn("block", F.pmod(F.xxhash64("set", F.lit(4)), blocks)).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+    placed = placed.select("posting", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+                           "block", "set", "root", "n_shingles")
+    signed_members = placed.join(classes.select("set", "signature"), "set")
+    shape = "posting long, low long, high long, a binary, b binary"
+    compared = written(signed_members.groupBy(*_KEY).applyInPandas(lambda f: _compare_block(f, percent), shape), "compared")
+    few = compared.where("a is not null").select("a", "b")
+    across = across.unionByName(few).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     across = written(_agreeing(across, classes), "pairs")
-    return components(links.unionByName(_confirmed(across, docs, classes, size, percent)))
+    many = signed_members.join(compared.where("a is null").select(*_KEY), _KEY)
+    sets = _sets_of(many.select("set").distinct(), docs, classes, size)
+    direct = many.join(sets, "set").groupBy(*_KEY).applyInPandas(lambda f: _compare_block(f, percent), shape)
+    found = _confirmed(across, docs, classes, size, percent).unionByName(direct.select("a", "b"))
+    return components(links.unionByName(found))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
