@@ -14,8 +14,8 @@ posted under their (coordinate, value) pairs; two documents that agree in at lea
 * Long lists are compared inside tasks, in blocks of ``LIST_BLOCK`` members, and only links or
   few candidates leave a task. If a block has many candidates, their full sets are sent to
   the task, which confirms them itself.
-* Size: sets of a similarity of 0.8 differ by a factor of 1.25 at most, so lists are kept
-  by size class and only equal and adjacent classes meet.
+* Size: sets of a similarity of 0.8 differ by a factor of 1.25 at most, so leaders are chosen
+  by size class and pairs of other sizes are not formed.
 
 With a true similarity of 0.8, fewer than 15 of 32 coordinates agree with probability
 below 1e-5; confirmed pairs always have the exact similarity.
@@ -33,7 +33,7 @@ COORDINATES = 32
 MATCHES = 15
 ROUNDS = 2
 SHORT = 32              # lists up to this length are joined with themselves
-LIST_BLOCK = 1024
+LIST_BLOCK = 2560
 FEW = 2                 # candidate pairs for each member that a block may hand on
 BLOCK = 2 << 20
 
@@ -229,12 +229,10 @@ def linked_sets(docs: DataFrame, signs: DataFrame, size: int, percent: int) -> D
     lengths = open_lists.groupBy("posting").agg(F.count("*").alias("members"))
     sized = written(open_lists.join(lengths, "posting"), "open")
     short, long = sized.where(F.col("members") <= SHORT), sized.where(F.col("members") > SHORT)
-    a = short.select("posting", F.col("set").alias("a"), F.col("root").alias("ra"), F.col("class").alias("own"),
-                     F.col("n_shingles").alias("na"), F.explode(F.array("class", F.col("class") + 1)).alias("class"))
-    b = short.select("posting", F.col("set").alias("b"), F.col("root").alias("rb"), F.col("n_shingles").alias("nb"), "class")
-    apart = (F.col("ra") != F.col("rb")) & ((F.col("own") != F.col("class")) | (F.col("a") < F.col("b")))
-    alike = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    across = a.join(b, ["posting", "class"]).where(apart & alike).select("a", "b")
+    a = short.select("posting", F.col("set").alias("a"), F.col("root").alias("ra"), F.col("n_shingles").alias("na"))
+    b = short.select("posting", F.col("set").alias("b"), F.col("root").alias("rb"), F.col("n_shingles").alias("nb"))
+    alike = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    across = a.join(b, "posting").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & alike).select("a", "b")
 
     blocks = F.ceil(F.col("members") / LIST_BLOCK)
     placed = long.withColumn("block", F.pmod(F.xxhash64("set", F.lit(4)), blocks)).withColumn(
