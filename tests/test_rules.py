@@ -114,3 +114,29 @@ def test_positional_binding(spark):
     df = spark.createDataFrame([("d", "m", 2.0, 5)], "device_id string, kind string, value double, t int")
     out = bind_positional(df, ("dev", "_", "v"), df.columns)
     assert out.columns == ["dev", "v"] and tuple(out.first()) == ("d", 2.0)
+
+
+def test_rule_over_readings_and_alerts(spark):
+    df = readings(spark, [(0, "d", "Moisture", 10.0), (1, "d", "Moisture", 20.0), (61, "d", "Moisture", 90.0)])
+    rules = RuleSet((
+        Rule("alert", "tumbling", 30, (MOIST,), MEAN, (Having("<", 25),), label="DRY"),
+        Rule("report", "tumbling", 60, (Source("alert", "DRY"), MOIST), (Agg("value", "count"),)),
+    ))
+    out = [r for r in rules.run(df).collect() if r.event_type == "report"]
+    assert sorted(r.value for r in out) == [1.0, 2.0]       # one from the alert, one from the two readings
+
+
+def test_window_without_values_does_not_fire(spark):
+    df = readings(spark, [(0, "d", "Moisture", None), (1, "d", "Moisture", None)])
+    rule = Rule("alert", "tumbling", 30, (MOIST,), MEAN, (Having("<", 25),))
+    assert tumbling_rules(df, [rule]).count() == 0
+
+
+def test_streams_read_files_and_folders_alike(spark, tmp_path):
+    from tickweave.catalogue import QUERIES
+
+    for parts in (1, 3):
+        rows = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+        rows.repartition(parts).write.parquet(f"{tmp_path}/{parts}/events.parquet")
+    count = lambda path: QUERIES["stream_fresh_only"](spark, path).count()
+    assert count(f"{tmp_path}/1") == count(f"{tmp_path}/3") == count("/root/testdata/sf0.001") > 0

@@ -138,12 +138,12 @@ def conformance_totals(spark, sf_dir):
          prob AS declared_prob, {sql_r4('abs(coalesce(n, 0)::DOUBLE / total - prob) * 100')} AS deviation_pp,
          abs(coalesce(n, 0)::DOUBLE / total - prob) <= 0.05 AS pass
   FROM declared d
-  JOIN (SELECT device_class, measure_name, zone_id, count(*) AS total FROM classed WHERE tick < 20000 GROUP BY ALL) t
+  JOIN (SELECT device_class, measure_name, zone_id, count(*) AS total FROM classed GROUP BY ALL) t
     USING (device_class, measure_name, zone_id)
-  LEFT JOIN (SELECT device_class, measure_name, zone_id, tier, count(*) AS n FROM classed WHERE tick < 20000 GROUP BY ALL) c
+  LEFT JOIN (SELECT device_class, measure_name, zone_id, tier, count(*) AS n FROM classed GROUP BY ALL) c
     USING (device_class, measure_name, zone_id, tier)""", *_CTES))
 def tier_rates_first_weeks(spark, sf_dir):
-    out = tier_rates(_classed(spark, sf_dir).filter("tick < 20000"), _declared(spark, sf_dir),
+    out = tier_rates(_classed(spark, sf_dir), _declared(spark, sf_dir),
                      ["device_class", "measure_name", "zone_id"])
     return out.select("device_class", "measure_name", "zone_id", "tier", "n_events", r4("observed_prob").alias("observed_prob"),
                       "declared_prob", r4("deviation_pp").alias("deviation_pp"), "pass")

@@ -24,7 +24,7 @@ _MEAN = (Agg("value", "avg"),)
 
 def _stream(spark, sf_dir) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")       # one file, or a folder of files
     tier = F.when(F.col("value") >= 100, "ABOVE").when(F.col("value") < 5, "BELOW").otherwise("NORMAL")
     ticks = events_as_readings(events, ORIGIN_S).withColumn("tier", tier)
     return sw.with_event_time(ticks, f"{DELAY_MINUTES} minutes", ORIGIN_S)

@@ -65,8 +65,8 @@ def states_for(aggs: Sequence[Agg], tick: str = "tick", tie: str = "event_id",
     return list(out.values())
 
 
-def result(agg: Agg, state: Callable[[str], Column] = F.col, prefix: str = "") -> Column:
-    """Final value of one aggregate from its states."""
+def result(agg: Agg, state: Callable[[str], Column] = F.col, prefix: str = "", empty: float | None = DEFAULT_VALUE) -> Column:
+    """Final value of one aggregate from its states; ``empty`` is its value over no values."""
     s = lambda kind: state(f"{prefix}_{kind}_{agg.input}")
     value = {
         "avg": lambda: F.try_divide(s("sum"), s("count")),
@@ -76,4 +76,4 @@ def result(agg: Agg, state: Callable[[str], Column] = F.col, prefix: str = "") -
         "max": lambda: s("max"),
         "last": lambda: s("last")["v"],
     }[agg.func]()
-    return F.coalesce(value, F.lit(DEFAULT_VALUE)).alias(agg.out)
+    return F.coalesce(value, F.lit(empty)).alias(agg.out)

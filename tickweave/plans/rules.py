@@ -144,8 +144,8 @@ def tumbling_rules(
         for s in states_for(_own_aggs(rule), "tick", tie, where=match):
             states.append(s.from_rows.alias(prefix + s.name))
         value = (result(rule.aggs[0], prefix=prefix) if rule.aggs else F.lit(DEFAULT_VALUE))
-        mean = result(Agg(MEAN), prefix=prefix) if rule.having else F.lit(None)
-        fires = (F.col(f"{prefix}_rows") > 0) & _mean_holds(mean, rule.having)
+        mean = result(Agg(MEAN), prefix=prefix, empty=None) if rule.having else F.lit(None)
+        fires = (F.col(f"{prefix}_rows") > 0) & F.coalesce(_mean_holds(mean, rule.having), F.lit(False))
         extra = F.map_from_arrays(
             F.array(*[F.lit(a.out) for a in rule.aggs]),
             F.array(*[result(a, prefix=prefix) for a in rule.aggs]),
@@ -246,12 +246,16 @@ class RuleSet:
             groups: dict[tuple, list[Rule]] = {}
             for r in level:
                 chained = any(s.event_type in heads for s in r.sources)
-                shared = (r.window, r.size, r.keys, chained) if r.window == "tumbling" else (id(r),)
+                reading = any(s.event_type not in heads for s in r.sources)
+                shared = (r.window, r.size, r.keys, chained, reading) if r.window == "tumbling" else (id(r),)
                 groups.setdefault(shared, []).append(r)
             outs = []
             for rules in groups.values():
-                chained = any(s.event_type in heads for r in rules for s in r.sources)
-                events = _as_events(derived) if chained else readings
+                reads = {s.event_type for r in rules for s in r.sources}
+                parts = [readings] if reads - heads else []
+                if reads & heads:       # a rule may read readings and derived events together
+                    parts.append(_as_events(derived.where(F.col("event_type").isin(*sorted(reads & heads)))))
+                events = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
                 if rules[0].window == "tumbling":
                     outs.append(tumbling_rules(events, rules, self.start, closed_at, None))
                 else:

@@ -44,7 +44,7 @@ def windowed(
     bounds = F.window("event_ts", duration, slide or duration, offset or "0 seconds")
     out = df.groupBy(*keys, bounds.alias("window")).agg(*exprs)
     if having:
-        out = out.filter(_mean_holds(result(Agg(MEAN)), having))
+        out = out.filter(_mean_holds(result(Agg(MEAN), empty=None), having))
     return out.select(*keys, "window", *[result(a) for a in aggs])
 
 
