@@ -75,6 +75,18 @@ def test_chained_rule_sees_unrounded_values(spark):
     assert out == {"a": 0.3333, "b": 0.3333}
 
 
+def test_plan_of_a_chain_is_linear_and_inner_alerts_come_out(spark):
+    df = readings(spark, [(i * 10, "d", "m", 1.0) for i in range(60)]).repartition(2)
+    scans = []
+    for depth in (2, 4, 6):
+        rules = [Rule("e0", "tumbling", 10, (Source("sensor_reading"),), label="L")]
+        rules += [Rule(f"e{k}", "tumbling", 20, (Source(f"e{k - 1}"),), label="L") for k in range(1, depth)]
+        out = RuleSet(tuple(rules), complete_only=False).run(df)
+        scans.append(out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD"))
+        assert {r.event_type for r in out.collect()} == {f"e{k}" for k in range(depth)}
+    assert scans == [2, 4, 6]
+
+
 def test_windows_of_rows_and_landmark(spark):
     df = readings(spark, [(0, "d", "m", 1.0), (5, "d", "m", 3.0), (9, "d", "m", 8.0)])
     rows = row_rule(df, Rule("r", "rows", 2, (Source("sensor_reading"),), MEAN, fire_offset=1))

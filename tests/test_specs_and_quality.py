@@ -9,7 +9,7 @@ from tickweave import schemas
 from tickweave.functions.scalars import duration_ms, interval_ticks, tick_of
 from tickweave.operators import quality as q
 from tickweave.operators.binding import bind_devices, bind_profiles, synthetic_bindings
-from tickweave.operators.specs import assemble_profiles, classify_event_type, effective_arrivals, pack_measures, unpack_measures
+from tickweave.operators.specs import assemble_profiles, classify_event_type, effective_arrivals, pack_measures, unpack_measures, value_columns
 from tickweave.operators.summaries import scale_vs_first, scaling_exponent, throughput
 from tickweave.operators.transmit import with_stale_flag
 from tickweave.plans import example_farm as farm
@@ -65,6 +65,18 @@ def test_pack_and_unpack(spark):
     wide = pack_measures(df)
     assert tuple(wide.first()) == ("d", 1, 5.0, None, 8.0)
     assert sorted(map(tuple, unpack_measures(wide).collect())) == [("d", 1, 0, 5.0), ("d", 1, 2, 8.0)]
+    five = value_columns(5)
+    wider = df.unionByName(df.where("position = 0").withColumn("position", F.lit(4)))
+    assert tuple(pack_measures(wider, columns=five).first()) == ("d", 1, 5.0, None, 8.0, None, 5.0)
+    assert unpack_measures(pack_measures(wider, columns=five), columns=five).count() == 3
+    with pytest.raises(Exception, match="position"):
+        pack_measures(wider).collect()
+    assert "SortAggregate" not in wide._jdf.queryExecution().toString()
+
+
+def test_functional_dependency_sees_nulls(spark):
+    df = spark.createDataFrame([(1, "a", None), (1, None, "a"), (2, "b", None), (2, "b", None)], "k int, x string, y string")
+    assert [r.subject for r in q.functional_dependency(df, ["k"], ["x", "y"]).collect()] == ["1"]
 
 
 def found(df):

@@ -148,6 +148,11 @@ def test_synthetic_feed_reaches_every_binding(spark):
     ticks = spark.range(5).select(F.col("id").alias("tick"))
     out = readings_at(ticks, bound, 1, shards=4)
     assert out.select("device_id", "tick").distinct().count() == out.count() == 100
+    timed = bound.withColumn("interval_ms", F.lit(120_000.0)).withColumn(
+        "mode", F.when(F.col("device_id") == "0", "ON_CHANGE").otherwise("PERIODIC"))
+    due = readings_at(ticks, timed, 1, shards=4)
+    assert sorted(r.tick for r in due.where("device_id = '0'").collect()) == [0, 1, 2, 3, 4]
+    assert sorted(r.tick for r in due.where("device_id = '1'").collect()) == [0, 2, 4]
 
 
 @pytest.mark.parametrize("mode,limit", [("ON_CHANGE", 9.0), ("ON_THRESHOLD", 2.0)])

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tickweave.catalogue.base import DAY, query, r4, readings, sql_r4, table, with_readings
 from tickweave.operators.aggregates import Agg, result, states_for
 from tickweave.operators.ordered import keep_last_n, keep_recent, rolling_rows
-from tickweave.operators.specs import pack_measures, unpack_measures
+from tickweave.operators.specs import pack_measures, unpack_measures, value_columns
 from tickweave.operators.windows import (
     cooccur_same_window, cooccur_within, landmark, last_tick, sliding_every_tick, sliding_time, tumbling,
 )
@@ -200,19 +200,22 @@ def literal_group_label(spark, sf_dir):
         "device_id", "event_type", "measure_name", "rule_label", "tick", "value")
 
 
-_POSITIONS = ("error", "view", "click")
+_POSITIONS = ("error", "view", "click", "purchase", "signup")
+_COLUMNS = value_columns(len(_POSITIONS))
 _PACKED_SQL = """packed AS (
   SELECT device_id, tick,
          arg_max(value, event_id) FILTER (WHERE measure_name = 'error') AS value,
          arg_max(value, event_id) FILTER (WHERE measure_name = 'view') AS value2,
-         arg_max(value, event_id) FILTER (WHERE measure_name = 'click') AS value3
-  FROM readings WHERE measure_name IN ('error', 'view', 'click') GROUP BY device_id, tick)"""
+         arg_max(value, event_id) FILTER (WHERE measure_name = 'click') AS value3,
+         arg_max(value, event_id) FILTER (WHERE measure_name = 'purchase') AS value4,
+         arg_max(value, event_id) FILTER (WHERE measure_name = 'signup') AS value5
+  FROM readings GROUP BY device_id, tick)"""
 
 
 def _packed(spark, sf_dir):
     names = F.array(*[F.lit(p) for p in _POSITIONS])
-    r = readings(spark, sf_dir).filter(F.col("measure_name").isin(*_POSITIONS))
-    return pack_measures(r.withColumn("position", F.array_position(names, F.col("measure_name")) - 1))
+    place = F.array_position(names, F.col("measure_name")) - 1
+    return pack_measures(readings(spark, sf_dir).withColumn("position", place), columns=_COLUMNS)
 
 
 @query(with_readings("SELECT * FROM packed", _PACKED_SQL))
@@ -223,9 +226,11 @@ def packed_measures(spark, sf_dir):
 @query(with_readings("""
   SELECT device_id, tick, 0 AS position, value FROM packed WHERE value IS NOT NULL
   UNION ALL SELECT device_id, tick, 1, value2 FROM packed WHERE value2 IS NOT NULL
-  UNION ALL SELECT device_id, tick, 2, value3 FROM packed WHERE value3 IS NOT NULL""", _PACKED_SQL))
+  UNION ALL SELECT device_id, tick, 2, value3 FROM packed WHERE value3 IS NOT NULL
+  UNION ALL SELECT device_id, tick, 3, value4 FROM packed WHERE value4 IS NOT NULL
+  UNION ALL SELECT device_id, tick, 4, value5 FROM packed WHERE value5 IS NOT NULL""", _PACKED_SQL))
 def unpacked_measures(spark, sf_dir):
-    return unpack_measures(_packed(spark, sf_dir))
+    return unpack_measures(_packed(spark, sf_dir), columns=_COLUMNS)
 
 
 @query(with_readings(f"""
@@ -242,11 +247,10 @@ def value2_aggs(spark, sf_dir):
 
 
 @query(with_readings("""
-  SELECT device_id, tick AS t, value AS v FROM readings WHERE measure_name = 'click' AND value > 150"""))
+  SELECT device_id, tick AS t, value AS v FROM readings"""))
 def positional_binding(spark, sf_dir):
     columns = ("device_id", "measure_name", "value", "tick")
-    rows = readings(spark, sf_dir).filter("measure_name = 'click' AND value > 150")
-    return bind_positional(rows, ("device_id", "_", "v", "t"), columns)
+    return bind_positional(readings(spark, sf_dir), ("device_id", "_", "v", "t"), columns)
 
 
 @query(with_readings("""

@@ -127,7 +127,7 @@ def stream_cooccur_within(spark, sf_dir):
 
 @query(with_readings(f"""
   SELECT event_id, device_id, tick FROM readings
-  WHERE {uniform_sql("device_id, measure_name, CAST(tick AS VARCHAR)", "loss")} >= 0.1"""))
+  WHERE {uniform_sql("device_id, measure_name, CAST(tick AS VARCHAR), CAST(event_id AS VARCHAR)", "loss")} >= 0.1"""))
 def stream_lossy(spark, sf_dir):
     return _run(lossy(_stream(spark, sf_dir), 0.1, SEED), "lossy").select("event_id", "device_id", "tick")
 

@@ -10,12 +10,12 @@ from tickweave.operators.transmit import (
 )
 
 USER = ("device_id",)
-_LOSS_KEYS = "device_id, measure_name, CAST(tick AS VARCHAR)"
+_LOSS_KEYS = "device_id, measure_name, CAST(tick AS VARCHAR), CAST(event_id AS VARCHAR)"
 _U = uniform_sql(_LOSS_KEYS, "loss")
 
 
 def _survive(p):
-    return survives(p, SEED, ("device_id", "measure_name", "tick"))
+    return survives(p, SEED, ("device_id", "measure_name", "tick", "event_id"))
 
 
 @query(with_readings("SELECT event_id, device_id, tick, value FROM readings WHERE tick % 5 = 0"))

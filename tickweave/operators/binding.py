@@ -16,14 +16,15 @@ from tickweave.operators.specs import last_declared
 def bind_devices(devices: DataFrame, plots: DataFrame, measures: DataFrame) -> DataFrame:
     """One row per device and measure of its class, with the zone of its plot.
 
-    Devices on unknown plots and classes without measures have no row. A plot listed twice
-    counts once, as listed last if the table has a ``decl_order``.
+    Devices on unknown plots and classes without measures have no row. A plot or a class's
+    measure listed twice counts once, as listed last if the table has a ``decl_order``.
     """
     order = ["decl_order"] if "decl_order" in plots.columns else ["zone_id"]
     zone_of = last_declared(plots.select("plot_id", "zone_id", *{*order} - {"zone_id"}), ["plot_id"], order)
-    class_measures = measures.select("device_class", "measure_name", "position").dropDuplicates(
-        ["device_class", "measure_name"]
-    )
+    order = ["decl_order"] if "decl_order" in measures.columns else ["position"]
+    class_measures = last_declared(
+        measures.select("device_class", "measure_name", "position", *{*order} - {"position"}),
+        ["device_class", "measure_name"], order).select("device_class", "measure_name", "position")
     return (
         devices.join(zone_of.select("plot_id", "zone_id"), "plot_id")
         .join(class_measures, "device_class")

@@ -26,6 +26,11 @@ MEASURE_ORDER = {
 VALUE_COLUMNS = ("value", "value2", "value3")
 
 
+def value_columns(n: int) -> tuple[str, ...]:
+    """Names of ``n`` value columns; the record shape has the first three."""
+    return ("value", *[f"value{i}" for i in range(2, n + 1)])
+
+
 def last_declared(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ("decl_order",)) -> DataFrame:
     """One row per key: the one declared last. An aggregate, so hot keys combine early."""
     rest = [c for c in df.columns if c not in keys]
@@ -135,20 +140,27 @@ def measure_position(device_class: Column, measure: Column,
 
 
 def pack_measures(df: DataFrame, keys: Sequence[str] = ("device_id", "tick"),
-                  position: str = "position") -> DataFrame:
-    """Long to wide: the measures of one device and tick in value, value2, value3."""
-    latest = F.struct("event_id", "value")
-    return df.groupBy(*keys).agg(*[
-        F.max(F.when(F.col(position) == i, latest)).getField("value").alias(name)
-        for i, name in enumerate(VALUE_COLUMNS)
+                  position: str = "position", columns: Sequence[str] = VALUE_COLUMNS) -> DataFrame:
+    """Long to wide: the measures of one device and tick in one of ``columns`` each.
+
+    The reading with the largest event_id counts. A position without a column is an error,
+    so no measure is lost; ``value_columns`` names columns for wider classes.
+    """
+    place = F.col(position)
+    known = F.coalesce((place >= 0) & (place < len(columns)), F.lit(False))
+    place = F.when(known, place).otherwise(F.raise_error(F.lit(f"a measure's position is not in 0..{len(columns) - 1}")))
+    return df.withColumn(position, place).groupBy(*keys).agg(*[
+        F.max_by("value", F.when(F.col(position) == i, F.col("event_id"))).alias(name)
+        for i, name in enumerate(columns)
     ])
 
 
-def unpack_measures(df: DataFrame, ids: Sequence[str] = ("device_id", "tick")) -> DataFrame:
+def unpack_measures(df: DataFrame, ids: Sequence[str] = ("device_id", "tick"),
+                    columns: Sequence[str] = VALUE_COLUMNS) -> DataFrame:
     """Wide to long: one row per filled value column, with its position."""
     values = F.array(*[
         F.struct(F.lit(i).alias("position"), F.col(c).alias("reading"))
-        for i, c in enumerate(VALUE_COLUMNS)
+        for i, c in enumerate(columns)
     ])
     out = df.select(*ids, F.inline(values)).filter(F.col("reading").isNotNull())
     return out.withColumnRenamed("reading", "value")

@@ -12,10 +12,10 @@ MILD_BELOW = 1.5
 def counts_with_share(df: DataFrame, by: str) -> DataFrame:
     """Rows per group and their share of all rows in whole percent (integer division).
 
-    Groups are counted first; the total is a scalar over those few counts.
+    Groups are counted first; the total is the sum of those few counts.
     """
     counts = df.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1)).alias("total")).scalar()
+    total = counts.agg(F.sum("n").alias("total")).scalar()
     return counts.withColumn("_total", total).select(
         by, "n", F.expr("(100 * n) div _total").alias("percent")
     )

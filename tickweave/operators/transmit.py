@@ -35,8 +35,13 @@ def survives(probability: Column | float, seed: int, keys: Sequence[str | Column
 
 
 def lossy(df: DataFrame, probability: Column | float, seed: int,
-          keys: Sequence[str | Column] = ("device_id", "measure_name", "tick")) -> DataFrame:
-    """Drop each reading independently with the given probability."""
+          keys: Sequence[str | Column] | None = None) -> DataFrame:
+    """Drop each reading independently with the given probability.
+
+    ``keys`` tell readings apart; by default device, measure, tick and, if the table has it, event_id.
+    """
+    if keys is None:
+        keys = [k for k in (*KEYS, *ORDER) if k != "event_id" or k in df.columns]
     return df.filter(survives(probability, seed, keys))
 
 
@@ -140,7 +145,7 @@ def transmit(
     by a filter, so periodic readings, usually the bulk, are not shuffled. Readings
     without a mode are periodic; ``modes`` may leave out modes that no profile has.
     """
-    ok = survives(F.col("failure"), seed, (*keys, "tick"))
+    ok = survives(F.col("failure"), seed, (*keys, *order))
     mode = F.coalesce("mode", F.lit("PERIODIC"))
     due = periodic(df.filter(~mode.isin("ON_CHANGE", "ON_THRESHOLD")),
                    F.coalesce(interval_ticks(F.col("interval_ms"), ms_per_tick), F.lit(1)), start)

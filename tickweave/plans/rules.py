@@ -237,11 +237,13 @@ class RuleSet:
     def run(self, readings: DataFrame) -> DataFrame:
         """Derived events of all rules, with the aggregates map of each.
 
-        Chained rules see unrounded values; rounding happens once, on the way out.
+        Chained rules see unrounded values; rounding happens once, on the way out. A rule
+        reads the outputs of the heads it names only, so a chain adds its own steps to the plan.
         """
         closed_at = last_tick(readings) if self.complete_only else None
         heads = {r.head for r in self.rules}
-        derived: DataFrame | None = None
+        outs: list[DataFrame] = []
+        made: dict[str, list[DataFrame]] = {}       # what each head's rules put out
         for level in self.levels():
             groups: dict[tuple, list[Rule]] = {}
             for r in level:
@@ -249,29 +251,29 @@ class RuleSet:
                 reading = any(s.event_type not in heads for s in r.sources)
                 shared = (r.window, r.size, r.keys, chained, reading) if r.window == "tumbling" else (id(r),)
                 groups.setdefault(shared, []).append(r)
-            outs = []
             for rules in groups.values():
                 reads = {s.event_type for r in rules for s in r.sources}
                 parts = [readings] if reads - heads else []
-                if reads & heads:       # a rule may read readings and derived events together
-                    parts.append(_as_events(derived.where(F.col("event_type").isin(*sorted(reads & heads)))))
+                for head in sorted(reads & heads):      # a rule may read readings and derived events together
+                    parts += [_as_events(out.where(F.col("event_type") == head)) for out in made[head]]
                 events = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
                 if rules[0].window == "tumbling":
-                    outs.append(tumbling_rules(events, rules, self.start, closed_at, None))
+                    out = tumbling_rules(events, rules, self.start, closed_at, None)
                 else:
-                    outs.append(row_rule(events, rules[0], self.start, None,
-                                         self.segments.get(rules[0].keys)))
-            level_out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), outs)
-            derived = level_out if derived is None else derived.unionByName(
-                level_out, allowMissingColumns=True)
+                    out = row_rule(events, rules[0], self.start, None, self.segments.get(rules[0].keys))
+                outs.append(out)
+                for head in {r.head for r in rules}:
+                    made.setdefault(head, []).append(out)
+        derived = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), outs)
         if self.digits is None:
             return derived
         return derived.withColumn("value", F.round("value", self.digits))
 
 
 def _as_events(derived: DataFrame) -> DataFrame:
-    """Derived events as the input of a later rule; they have no reading number."""
-    return derived.withColumn("event_id", F.lit(0).cast("bigint"))
+    """Derived events as the input of a later rule, numbered by a hash of what tells them apart."""
+    names = [c for c in derived.columns if c not in ("value", "aggregates")]
+    return derived.withColumn("event_id", F.xxhash64(*names))
 
 
 def merge_events(readings: DataFrame, derived: DataFrame) -> DataFrame:
