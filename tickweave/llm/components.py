@@ -15,24 +15,29 @@ def _toward_smallest(pairs: DataFrame, larger_only: bool) -> DataFrame:
             .unionByName(near.select("a", F.col("m").alias("b"))))
 
 
+def _is_settled(edges: DataFrame) -> bool:
+    """Whether every larger end hangs on one node and that node hangs on none: then that node is its root."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
+    nodes = ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    open_nodes = nodes.where((F.col("hangs") > 1) | ((F.col("hangs") == 1) & (F.col("holds") == 1)))
+    return open_nodes.agg(F.count("*")).first()[0] == 0
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node`` and ``root``, the smallest node it reaches, for every node in ``links`` (``a``, ``b``).
 
     Rows with a null end and self-links add nothing. Each round is written to the shared
     folder and aggregates before it joins, so a hub's links are spread like any skewed join.
+    Rounds end once all links are stars, which one aggregation over the nodes tells.
     """
     edges = links.where("a is not null and b is not null and a <> b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = written(edges, "links")
-    state = None
-    while True:
+    while not _is_settled(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _toward_smallest(both, True).where("a <> b").distinct()
         small = _toward_smallest(large, False).where("a <> b").distinct()
         edges = written(small, "links")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(now) == state:
-            break
-        state = tuple(now)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
