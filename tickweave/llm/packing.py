@@ -7,6 +7,7 @@ sum of squared fills larger, so fuller bins get fuller and the emptiest ones emp
 group leaves at most a few underfull bins among thousands.
 """
 
+import re
 import zlib
 from itertools import chain
 
@@ -19,9 +20,18 @@ from tickweave.llm.common import text_blocks, utf8, within, written
 CAPACITY = 4096
 GROUP = 8192
 END_ID = 1
-CACHE_WORDS = 400_000       # words whose ids a task remembers
+CACHE_WORDS = 600_000       # words whose ids a task remembers
+CACHE_RUNS = 800_000        # runs whose ids a task remembers
+ENCODE = 4096               # texts that are encoded at a time
 PAIRS = 64                  # items of a bin that two-for-one exchanges pair up
 
+#: Words whose lower case is one letter for each and that no normal form changes, and how such a word is split.
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
+_RUNS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u017f0-9]+")
+#: The sign by which a byte-level vocabulary writes each byte: itself if it prints, else the next one from 256.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_SIGNS = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
+
 
 class _Places(dict):
     """Numbers words as they come, and lists the new ones."""
@@ -40,39 +50,44 @@ class WordIds:
     """Ids of texts through a tokenizer that drops white space, remembered word by word.
 
     The tokenizer never joins what ASCII white space separates, so a text's ids are those
-    of its words in order. It lower-cases and splits letters from punctuation, so a word of
-    ASCII letters with or without a final full stop or comma needs its merges only.
+    of its words in order. It lower-cases and splits words into runs of letters, digits and
+    other signs, so a word of printable ASCII and Latin letters has the ids of its runs,
+    which many words share. Other words go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.merges = Tokenizer(self.tokenizer.model)
-        self.tails = {b"": [], **{t: self.tokenizer.encode(t.decode(), add_special_tokens=False).ids for t in (b".", b",")}}
+        self.model = self.tokenizer.model
+        self.runs: dict[str, list[int]] = {}
         self.clear()
 
     def clear(self):
         self.places = _Places()
-        self.letters: dict[bytes, list[int]] = {}
         self.ids, self.begin = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        if len(self.runs) > CACHE_RUNS:
+            self.runs = {}
+
+    def _run(self, run: str) -> list[int]:
+        """The merged ids of one run of lower-case signs."""
+        signs = run if run.isascii() else run.encode().decode("latin-1").translate(_BYTE_SIGNS)
+        return [t.id for t in self.model.tokenize(signs)]
+
+    def _encoded(self, texts: list[str]):
+        """The whole tokenizer's ids of each text; few encodings are held at a time, as each is large."""
+        for k in range(0, len(texts), ENCODE):
+            yield from (e.ids for e in self.tokenizer.encode_batch_fast(texts[k:k + ENCODE], add_special_tokens=False))
 
     def _learn(self, new: list[bytes]) -> None:
-        parts, other = [], []
-        for w in new:
-            low = w.lower()
-            tail = low[-1:] if low[-1:] in (b".", b",") else b""
-            body = low[:-1] if tail else low
-            if not body.isalpha():
-                body, tail = None, w
-                other.append(w)
-            parts.append((body, tail))
-        missing = list({b for b, _ in parts if b is not None and b not in self.letters})
-        for b, e in zip(missing, self.merges.encode_batch_fast([b.decode() for b in missing], add_special_tokens=False)):
-            self.letters[b] = e.ids
-        odd = dict(zip(other, (e.ids for e in self.tokenizer.encode_batch_fast(
-            [w.decode("utf-8", "replace") for w in other], add_special_tokens=False))))
-        ids = [self.letters[b] + self.tails[t] if b is not None else odd[t] for b, t in parts]
+        texts = [w.decode("utf-8", "replace") for w in new]
+        parts = [_RUNS.findall(t.lower()) if _PLAIN.fullmatch(t) and "<|" not in t else None for t in texts]
+        known = self.runs
+        for run in {r for runs in parts if runs for r in runs if r not in known}:
+            known[run] = self._run(run)
+        other = self._encoded([t for t, runs in zip(texts, parts) if runs is None])
+        ids = [next(other) if runs is None else known[runs[0]] if len(runs) == 1 else [i for r in runs for i in known[r]]
+               for runs in parts]
         ends = self.begin[-1] + np.cumsum([len(x) for x in ids])
         self.begin = np.concatenate((self.begin, ends))
         self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(ids), np.uint32)))
