@@ -6,6 +6,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from tickweave.functions import samplers
 from tickweave.functions.samplers import discrete_cdf, sample_value, with_cdf
 from tickweave.functions.scalars import clamp
 from tickweave.functions.uniform import digest, uniform
@@ -50,6 +51,11 @@ def test_edges(spark, family, params, want):
     assert set(draws(spark, family, params, 200)) == want
 
 
+def test_a_distribution_too_wide_to_search_raises():
+    with pytest.raises(ValueError):
+        samplers._binomial_cdf(1 << 40, 0.5)
+
+
 def test_cdf_matches_the_exact_one(spark):
     row = spark.createDataFrame([("binomial", {"n": 10.0, "p": 0.3})], "family string, params map<string,double>").select(
         discrete_cdf(F.col("family"), F.col("params")).alias("c")).first().c

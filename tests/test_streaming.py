@@ -68,6 +68,13 @@ def test_gate(spark, source, tmp_path, name):
     assert got == want and len(got) > 50
 
 
+def test_rolling_rows_with_missing_values():
+    fold = st._Rows(KEYS, 2)
+    fold.recent = type("Recent", (), {"get": lambda self: [(4.0,)], "put": lambda self, rows: None})()
+    rows = [(None, 1, 1, None, True), (None, 2, 2, None, True), (None, 3, 3, 8.0, True), (None, 4, 4, 6.0, False)]
+    assert fold.fold(rows) == [(1, 1, 4.0), (2, 2, None), (3, 3, 8.0)]
+
+
 def test_rolling_rows(spark, source, tmp_path):
     path, batch = source
     got = {r.event_id: round(r.mean_value, 6) for r in run(spark, st.rolling_rows_mean(stream(spark, path), 4, KEYS), tmp_path).collect()}

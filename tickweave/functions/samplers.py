@@ -17,7 +17,7 @@ from tickweave.functions.search import rank_in_sorted
 from tickweave.schemas import DOUBLE, LONG, struct
 
 POISSON_EXACT_BELOW = 30.0   # from this mean on, Poisson is drawn as a truncated normal
-_CDF_MAX = 1 << 20
+_CDF_MAX = 1 << 20      # the search reaches 2 * _CDF_MAX - 1 entries; a wider distribution raises
 
 
 @dataclass(frozen=True)
@@ -105,6 +105,8 @@ def _binomial_cdf(n: int, p: float) -> tuple[int, list[float]]:
     # outside this band the mass is far below the spacing of a double
     reach = 12 * math.sqrt(n * p * (1 - p)) + 60
     first, last = max(0, math.floor(n * p - reach)), min(n, math.ceil(n * p + reach))
+    if last - first + 1 >= 2 * _CDF_MAX:
+        raise ValueError(f"binomial with n={n}, p={p} has more outcomes than can be searched")
     log_first = (
         math.lgamma(n + 1) - math.lgamma(first + 1) - math.lgamma(n - first + 1)
         + first * math.log(p) + (n - first) * math.log1p(-p)

@@ -106,7 +106,7 @@ class _Gate(_InOrder):
 
 
 class _Rows(_InOrder):
-    """Mean over the n most recent readings, for every reading."""
+    """Mean over the n most recent readings, for every reading; a null value takes its place among them."""
 
     def __init__(self, key_names, n: int):
         super().__init__(key_names)
@@ -122,10 +122,11 @@ class _Rows(_InOrder):
         recent = [r[0] for r in self.recent.get()]
         out = []
         for _, tick, event_id, value, survive in rows:
-            if value is None or not survive:
+            if not survive:
                 continue
             recent = [*recent, value][-self.n:]
-            out.append((tick, event_id, sum(recent) / len(recent)))
+            given = [v for v in recent if v is not None]
+            out.append((tick, event_id, sum(given) / len(given) if given else None))
         if out:
             self.recent.put([(v,) for v in recent])
         return out
