@@ -426,3 +426,15 @@ def test_model_agrees_with_the_rules(spark):
     truth = np.array([r["rejected"] for r in rest])
     hit = np.mean([(d > threshold)[truth].mean(), (d <= threshold)[~truth].mean()])
     assert hit > 0.8
+
+
+def test_ids_of_words_equal_those_of_the_whole_tokenizer():
+    from tickweave.llm.packing import WordIds
+    from tickweave.llm.queries import tokenizer_path
+
+    words = ["don't", "it's", "'tis", "'S'T'Re", "a1b22c3", "_a_", "Été,", "laéch%%%", "ŉ", "ſ", "İx", "ß", "ẞ", "Σας",
+             "é", "ﬁ", "\x1cx", "Ŀa", "x<|endoftext|>y", "<|endoftext|>", "日本", " a", "±½", "a​b", "..."]
+    ids = WordIds(tokenizer_path())
+    want = [e.ids for e in ids.tokenizer.encode_batch(words, add_special_tokens=False)]
+    ids._learn([w.encode() for w in words])
+    assert [ids.ids[a:b].tolist() for a, b in zip(ids.begin, ids.begin[1:])] == want
