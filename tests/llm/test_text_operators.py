@@ -428,6 +428,34 @@ def test_model_agrees_with_the_rules(spark):
     assert hit > 0.8
 
 
+def test_counts_are_exact_on_many_contexts(spark):
+    """300,000 random bytes have far more contexts than any fixed table of 2**16 cells keeps apart."""
+    rng = np.random.default_rng(5)
+    urls = ["".join(chr(c) for c in rng.integers(33, 127, 60)) for _ in range(5000)]
+    frame = spark.createDataFrame([(u, k % 2 == 0) for k, u in enumerate(urls)], "url string, rejected boolean")
+    counts = url_filter.counted(frame)
+    want = defaultdict(int)
+    for u in urls:
+        raw = b"\0" * url_filter.ORDER + u.encode()
+        for i in range(len(u)):
+            for k in range(url_filter.ORDER + 1):
+                context = raw[i + url_filter.ORDER - k:i + url_filter.ORDER]
+                want[k, context] = want[k, context, u[i]] = 1
+    assert counts.count() == len(want) > 1 << 17
+    part = frame.limit(300)
+    by_url = {r["url"]: r["difference"] for r in url_filter.scored(part, counts).collect()}
+    asked = list(by_url)
+    import pyarrow as pa
+
+    good, bad = (model_by_hand([u.encode() for k, u in enumerate(urls) if k % 2 == flag]) for flag in (1, 0))
+    got = url_filter.differences(counts, *utf8(pa.array(asked)))
+    for d, u in list(zip(got, asked))[:20]:
+        raw = b"\0" * url_filter.ORDER + u.encode()
+        each = [np.log(bad(raw[i:i + url_filter.ORDER], x)) - np.log(good(raw[i:i + url_filter.ORDER], x))
+                for i, x in enumerate(u.encode())]
+        assert d == pytest.approx(np.mean(each)) and by_url[u] == d
+
+
 def test_ids_of_words_equal_those_of_the_whole_tokenizer():
     from tickweave.llm.packing import WordIds
     from tickweave.llm.queries import tokenizer_path
