@@ -81,6 +81,34 @@ def test_phrases_equal_greedy_parsing():
             assert row[k] == sum(cut_greedily(p, plain(sample + " ")) for p in parts)
 
 
+def test_large_alphabets_keep_every_letter():
+    """Two languages of 2,000 letters each, half of them shared: rare letters are parsed as any other."""
+    rng = np.random.default_rng(2)
+    words_of = [["".join(chr(0x4E00 + c) for c in low + rng.integers(0, 2000, 3)) for _ in range(1500)] for low in (0, 1000)]
+    samples = [(name, " ".join(rng.choice(words, 4000))) for name, words in zip("ab", words_of)]
+    model = language_id.train(samples)
+    assert len(model.letters) == len(set("".join(t for _, t in samples)) - {" "}) > 2000
+    texts = [" ".join(rng.choice(words, n)) for words in words_of for n in (30, 400)] + ["abc \u4e00", ""]
+    import pyarrow as pa
+
+    codes, at, _ = language_id.normalise(*utf8(pa.array(texts)), language_id.codes_of(model.letters))
+    got = language_id.phrases(model, codes, at)
+    for row, text in zip(got, texts):
+        for k, (_, sample) in enumerate(samples):
+            parts = [text[i:i + language_id.STRETCH] for i in range(0, len(text), language_id.STRETCH)]
+            assert row[k] == sum(cut_greedily(p, sample + " ") for p in parts)
+    best, _, fits = language_id.judge(model, codes, at)
+    assert best[:4].tolist() == [0, 0, 1, 1] and fits[:4].all()
+
+
+def test_training_parts_come_from_the_whole_row(spark):
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(i, "a" * 3000 + "b" * 3000 + "c" * 3000, "en", "s", 9000) for i in ids]
+    sample = language_id.labelled_sample(spark.createDataFrame(rows, DOCS))
+    assert len(sample) == len(ids) and all({"a", "b", "c"} <= set(t) for _, t in sample)
+    assert all(sum(c != " " for c in t) == language_id.LETTERS_PER_DOC for _, t in sample)
+
+
 def test_language_of_held_out_documents(spark):
     got = queries.op1_language_id(spark, SF_DIR).join(table(spark).select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in got if r["held_out"]]

@@ -9,6 +9,10 @@ languages with less labelled text compete fairly. The language with the lowest v
 The automaton with "start a new phrase" on every missing arc is a complete table, so a
 task parses thousands of stretches of text at once, one letter of each per step. A text
 is parsed in stretches of ``STRETCH`` letters; a phrase never crosses two stretches.
+
+Every letter of the labelled text has a code of its own. The ``DENSE`` most frequent ones
+are columns of the table; arcs of all others are few, so they are kept as sorted pairs of
+state and letter and looked up.
 """
 
 from dataclasses import dataclass
@@ -22,7 +26,8 @@ from tickweave.llm.common import code_points, text_blocks, utf8
 STRETCH = 512
 DOCS_PER_LANGUAGE = 400         # bound of the sample that is learned from
 LETTERS_PER_LANGUAGE = 60_000   # and of its text after normalisation
-LETTERS_PER_DOC = 1_000
+LETTERS_PER_DOC, PARTS = 1_000, 4       # a longer row gives so many parts, spread from its start to its end
+DENSE = 250                     # letters with a column in the table
 UNFIT_RATE, UNFIT_LETTERS = 0.6, 20     # rejected: over 0.6 phrases a letter, from 20 letters on
 UNDETERMINED = "und"
 
@@ -61,10 +66,14 @@ class Model:
     """Parsing tables of all languages, one below the other."""
 
     languages: list[str]
-    letters: str                # code 2 + i is letters[i]; 0 is a gap, 1 any other letter
+    letters: str                # code 2 + i is letters[i]; 0 is a gap, 1 any letter that is not in the labelled text
     table: np.ndarray           # (target row * width) * 2 + whether a phrase begins
     roots: np.ndarray           # start of each language's table, in cells
     bits: np.ndarray            # log2 of the labelled length
+    width: int                  # codes with a column: 0, 1 and the most frequent letters
+    arcs: np.ndarray            # row * codes + code of each arc by another letter, ascending
+    targets: np.ndarray         # what the table would hold for it
+    starts: np.ndarray          # the same for a new phrase, by language and code - width
 
 
 def _lower(c: str) -> str:
@@ -74,7 +83,7 @@ def _lower(c: str) -> str:
 
 def codes_of(letters: str) -> np.ndarray:
     """Code of every code point."""
-    table = np.zeros(0x110000, np.uint8)
+    table = np.zeros(0x110000, np.uint8 if len(letters) + 2 <= 256 else np.uint32)
     known = {c: i + 2 for i, c in enumerate(letters)}
     for point in range(0x110000):
         c = chr(point)
@@ -87,7 +96,7 @@ def normalise(data, offsets, table) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     """Codes with runs of non-letters as one gap and none at a text's start; offsets; whether a text has letters."""
     points, at = code_points(data, offsets)
     codes = table[points]
-    before = np.empty(len(codes), np.uint8)
+    before = np.empty(len(codes), codes.dtype)
     before[1:], before[:1] = codes[:-1], 0
     before[at[:-1][np.diff(at) > 0]] = 0
     keep = (codes > 0) | (before > 0)
@@ -105,30 +114,40 @@ def train(sample: list[tuple[str, str]]) -> Model | None:
         for c in text:
             if c.isalpha():
                 seen[_lower(c)] = seen.get(_lower(c), 0) + 1
-    letters = "".join(sorted(sorted(seen, key=lambda c: (-seen[c], c))[:250]))
+    ranked = sorted(seen, key=lambda c: (-seen[c], c))
+    letters = "".join(sorted(ranked[:DENSE]) + ranked[DENSE:])
     if not letters:
         return None
-    width = len(letters) + 2
+    n_codes, width = len(letters) + 2, min(len(letters), DENSE) + 2
     known = {c: i + 2 for i, c in enumerate(letters)}
     names, tables, roots, bits, base = [], [], [], [], 0
+    sparse: dict[int, int] = {}
+    starts = []
     for language in sorted(texts):
         codes: list[int] = []
         for text in texts[language]:
-            own = [known.get(_lower(c), 1) if c.isalpha() else 0 for c in text]
+            own = [known[_lower(c)] if c.isalpha() else 0 for c in text]
             codes += [c for i, c in enumerate(own) if c or (i and own[i - 1])] + [0]
         codes = codes[:LETTERS_PER_LANGUAGE]
         if not any(codes):
             continue
         arcs = automaton(codes)
         start = np.full(width, base, np.int64)
+        other = np.full(n_codes - width, base, np.int64)
         for c, to in arcs[0].items():
-            if c != 1:
+            if c < width:
                 start[c] = base + to
+            else:
+                other[c - width] = base + to
+                sparse[base * n_codes + c] = (base + to) * 2 * width + 1
         rows = np.repeat((start * 2 * width + 1)[None, :], len(arcs), 0)
-        for row, own in zip(rows[1:], arcs[1:]):
+        for k, own in enumerate(arcs[1:], 1):
             for c, to in own.items():
-                if c != 1:
-                    row[c] = (base + to) * 2 * width
+                if c < width:
+                    rows[k, c] = (base + to) * 2 * width
+                else:
+                    sparse[(base + k) * n_codes + c] = (base + to) * 2 * width
+        starts.append(other * 2 * width + 1)
         names.append(language)
         roots.append(base * width)
         bits.append(np.log2(max(2, len(codes))))
@@ -138,7 +157,20 @@ def train(sample: list[tuple[str, str]]) -> Model | None:
         return None
     table = np.concatenate(tables).ravel()
     small = table.astype(np.int32) if table.max() < 1 << 31 else table
-    return Model(names, letters, small, np.array(roots, small.dtype), np.array(bits))
+    keys = np.fromiter(sparse, np.int64, len(sparse))
+    order = np.argsort(keys)
+    return Model(names, letters, small, np.array(roots, small.dtype), np.array(bits), width, keys[order],
+                 np.fromiter(sparse.values(), small.dtype, len(sparse))[order], np.stack(starts).astype(small.dtype))
+
+
+def _by_rare_letters(model: Model, cell: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Where each language (rows) goes from its cell on letters without a column."""
+    out = model.starts[:, codes - model.width]
+    if len(model.arcs):
+        key = (cell >> 1).astype(np.int64) // model.width * (len(model.letters) + 2) + codes
+        at = np.minimum(np.searchsorted(model.arcs, key), len(model.arcs) - 1)
+        out = np.where(model.arcs[at] == key, model.targets[at], out)
+    return out
 
 
 def phrases(model: Model, codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -149,20 +181,29 @@ def phrases(model: Model, codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n = int(first[-1])
     owner = np.repeat(np.arange(len(lengths)), stretches)
     size = np.minimum(STRETCH, lengths[owner] - (np.arange(n) - first[owner]) * STRETCH)
-    grid = np.zeros(n * STRETCH, np.uint8)
+    grid = np.zeros(n * STRETCH, codes.dtype)
     grid[np.arange(len(codes)) + np.repeat(first[:-1] * STRETCH - offsets[:-1], lengths)] = codes
     order = np.argsort(-size, kind="stable")
     steps = np.ascontiguousarray(grid.reshape(n, STRETCH)[order].T)
     active = np.searchsorted(-size[order], -np.arange(STRETCH), "left")
+    some_rare = len(codes) and int(codes.max()) >= model.width
     begun = np.zeros((len(model.languages), n), np.int32)
     cell = np.repeat(model.roots[:, None] * 2, n, 1)
     for t in range(STRETCH):
         k = int(active[t])
         if not k:
             break
+        step = steps[t, :k]
         at = cell[:, :k] >> 1
-        at += steps[t, :k]
-        at = model.table.take(at)
+        if some_rare:
+            rare = np.flatnonzero(step >= model.width)
+            at += np.where(step < model.width, step, 1).astype(at.dtype)
+            at = model.table.take(at)
+            if len(rare):
+                at[:, rare] = _by_rare_letters(model, cell[:, rare], step[rare].astype(np.int64))
+        else:
+            at += step.astype(at.dtype, copy=False)
+            at = model.table.take(at)
         begun[:, :k] += at & 1
         cell[:, :k] = at
     out = np.zeros((len(lengths), len(model.languages)), np.int64)
@@ -196,7 +237,8 @@ def labelled_sample(docs: DataFrame) -> list[tuple[str, str]]:
     """Up to DOCS_PER_LANGUAGE labelled rows of each language, chosen by a hash of the id.
 
     Rows are counted first, so that a fraction of each language's rows is enough; the
-    driver gets about twice the bound at most, cut to LETTERS_PER_DOC letters each.
+    driver gets about twice the bound at most. Of a row of over LETTERS_PER_DOC letters it
+    gets PARTS parts with so many together, at even distances over the whole row.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
@@ -204,14 +246,18 @@ def labelled_sample(docs: DataFrame) -> list[tuple[str, str]]:
         return []
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 2 * DOCS_PER_LANGUAGE / n))])
     draw = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) / float(1 << 30)
+    part, length = LETTERS_PER_DOC // PARTS, F.length("text")
+    spread = F.concat_ws(" ", *[F.substring("text", F.floor((length - part) * k / (PARTS - 1)).cast("int") + 1, F.lit(part))
+                                for k in range(PARTS)])
     rows = (known.where(draw < share[F.col("lang")])
-            .select("lang", F.substring("text", 1, 2 * LETTERS_PER_DOC).alias("text"), draw.alias("draw"), "doc_id"))
+            .select("lang", F.when(length > LETTERS_PER_DOC, spread).otherwise(F.col("text")).alias("text"),
+                    draw.alias("draw"), "doc_id"))
     taken: dict[str, int] = {}
     out = []
     for r in sorted(rows.collect(), key=lambda r: (r["draw"], r["doc_id"], r["text"] or "")):
         if taken.get(r["lang"], 0) < DOCS_PER_LANGUAGE:
             taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-            out.append((r["lang"], (r["text"] or "")[:LETTERS_PER_DOC]))
+            out.append((r["lang"], r["text"] or ""))
     return out
 
 
