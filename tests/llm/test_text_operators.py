@@ -233,6 +233,20 @@ def test_near_duplicates_of_odd_rows(spark, odd, empty):
     assert 8 not in left and 1 in left and 7 in left
 
 
+def test_one_row_of_each_group_stays(spark):
+    a, b = "one two three four five six seven", "red green blue black white grey pink"
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = ([(2, a, "en", "s", 1)] * 5 + [(2, b, "en", "s", 1)] * 3 + [(None, b.upper(), "en", "s", 1)] * 4
+            + [(None, "all alone here", "en", None, 1)] * 4 + [(3, near, "en", "s", 1), (3, near + " w60", "en", "s", 1)]
+            + [(1, near + " w61", "en", "s", 1), (3, "quite another text of the same id", "en", "s", 1)]
+            + [(4, None, "en", "s", 1), (4, " ", "en", "s", 1)])
+    docs = spark.createDataFrame(rows, DOCS).repartition(4)
+    got = near_duplicates.without_duplicates(docs)
+    assert got.columns == docs.columns
+    want = [(2, a), (2, b), (None, "all alone here"), (1, near + " w61"), (3, "quite another text of the same id"), (4, None), (4, " ")]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got.collect()))) == sorted(map(str, want))
+
+
 def test_components(spark):
     rng = np.random.default_rng(5)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(1000, k) for k in range(1001, 1100)]
@@ -285,6 +299,18 @@ def test_good_documents_come_first(spark):
     assert share(True) > 2 * share(False)
 
 
+def test_rows_of_one_id_are_not_taken_too_often(spark):
+    """Rows that share id, source and size are taken one by one, not all as often as the luckiest of them."""
+    rows = [(7, f"a b c{k % 30}", "en", "s1", 1) for k in range(60)] + [(k, "a b", "en", "s2", 1) for k in range(100, 160)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    got = mixing.mix(docs).collect()
+    assert {r["copies"] for r in got if r["source"] == "s1"} == {1, 2}
+    taken = mixing.mixed_rows(docs).collect()
+    for source in ("s1", "s2"):
+        assert sum(r["source"] == source for r in taken) == sum(r["copies"] for r in got if r["source"] == source)
+    assert {r["text"] for r in taken} == {r[1] for r in rows}
+
+
 def test_mix_of_odd_rows(spark, odd, empty):
     got = mixing.mix(clashing(odd)).collect()
     assert len(got) == len(ODD) and {r["size"] for r in got if r["doc_id"] in (3, 4, 5)} == {0}

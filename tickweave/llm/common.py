@@ -5,7 +5,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 BLOCK_BYTES = 4 << 20       # text that a task holds as arrays at a time; a longer single text is a block of its own
 
@@ -39,6 +39,29 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return [prefix + n for n in names]
 
 
+def row_key(df: DataFrame) -> tuple[Column, Column]:
+    """Two independent 64-bit hashes of all columns of a row; nulls count."""
+    parts = [x for c in df.columns for x in (df[c].isNull(), df[c])]
+    return F.xxhash64(F.lit(0), *parts), F.xxhash64(F.lit(1), *parts)
+
+
+def one_of_each(df: DataFrame, h: str, g: str) -> DataFrame:
+    """The rows without those that a task has met before with the same ``h`` and ``g`` (longs).
+
+    So a row that is repeated any number of times comes once from each task at most.
+    """
+    def run(batches):
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            new = []
+            for key in zip(batch.column(h).to_pylist(), batch.column(g).to_pylist()):
+                new.append(key not in seen)
+                seen.add(key)
+            yield batch.filter(pa.array(new, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the offset of each text (one more than there are texts); null is empty."""
     texts = column.cast(pa.large_binary()) if not pa.types.is_large_binary(column.type) else column

@@ -14,7 +14,7 @@ within each range.
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickweave.functions.uniform import open_uniform
-from tickweave.llm.common import free_names, written
+from tickweave.llm.common import free_names, one_of_each, row_key, written
 
 WEIGHTS = (5, 2, 1)         # of sources by code point, repeating
 MOST_EPOCHS = 3
@@ -60,7 +60,12 @@ def mix(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     A null source is a source. Repeated rows each count; equal keys go by doc_id, then size.
     No document is taken more than MOST_EPOCHS times. Without rows there is no result.
     """
-    own = docs.select("doc_id", "source", words_of(F.col("text")).alias("size"))
+    return _mixed(docs, weights)
+
+
+def _mixed(docs: DataFrame, weights: DataFrame | None, *keys: str) -> DataFrame:
+    """What ``mix`` returns, with the columns ``keys``, by which equal rows are ordered last."""
+    own = docs.select("doc_id", "source", words_of(F.col("text")).alias("size"), *keys)
     if weights is None:
         own = own.withColumn("weight", F.lit(1.0))
     else:
@@ -68,7 +73,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
         own = own.join(one, "doc_id", "left").withColumn(
             "weight", F.when(F.col("weight") > 0, F.col("weight").cast("double")).otherwise(F.lit(1.0)))
     key = -F.log(open_uniform(SEED, [F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))], "mix")) / F.col("weight")
-    keyed = written(own.select("doc_id", "source", "size", key.alias("key")), "mixing")
+    keyed = written(own.select("doc_id", "source", "size", key.alias("key"), *keys), "mixing")
 
     sizes = written(source_targets(
         keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))), "sources")
@@ -86,23 +91,23 @@ def mix(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     starts = by_range.select(F.col("source").alias("of"), F.col("range").alias("in"),
                              F.coalesce(F.sum("words").over(so_far), F.lit(0)).alias("ahead"))
     placed = rows.join(starts, F.col("source").eqNullSafe(F.col("of")) & (F.col("range") == F.col("in"))).drop("of", "in")
-    earlier = (Window.partitionBy("source", "range").orderBy("key", "doc_id", "size")
+    earlier = (Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", *keys)
                .rowsBetween(Window.unboundedPreceding, -1))
     middle = F.col("ahead") + F.coalesce(F.sum("size").over(earlier), F.lit(0)) + F.col("size") / 2
     chosen = (F.col("epochs") < MOST_EPOCHS) & (F.col("size") > 0) & (middle <= F.col("rest"))
     copies = F.when(F.col("size") > 0, F.col("epochs") + chosen.cast("bigint")).otherwise(F.lit(0)).cast("bigint")
     return placed.withColumn("copies", copies).select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+        "doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies",
+        *keys)
 
 
 def mixed_rows(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
-    """Each row of ``docs`` as many times as the mix takes it, all columns as they are."""
-    own_id, own_source, size, copies, n_words, copy = free_names(docs, "id", "source", "size", "copies", "words", "copy")
-    counts = written(mix(docs, weights).select("doc_id", "source", "size", "copies"), "copies")
-    counts = counts.groupBy(F.col("doc_id").alias(own_id), F.col("source").alias(own_source),
-                            F.col("size").alias(size)).agg(F.max("copies").alias(copies))
-    rows = docs.withColumn(n_words, words_of(F.col("text"))).join(
-        counts, F.col("doc_id").eqNullSafe(F.col(own_id)) & F.col("source").eqNullSafe(F.col(own_source))
-        & (F.col(n_words) == F.col(size)))
-    return rows.where(F.col(copies) > 0).select(
-        *docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias(copy)).drop(copy)
+    """Each row of ``docs`` as many times as the mix takes it, all columns as they are.
+
+    Rows that are equal in all columns are one row here, taken as often as all of them together.
+    """
+    h, g, copies, copy = free_names(docs, "h", "g", "copies", "copy")
+    keyed = docs.withColumns(dict(zip((h, g), row_key(docs))))
+    counts = _mixed(keyed, weights, h, g).groupBy(h, g).agg(F.sum("copies").alias(copies)).where(F.col(copies) > 0)
+    rows = one_of_each(keyed, h, g).join(written(counts, "copies"), [h, g]).dropDuplicates([h, g])
+    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias(copy)).drop(copy)

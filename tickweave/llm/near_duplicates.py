@@ -26,7 +26,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tickweave.llm.common import Powers, lower, mix, range_hashes, text_blocks, utf8, within, words, written
+from tickweave.llm.common import (
+    Powers, free_names, lower, mix, one_of_each, range_hashes, row_key, text_blocks, utf8, within, words, written,
+)
 from tickweave.llm.components import components
 
 COORDINATES = 32
@@ -87,8 +89,8 @@ def signatures(hashes, offsets) -> np.ndarray:
     return out
 
 
-def signed(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, ``set`` (its name), ``n_shingles``, ``signature`` of every row."""
+def signed(docs: DataFrame, size: int, *longs: str) -> DataFrame:
+    """doc_id, ``set`` (its name), ``n_shingles``, ``signature`` of every row, and the columns ``longs`` as they are."""
     def run(batches):
         powers = Powers()
         for block in text_blocks(batches, "text", BLOCK):
@@ -97,12 +99,12 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
             ends = np.concatenate(([0], np.cumsum((n > 0) * COORDINATES))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [block.column("doc_id"), pa.array(set_names(hashes, at), pa.binary()), pa.array(n),
-                 pa.ListArray.from_arrays(ends, pa.array(signatures(hashes, at).ravel()))],
-                names=["doc_id", "set", "n_shingles", "signature"])
+                 pa.ListArray.from_arrays(ends, pa.array(signatures(hashes, at).ravel())), *map(block.column, longs)],
+                names=["doc_id", "set", "n_shingles", "signature", *longs])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, `set` binary, n_shingles long, signature array<int>")
+    return docs.select("doc_id", "text", *longs).mapInArrow(
+        run, ", ".join([f"doc_id {kind}, `set` binary, n_shingles long, signature array<int>", *[f"`{c}` long" for c in longs]]))
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -277,8 +279,19 @@ def stays(component_id: Column, doc_id: Column) -> Column:
 
 
 def without_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without rows whose component keeps a smaller doc_id. A kept id keeps all rows that repeat it."""
-    found = near_duplicates(docs, size, percent)
-    gone = found.where(~stays(F.col("component_id"), F.col("doc_id")) & F.col("doc_id").isNotNull())
-    gone = gone.join(found.where(stays(F.col("component_id"), F.col("doc_id"))).select("doc_id"), "doc_id", "left_anti")
-    return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti")
+    """``docs`` with one row of each component, that with the least doc_id (null last).
+
+    This is decided row by row: of rows that repeat a doc_id, or have none, a component
+    keeps one at most, by its words and then a hash of all columns. Rows without words are
+    components of their own and all stay.
+    """
+    h, g = free_names(docs, "h", "g")
+    keyed = docs.withColumns(dict(zip((h, g), row_key(docs))))
+    signs = written(signed(keyed, size, h, g), "signatures")
+    groups = linked_sets(docs, signs, size, percent).withColumnRenamed("node", "set")
+    rows = signs.where("set is not null").select("doc_id", "set", h, g).join(groups, "set", "left")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "set", h, g)).alias("least")
+    kept = rows.groupBy(F.coalesce("root", "set").alias("root")).agg(least).select(f"least.{h}", f"least.{g}")
+    has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    stay = one_of_each(keyed.where(has_words), h, g).join(written(kept, "kept"), [h, g], "left_semi").dropDuplicates([h, g])
+    return stay.select(*docs.columns).unionByName(docs.where(~has_words))
