@@ -384,6 +384,14 @@ def test_local_search_empties_bins():
     assert len(np.unique(bins)) <= 1.03 * lengths.sum() / 4096 + 1
 
 
+def test_pairs_of_short_items_are_exchanged_too():
+    """Only the two shortest of 66 items, together, fit in place of another bin's item."""
+    lengths = np.array([30] * 64 + [12, 11] + [20] * 98)
+    state = packing._Underfull(lengths, [list(range(66)), list(range(66, 164))], 1965)
+    assert state.step(0)
+    assert state.fill.tolist() == [1940, 1963] and set(state.bin_of[[64, 65]]) == {1}
+
+
 def test_words():
     import pyarrow as pa
 

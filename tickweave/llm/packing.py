@@ -23,7 +23,6 @@ END_ID = 1
 CACHE_WORDS = 600_000       # words whose ids a task remembers
 CACHE_RUNS = 800_000        # runs whose ids a task remembers
 ENCODE = 4096               # texts that are encoded at a time
-PAIRS = 64                  # items of a bin that two-for-one exchanges pair up
 
 #: Words whose lower case is one letter for each and that no normal form changes, and how such a word is split.
 _PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
@@ -217,10 +216,16 @@ class _Underfull:
             if good[k]:
                 self.shift([x], [int(items[k])], source, int(self.bin_of[items[k]]))
                 return True
-        few = own[:PAIRS]
-        for n, x in enumerate(few.tolist()):        # two for one
-            for y in few[n + 1:].tolist():
-                gain = self.lengths[x] + self.lengths[y] - size
+        sizes = self.lengths[own]
+        pairs = own[(np.arange(len(own)) < 2) | (sizes != np.roll(sizes, 2))].tolist()     # two of each length
+        tried = set()
+        for n, x in enumerate(pairs):               # two for one
+            for y in pairs[n + 1:]:
+                both = int(self.lengths[x] + self.lengths[y])
+                if both in tried:
+                    continue
+                tried.add(both)
+                gain = both - size
                 good = np.where((gain > 0) & (gain <= room), gain, 0)
                 k = int(good.argmax())
                 if good[k]:
