@@ -79,6 +79,24 @@ def test_field_on_unseen_rows():
     assert (tags == want).mean() > 0.98
 
 
+def test_viterbi_runs_through_long_texts():
+    """One path over 200 words, also from word 64 to 65."""
+    rng = np.random.default_rng(3)
+    field = personal_data.Field(np.zeros((personal_data.GROUPS * personal_data.CELLS, 4)), 3 * rng.normal(size=(4, 4)), np.zeros(0, np.uint64))
+    field.weights[:210] = rng.normal(size=(210, 4))
+    got = personal_data.decode(field, np.arange(210)[None, :], np.array([3, 0, 200, 7]))
+    for start, n in ((0, 3), (3, 200), (203, 7)):
+        score, back = field.weights[start], []
+        for t in range(start + 1, start + n):
+            ways = score[:, None] + field.moves
+            back.append(ways.argmax(0))
+            score = ways.max(0) + field.weights[t]
+        path = [int(score.argmax())]
+        for b in reversed(back):
+            path.append(int(b[path[-1]]))
+        assert got[start:start + n].tolist() == path[::-1]
+
+
 def test_viterbi_finds_the_best_path():
     rng = np.random.default_rng(1)
     field = personal_data.Field(np.zeros((personal_data.GROUPS * personal_data.CELLS, 4)), rng.normal(size=(4, 4)), np.zeros(0, np.uint64))

@@ -6,10 +6,9 @@ word shapes (runs of upper case, lower case, digits and each punctuation mark) o
 and its neighbours, lengths, digit counts, and the few words that occur in the labelled
 table. It is trained on that table by gradient ascent on the exact likelihood and finds
 what patterns can't list: numbers without a country code, addresses written with [at], numbers
-of documents and keys. Decoding is Viterbi over thousands of stretches at once.
+of documents and keys. Decoding is Viterbi over thousands of texts at once.
 
-Stretches are WORDS_PER_CHAIN words of one text; neighbouring words with one tag are one
-span, also across stretches. A span that overlaps a pattern's match is left out.
+A chain is a whole text; neighbouring words with one tag are one span. A span that overlaps a pattern's match is left out.
 """
 
 import hashlib
@@ -20,11 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
-from tickweave.llm.common import Powers, lower, range_hashes, text_blocks, utf8, within, words
+from tickweave.llm.common import Powers, lower, range_hashes, text_blocks, utf8, words
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = ("O", "contact", "ident", "secret")
-WORDS_PER_CHAIN = 64
 CELLS = 4096
 GROUPS = 8          # feature groups, each with CELLS cells
 
@@ -176,16 +174,6 @@ class Field:
     known: np.ndarray       # hashes of the labelled table's words, sorted
 
 
-def _chains(n_words: np.ndarray):
-    """Chain starts (word numbers) and lengths for texts with so many words."""
-    count = -(-n_words // WORDS_PER_CHAIN)
-    ends = np.concatenate(([0], np.cumsum(count)))
-    text = np.repeat(np.arange(len(n_words)), count)
-    before = np.concatenate(([0], np.cumsum(n_words)))
-    place = within(ends) * WORDS_PER_CHAIN
-    return before[text] + place, np.minimum(WORDS_PER_CHAIN, n_words[text] - place)
-
-
 def _logsum(x, axis):
     top = x.max(axis, keepdims=True)
     return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
@@ -248,27 +236,27 @@ def decode(field: Field, x: np.ndarray, n_words: np.ndarray) -> np.ndarray:
     emit = np.zeros((x.shape[1], len(TAGS)))
     for group in x:
         emit += field.weights[group]
-    begin, length = _chains(n_words)
-    order = np.argsort(-length, kind="stable")
-    begin, length = begin[order], length[order]
-    active = np.searchsorted(-length, -np.arange(WORDS_PER_CHAIN), "left")
+    full = np.flatnonzero(n_words)
+    order = full[np.argsort(-n_words[full], kind="stable")]
+    begin, length = (np.cumsum(n_words) - n_words)[order], n_words[order]
+    longest = int(length[0]) if len(length) else 0
+    active = np.searchsorted(-length, -np.arange(longest), "left")
+    at = np.cumsum(active)
+    back = np.empty((x.shape[1], len(TAGS)), np.int8)      # step by step, the texts that are as long
     score = emit[begin]
-    back = []
-    for t in range(1, WORDS_PER_CHAIN):
+    for t in range(1, longest):
         k = int(active[t])
-        if not k:
-            break
         ways = score[:k, :, None] + field.moves
         best = ways.argmax(1)
         score[:k] = np.take_along_axis(ways, best[:, None, :], 1)[:, 0] + emit[begin[:k] + t]
-        back.append(best.astype(np.int8))
+        back[at[t - 1]:at[t]] = best
     tags = np.zeros(x.shape[1], np.int8)
     now = score.argmax(1) if len(score) else np.zeros(0, np.int64)
-    for t in range(len(back), -1, -1):
+    for t in range(longest - 1, -1, -1):
         k = int(active[t])
         tags[begin[:k] + t] = now[:k]
         if t:
-            now[:k] = back[t - 1][np.arange(k), now[:k]]
+            now[:k] = back[at[t - 1]:at[t]][np.arange(k), now[:k]]
     return tags
 
 
