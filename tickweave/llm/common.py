@@ -40,26 +40,19 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
 
 
 def row_key(df: DataFrame) -> tuple[Column, Column]:
-    """Two independent 64-bit hashes of all columns of a row; nulls count."""
-    parts = [x for c in df.columns for x in (df[c].isNull(), df[c])]
-    return F.xxhash64(F.lit(0), *parts), F.xxhash64(F.lit(1), *parts)
-
+    """Two independent 64-bit hashes of all columns of a row, of any type; nulls count."""
+    def plain(c: str) -> Column:        # maps and variants have no hash, their JSON has
+        kind = df.schema[c].dataType.simpleString()
+        return F.to_json(F.struct(df[c])) if "map<" in kind or "variant" in kind else df[c]
 
-def one_of_each(df: DataFrame, h: str, g: str) -> DataFrame:
-    """The rows without those that a task has met before with the same ``h`` and ``g`` (longs).
+    parts = [x for c in df.columns for x in (df[c].isNull(), plain(c))]
+    return F.xxhash64(F.lit(0), *parts), F.xxhash64(F.lit(1), *parts)
 
-    So a row that is repeated any number of times comes once from each task at most.
-    """
-    def run(batches):
-        seen: set[tuple[int, int]] = set()
-        for batch in batches:
-            new = []
-            for key in zip(batch.column(h).to_pylist(), batch.column(g).to_pylist()):
-                new.append(key not in seen)
-                seen.add(key)
-            yield batch.filter(pa.array(new, pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+def numbered(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The rows, written once, each with a number of its own, and the name of that column."""
+    number, = free_names(df, "row")
+    return written(df.withColumn(number, F.monotonically_increasing_id()), name), number
 
 
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
@@ -143,10 +136,13 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and stops of the words ``[^\\x20\\x09-\\x0D]+``, and how many words come before each text."""
+def words(data: np.ndarray, offsets: np.ndarray, space=_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and stops of the words ``[^\\x20\\x09-\\x0D]+``, and how many words come before each text.
+
+    ``space`` says of each of the 256 bytes whether it stands between words instead.
+    """
     inside = np.zeros(len(data) + 2, bool)
-    inside[1:-1] = ~_SPACE[data]
+    inside[1:-1] = ~space[data]
     edge = inside[1:] != inside[:-1]
     first = np.zeros(len(data) + 1, bool)       # a word ends where its text does
     first[offsets[1:-1]] = True

@@ -3,6 +3,8 @@
 Every document has the key ``-ln(u) / w``, exponential with its quality weight ``w`` as
 rate; taking documents by ascending key is weighted sampling without replacement
 (Efraimidis and Spirakis, 2006). ``u`` comes from an md5 of the document id, so reruns agree.
+Rows that share an id, or have none, are told apart by a hash of the row, and equal rows by
+their number among themselves: each has a draw of its own.
 
 A source with budget ``target`` gives all its documents ``floor(target / size)`` times;
 what is left goes to the documents first by key, up to the one whose middle the budget
@@ -14,12 +16,13 @@ within each range.
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickweave.functions.uniform import open_uniform
-from tickweave.llm.common import free_names, one_of_each, row_key, written
+from tickweave.llm.common import free_names, numbered, row_key, written
 
 WEIGHTS = (5, 2, 1)         # of sources by code point, repeating
 MOST_EPOCHS = 3
 SEED = 7
 ROWS_PER_RANGE = 20_000
+EQUAL_ROWS = 10_000         # equal rows that one task numbers
 BROADCAST_SOURCES = 100_000     # up to so many sources, their table is sent to every task
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -60,20 +63,42 @@ def mix(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     A null source is a source. Repeated rows each count; equal keys go by doc_id, then size.
     No document is taken more than MOST_EPOCHS times. Without rows there is no result.
     """
-    return _mixed(docs, weights)
-
-
-def _mixed(docs: DataFrame, weights: DataFrame | None, *keys: str) -> DataFrame:
-    """What ``mix`` returns, with the columns ``keys``, by which equal rows are ordered last."""
-    own = docs.select("doc_id", "source", words_of(F.col("text")).alias("size"), *keys)
+    return _mixed(_classes(docs), weights).select("doc_id", "source", "size", "source_size", "target", "taken", "copies")
+
+
+def _classes(docs: DataFrame, *number: str) -> DataFrame:
+    """Rows that are equal in all columns, once: doc_id, source, size, h, g, how many ``equal`` and the least ``number``."""
+    h, g = row_key(docs.drop(*number))
+    own = docs.select("doc_id", "source", words_of(F.col("text")).alias("size"), h.alias("h"), g.alias("g"), *number)
+    return written(own.groupBy("doc_id", "source", "size", "h", "g").agg(
+        F.count("*").alias("equal"), *[F.min(c).alias("row") for c in number]), "rows")
+
+
+def _draws(classes: DataFrame) -> DataFrame:
+    """One row for each document, with its uniform draw ``u``."""
+    shared = classes.where("doc_id is not null").groupBy("doc_id").agg(F.sum("equal").alias("of_id")).where("of_id > 1")
+    numbers = lambda a, b: F.explode(F.sequence(a, b))
+    told = classes.join(shared, "doc_id", "left").withColumn(
+        "part", numbers(F.lit(0).cast("bigint"), F.floor((F.col("equal") - 1) / EQUAL_ROWS)))
+    first = F.col("part") * EQUAL_ROWS
+    told = told.repartition("h", "g", "part").withColumn(
+        "nth", numbers(first + 1, F.least(first + EQUAL_ROWS, "equal"))).drop("part")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    alone = F.col("of_id").isNull() & F.col("doc_id").isNotNull()
+    return told.withColumn("u", F.when(alone, open_uniform(SEED, [name], "mix")).otherwise(
+        open_uniform(SEED, [name, *[F.col(c).cast("string") for c in ("h", "g", "nth")]], "mix"))).drop("of_id", "equal")
+
+
+def _mixed(classes: DataFrame, weights: DataFrame | None) -> DataFrame:
+    """What ``mix`` returns, with all columns of ``classes``."""
+    own = _draws(classes)
     if weights is None:
         own = own.withColumn("weight", F.lit(1.0))
     else:
         one = weights.groupBy("doc_id").agg(F.max("weight").alias("weight"))
         own = own.join(one, "doc_id", "left").withColumn(
             "weight", F.when(F.col("weight") > 0, F.col("weight").cast("double")).otherwise(F.lit(1.0)))
-    key = -F.log(open_uniform(SEED, [F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))], "mix")) / F.col("weight")
-    keyed = written(own.select("doc_id", "source", "size", key.alias("key"), *keys), "mixing")
+    keyed = written(own.withColumn("key", -F.log("u") / F.col("weight")).drop("weight"), "mixing")
 
     sizes = written(source_targets(
         keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))), "sources")
@@ -91,14 +116,12 @@ def _mixed(docs: DataFrame, weights: DataFrame | None, *keys: str) -> DataFrame:
     starts = by_range.select(F.col("source").alias("of"), F.col("range").alias("in"),
                              F.coalesce(F.sum("words").over(so_far), F.lit(0)).alias("ahead"))
     placed = rows.join(starts, F.col("source").eqNullSafe(F.col("of")) & (F.col("range") == F.col("in"))).drop("of", "in")
-    earlier = (Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", *keys)
+    earlier = (Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", "h", "g", "nth")
                .rowsBetween(Window.unboundedPreceding, -1))
     middle = F.col("ahead") + F.coalesce(F.sum("size").over(earlier), F.lit(0)) + F.col("size") / 2
     chosen = (F.col("epochs") < MOST_EPOCHS) & (F.col("size") > 0) & (middle <= F.col("rest"))
     copies = F.when(F.col("size") > 0, F.col("epochs") + chosen.cast("bigint")).otherwise(F.lit(0)).cast("bigint")
-    return placed.withColumn("copies", copies).select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies",
-        *keys)
+    return placed.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mixed_rows(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
@@ -106,8 +129,9 @@ def mixed_rows(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
 
     Rows that are equal in all columns are one row here, taken as often as all of them together.
     """
-    h, g, copies, copy = free_names(docs, "h", "g", "copies", "copy")
-    keyed = docs.withColumns(dict(zip((h, g), row_key(docs))))
-    counts = _mixed(keyed, weights, h, g).groupBy(h, g).agg(F.sum("copies").alias(copies)).where(F.col(copies) > 0)
-    rows = one_of_each(keyed, h, g).join(written(counts, "copies"), [h, g]).dropDuplicates([h, g])
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias(copy)).drop(copy)
+    rows, number = numbered(docs, "documents")
+    copies, copy, of = free_names(rows, "copies", "copy", "of")
+    counts = _mixed(_classes(rows, number), weights).groupBy("row").agg(F.sum("copies").alias(copies))
+    counts = written(counts.where(F.col(copies) > 0).withColumnRenamed("row", of), "copies")
+    taken = rows.join(counts, F.col(number) == F.col(of))
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias(copy)).drop(copy)
