@@ -5,8 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickweave.llm import (
-    cover_tree, language_id, line_dedup, mixing, near_duplicates, nearest, packing, personal_data,
-    repeated_passages, url_filter,
+    centroids, collocations, cover_tree, language_id, line_dedup, mixing, near_duplicates, nearest, packing, personal_data,
+    quality_rules, repeated_passages, url_filter,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +157,20 @@ def op2_personal_data(spark, sf_dir):
 @query()
 def op8_repeated_passages(spark, sf_dir):
     return repeated_passages.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op11_quality_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    field = quality_rules.train(quality_rules.labelled_sample(docs, table(spark, sf_dir, "labels")))
+    return quality_rules.judged(docs, field).drop("text")
+
+
+@query()
+def op12_centroids(spark, sf_dir):
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op13_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
