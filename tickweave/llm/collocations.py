@@ -1,16 +1,18 @@
 """Phrases whose words belong together, by Toivonen's sampling of frequent sequences.
 
 1. A sample of the rows proposes words and phrases (``SAMPLE``, ``PROPOSED``).
-2. A pass over all rows counts exactly all words, and every longer phrase whose two parts,
-   without the last and without the first word, are both proposed. These are the proposed
-   phrases and their negative border, as far as it occurs at all.
+2. A pass over all rows counts all words, and every longer phrase whose two parts, without
+   the last and without the first word, are both proposed. These are the proposed phrases
+   and their negative border, as far as it occurs at all. What is counted is a 64-bit hash
+   of the phrase, so a count is never too small, and next to never too large.
 3. If the border turns out to hold frequent words or phrases, they are added to what is
    proposed, and another pass counts the phrases that this opens up. Passes go on until
    nothing frequent is missing, so the result does not depend on the sample.
+4. A last pass counts those that reached the bound by their words, exactly.
 
-Tasks ask for proposed phrases in a bitmap of ``BITS`` bits, which every pass sends to all of
-them: its size never grows with the data. Two phrases with one bit only mean that more is
-counted than needed; counts themselves go by the words, never by a hash.
+Tasks look phrases up in a bitmap of ``BITS`` bits, which every pass sends to all of them:
+its size never grows with the data. Two phrases with one bit only mean that more is counted
+than needed.
 
 A task counts within blocks of text before anything is shuffled, and the aggregation
 combines blocks, so a phrase that all rows hold is a few rows for each task.
@@ -21,7 +23,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tickweave.llm.common import BLOCK_BYTES, Powers, lower, mix, range_hashes, text_blocks, utf8, within, words, written
+from tickweave.llm.common import Powers, lower, mix, range_hashes, text_blocks, utf8, within, words, written
 
 LEAST = 10              # occurrences of a phrase
 LONGEST = 3             # words of a phrase
@@ -29,9 +31,10 @@ TOP = 2000              # phrases of each language
 COVERED = 50            # percent of a phrase's occurrences inside a longer one, from which on it is dropped
 SAMPLE = 8              # one row in so many is sampled
 PROPOSED = 2            # occurrences in the sample that make a proposal
-BITS = 1 << 27
+BITS = 1 << 27          # a power of two
 RANKED = 20_000         # candidates that are ranked at a time
 _CHUNK = 1 << 16
+BLOCK = 2 << 20         # bytes of text that a task counts at a time
 
 _CUT = np.zeros(256, bool)
 _CUT[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -43,13 +46,13 @@ def _segments(block: pa.RecordBatch):
     """(bytes, offsets, languages) of a block; a text that is longer than a block is cut between pieces."""
     lang = block.column("lang").fill_null("und").to_pylist()
     data, offsets = utf8(block.column("text"))
-    if block.num_rows != 1 or len(data) <= BLOCK_BYTES:
+    if block.num_rows != 1 or len(data) <= BLOCK:
         yield data, offsets, lang
         return
     marks = np.flatnonzero(_CUT[data])
     start = 0
     while start < len(data):
-        at = int(np.searchsorted(marks, start + BLOCK_BYTES))
+        at = int(np.searchsorted(marks, start + BLOCK))
         stop = int(marks[at]) + 1 if at < len(marks) else len(data)
         yield data[start:stop], np.array([0, stop - start]), lang
         start = stop
@@ -58,7 +61,7 @@ def _segments(block: pa.RecordBatch):
 def _hits(bitmap: np.ndarray | None, hashes: np.ndarray) -> np.ndarray:
     if bitmap is None:
         return np.ones(len(hashes), bool)
-    bit = hashes % np.uint64(BITS)
+    bit = hashes & np.uint64(BITS - 1)
     return (bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
@@ -82,101 +85,122 @@ def _key(hashes: np.ndarray, last: np.ndarray) -> np.ndarray:
     return mix(hashes * np.uint64(31) + last)
 
 
-def _count(data, offsets, lang, longest, now, before, powers):
-    """(language, phrase, n) of what a segment holds; ``before`` False: also its words and, as the phrase '', how many."""
-    data = lower(data)
-    starts, stops, first = words(data, offsets, _BETWEEN)
-    if not len(starts):
-        return
-    doc = np.repeat(np.arange(len(lang)), np.diff(first))
-    cuts = np.concatenate(([0], np.cumsum(_CUT[data])))
-    follows = (doc[1:] == doc[:-1]) & (cuts[starts[1:]] == cuts[stops[:-1]])
-    size = stops - starts
+class _Words:
+    """The words of a segment: where they are, which follow each other in one piece, and their hashes."""
+
+    def __init__(self, data, offsets, lang, powers):
+        self.data = lower(data)
+        self.starts, self.stops, first = words(self.data, offsets, _BETWEEN)
+        doc = np.repeat(np.arange(len(lang)), np.diff(first))
+        cuts = np.zeros(len(data) + 1, np.int32)
+        np.cumsum(_CUT[data], out=cuts[1:])
+        self.follows = (doc[1:] == doc[:-1]) & (cuts[self.starts[1:]] == cuts[self.stops[:-1]])
+        langs = pa.array(lang, pa.string()).dictionary_encode()
+        self.langs, self.lang = langs.dictionary, langs.indices.to_numpy().astype(np.int64)[doc]
+        self.hash = range_hashes(self.data, self.starts, self.stops, powers)
+        self.word = _key(_hashes(self.langs, powers)[self.lang], self.hash)
+
+    def chain(self, hashes, k):
+        """The hashes of phrases of ``k`` words from those of one word less."""
+        return _key(hashes[:-1], self.hash[k - 1:])
+
+
+def _hashes(strings: pa.Array, powers: Powers) -> np.ndarray:
+    data, at = utf8(strings)
+    return range_hashes(data, at[:-1], at[1:], powers)
+
+
+def _opened(words: _Words, longest: int, now: np.ndarray | None, before: np.ndarray | None):
+    """The hashes of all words and phrases that ``now`` opens; with ``before``, only of phrases that it did not."""
+    if before is None:
+        yield words.word
+    own, known = words.word, _hits(now, words.word)
+    old = np.zeros(len(own), bool) if before is None else _hits(before, own)
+    for k in range(2, longest + 1):
+        opened = known[:-1] & known[1:] & words.follows[k - 2:]
+        old = old[:-1] & old[1:] & opened
+        own = words.chain(own, k)
+        yield own[opened & ~old]
+        if k < longest:
+            known = opened & _hits(now, own)
+            old &= known if before is None else _hits(before, own)
+
+
+def _frequent(words: _Words, longest: int, often: np.ndarray):
+    """(language, phrase, n) of the words and phrases in ``often``; the phrase '' has the number of words."""
+    size = words.stops - words.starts
     ends = np.concatenate(([0], np.cumsum(size)))
-    body = data[np.repeat(starts, size) + within(ends)]
-    names = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(body)]
+    inside = np.zeros(len(words.data) + 1, np.int8)
+    np.add.at(inside, words.starts, 1)
+    np.add.at(inside, words.stops, -1)
+    body = words.data[np.cumsum(inside[:-1], dtype=np.int8) > 0]
+    names = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(body)]
                                              ).dictionary_encode()
     word = names.indices.to_numpy().astype(np.int64)
     text, at = utf8(names.dictionary)
-    langs = pa.array(lang, pa.string()).dictionary_encode()
-    of = langs.indices.to_numpy().astype(np.int64)[doc]
-    n_langs, n_words = len(langs.dictionary), len(at) - 1
-    lang_hash = range_hashes(*(lambda d, o: (d, o[:-1], o[1:]))(*utf8(langs.dictionary)), powers)
-    name = range_hashes(text, at[:-1], at[1:], powers)[word]
-    hashes = _key(lang_hash[of], name)
-    lang_word = of * n_words + word
-
-    def rows(key, places, k):
+    n_langs, n_words = len(words.langs), len(at) - 1
+    yield words.langs, pa.array([""] * n_langs, pa.string()), pa.array(np.bincount(words.lang, minlength=n_langs))
+    own, there = words.word, np.ones(len(word), bool)
+    for k in range(1, longest + 1):
+        if k > 1:
+            there = there[:-1] & there[1:] & words.follows[k - 2:]
+            own = words.chain(own, k)
+        there = there & _hits(often, own)
+        place = np.flatnonzero(there)
+        if not len(place):
+            return
+        key, n = words.lang[place] * n_words + word[place], n_langs * n_words
+        for j in range(1, k):
+            if n * n_words >= 1 << 62:
+                seen, key = np.unique(key, return_inverse=True)
+                n = len(seen)
+            key, n = key * n_words + word[place + j], n * n_words
         _, one, n = np.unique(key, return_index=True, return_counts=True)
-        place = places[one]
-        ids = word[place[:, None] + np.arange(k)]
-        return langs.dictionary.take(pa.array(of[place])), _joined(text, at[:-1], np.diff(at), ids), pa.array(n)
-
-    if before is False:
-        yield rows(lang_word, np.arange(len(word)), 1)
-        yield langs.dictionary, pa.array([""] * n_langs, pa.string()), pa.array(np.bincount(of, minlength=n_langs))
-    before = np.zeros(0, np.uint8) if before is False else before
-    own, known, old = hashes, _hits(now, hashes), _hits(before, hashes) if len(before) else np.zeros(len(word), bool)
-    for k in range(2, longest + 1):
-        opened = known[:-1] & known[1:] & follows[:len(known) - 1]
-        done = old[:-1] & old[1:] & opened
-        if k > 2:
-            opened &= follows[k - 2:]
-        counted = np.flatnonzero(opened & ~done)
-        if len(counted):
-            key, n = lang_word[counted], n_langs * n_words
-            for j in range(1, k):
-                if n * n_words >= 1 << 62:
-                    seen, key = np.unique(key, return_inverse=True)
-                    n = len(seen)
-                key, n = key * n_words + word[counted + j], n * n_words
-            yield rows(key, counted, k)
-        if k < longest:
-            own = _key(own[:-1], name[k - 1:])
-            known = opened & _hits(now, own)
-            old = opened & _hits(before, own) if len(before) else np.zeros(len(known), bool)
+        place = place[one]
+        phrases = _joined(text, at[:-1], np.diff(at), word[place[:, None] + np.arange(k)])
+        yield words.langs.take(pa.array(words.lang[place])), phrases, pa.array(n)
 
 
-def _counts(docs: DataFrame, longest: int, now: bytes | None, before: bytes | bool) -> DataFrame:
-    """lang, phrase, n over all rows: phrases that ``now`` opens and ``before`` did not."""
-    shared = docs.sparkSession.sparkContext.broadcast((now, before))
+def _pass(docs: DataFrame, count, names: list[str], shape: str, *bitmaps) -> DataFrame:
+    """The rows that ``count`` gives for each segment of text, with their ``n`` added up."""
+    packed = [None if x is None else zstandard.compress(x.tobytes(), 1) for x in bitmaps]
+    shared = docs.sparkSession.sparkContext.broadcast(packed)
 
     def run(batches):
         powers = Powers()
-        now, before = (np.frombuffer(zstandard.decompress(x), np.uint8) if isinstance(x, bytes) else x for x in shared.value)
-        for block in text_blocks(batches, "text"):
+        bitmaps = [None if x is None else np.frombuffer(zstandard.decompress(x), np.uint8) for x in shared.value]
+        for block in text_blocks(batches, "text", BLOCK):
             for segment in _segments(block):
-                for lang, phrase, n in _count(*segment, longest, now, before, powers):
-                    yield pa.RecordBatch.from_arrays([lang, phrase, n.cast(pa.int64())], names=["lang", "phrase", "n"])
+                words = _Words(*segment, powers)
+                if len(words.starts):
+                    for columns in count(words, *bitmaps):
+                        yield pa.RecordBatch.from_arrays(list(columns), names=[*names, "n"])
 
     texts = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    each = texts.where("text is not null").mapInArrow(run, "lang string, phrase string, n long")
-    return each.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    return texts.where("text is not null").mapInArrow(run, f"{shape}, n long").groupBy(*names).agg(F.sum("n").alias("n"))
 
 
-def _bitmap(phrases: DataFrame) -> np.ndarray:
-    """The bits of lang, phrase rows; at most BITS / 8 bytes come to the driver."""
-    def bits(batches):
-        powers = Powers()
-        for batch in batches:
-            lang = batch.column("lang").dictionary_encode()
-            data, at = utf8(lang.dictionary.cast(pa.string()))
-            key = range_hashes(data, at[:-1], at[1:], powers)[lang.indices.to_numpy()]
-            data, offsets = utf8(batch.column("phrase"))
-            starts, stops, first = words(data, offsets, _BETWEEN)
-            name = range_hashes(data, starts, stops, powers)
-            for k in range(int(np.diff(first).max(initial=0))):
-                longer = np.flatnonzero(np.diff(first) > k)
-                key[longer] = _key(key[longer], name[first[longer] + k])
-            bit = (key % np.uint64(BITS)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(bit // _CHUNK), pa.array((bit % _CHUNK).astype(np.int32))], names=["chunk", "bit"])
+def _hash_counts(docs: DataFrame, longest: int, now: np.ndarray | None, before: np.ndarray | None) -> DataFrame:
+    """Of all words and phrases that ``now`` opens and ``before`` did not: hash, whether it has ``longest`` words, n."""
+    def count(words, now, before):
+        level = 1 if before is None else 2
+        for hashes in _opened(words, longest, now, before):
+            each, n = np.unique(hashes, return_counts=True)
+            yield pa.array(each.view(np.int64)), pa.array(np.full(len(each), level == longest)), pa.array(n)
+            level += 1
+
+    return _pass(docs, count, ["hash", "longest"], "hash long, longest boolean", now, before)
+
 
+def _bitmap(hashes: DataFrame) -> np.ndarray:
+    """The bits of the hashes; at most BITS / 8 bytes come to the driver."""
     def packed(frame):
         flags = np.zeros(_CHUNK, bool)
         flags[frame["bit"].to_numpy()] = True
         return frame.iloc[:1][["chunk"]].assign(bits=[zstandard.compress(np.packbits(flags, bitorder="little").tobytes(), 1)])
 
-    each = phrases.select("lang", "phrase").mapInArrow(bits, "chunk long, bit int").distinct()
+    bit = F.col("hash").bitwiseAND(F.lit(BITS - 1))
+    each = hashes.select(F.floor(bit / _CHUNK).alias("chunk"), (bit % _CHUNK).cast("int").alias("bit")).distinct()
     out = np.zeros(BITS // 8, np.uint8)
     for r in each.groupBy("chunk").applyInPandas(packed, "chunk long, bits binary").collect():
         start = r["chunk"] * _CHUNK // 8
@@ -189,23 +213,24 @@ def _n_words(phrase):
 
 
 def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, sample: int = SAMPLE) -> tuple[DataFrame, int]:
-    """lang, phrase, n of all words and phrases with ``least`` occurrences, and how many passes it took.
+    """lang, phrase, n of all words and phrases with ``least`` occurrences, and after how many passes no border was missing.
 
     The phrase '' has the number of words of the language.
     """
     some = docs.where(F.pmod(F.xxhash64("text", "lang"), F.lit(sample)) == 0)
-    proposed = _counts(some, max(longest - 1, 1), None, False).where((F.col("n") >= PROPOSED) & (F.col("phrase") != ""))
-    now, before, found, passes = _bitmap(proposed), False, None, 0
+    now = _bitmap(_hash_counts(some, max(longest - 1, 1), None, None).where(F.col("n") >= PROPOSED))
+    before, often, passes = None, np.zeros(BITS // 8, np.uint8), 0
     while True:
-        pack = lambda x: zstandard.compress(x.tobytes(), 1) if isinstance(x, np.ndarray) else x
-        counts = _counts(docs, longest, pack(now), pack(before))
-        part = written(counts.where((F.col("n") >= least) | (F.col("phrase") == "")), "phrases")
-        found = part if found is None else found.unionByName(part)
+        counts = _hash_counts(docs, longest, now, before).where(F.col("n") >= least)
+        reached = written(counts.select("hash", "longest"), "phrases")
         passes += 1
-        border = _bitmap(part.where((F.col("phrase") != "") & (_n_words("phrase") < longest)))
+        border = _bitmap(reached.where("not longest"))
+        often |= border | _bitmap(reached.where("longest"))
         if not (border & ~now).any():
-            return found, passes
+            break
         before, now = now, now | border
+    exact = _pass(docs, lambda words, often: _frequent(words, longest, often), ["lang", "phrase"], "lang string, phrase string", often)
+    return written(exact.where((F.col("n") >= least) | (F.col("phrase") == "")), "counts"), passes
 
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP) -> DataFrame:
