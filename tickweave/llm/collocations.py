@@ -3,8 +3,8 @@
 1. A sample of the rows proposes words and phrases (``SAMPLE``, ``PROPOSED``).
 2. A pass over all rows counts all words, and every longer phrase whose two parts, without
    the last and without the first word, are both proposed. These are the proposed phrases
-   and their negative border, as far as it occurs at all. What is counted is a 64-bit hash
-   of the phrase, so a count is never too small, and next to never too large.
+   and their negative border, as far as it occurs at all. What is counted is a hash of the
+   phrase, so a count is never too small, and seldom too large.
 3. If the border turns out to hold frequent words or phrases, they are added to what is
    proposed, and another pass counts the phrases that this opens up. Passes go on until
    nothing frequent is missing, so the result does not depend on the sample.
@@ -14,11 +14,13 @@ Tasks look phrases up in a bitmap of ``BITS`` bits, which every pass sends to al
 its size never grows with the data. Two phrases with one bit only mean that more is counted
 than needed.
 
-A task counts within blocks of text before anything is shuffled, and the aggregation
-combines blocks, so a phrase that all rows hold is a few rows for each task.
+A task counts up to ``HELD`` hashes together before anything is shuffled, so a phrase that all
+rows hold is a few numbers of each task. They travel as arrays of 32-bit numbers, sorted, one
+array for each bucket of hashes, and a bucket adds them up.
 """
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
@@ -34,7 +36,10 @@ PROPOSED = 2            # occurrences in the sample that make a proposal
 BITS = 1 << 27          # a power of two
 RANKED = 20_000         # candidates that are ranked at a time
 _CHUNK = 1 << 16
-BLOCK = 2 << 20         # bytes of text that a task counts at a time
+BLOCK = 2 << 20         # bytes of text that a task takes apart at a time
+HELD = 2 << 20          # hashes that a task counts together, about
+BUCKET = 8 << 20        # bytes of text for each bucket of hashes
+_LOW = np.uint64((1 << 32) - 1)
 
 _CUT = np.zeros(256, bool)
 _CUT[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -131,8 +136,8 @@ def _frequent(words: _Words, longest: int, often: np.ndarray):
     size = words.stops - words.starts
     ends = np.concatenate(([0], np.cumsum(size)))
     inside = np.zeros(len(words.data) + 1, np.int8)
-    np.add.at(inside, words.starts, 1)
-    np.add.at(inside, words.stops, -1)
+    inside[words.starts] += 1
+    inside[words.stops] -= 1
     body = words.data[np.cumsum(inside[:-1], dtype=np.int8) > 0]
     names = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(body)]
                                              ).dictionary_encode()
@@ -161,35 +166,72 @@ def _frequent(words: _Words, longest: int, often: np.ndarray):
         yield words.langs.take(pa.array(words.lang[place])), phrases, pa.array(n)
 
 
-def _pass(docs: DataFrame, count, names: list[str], shape: str, *bitmaps) -> DataFrame:
-    """The rows that ``count`` gives for each segment of text, with their ``n`` added up."""
+def _pass(docs: DataFrame, count, shape: str, *bitmaps) -> DataFrame:
+    """The batches that ``count`` makes of the segments of a task's texts."""
     packed = [None if x is None else zstandard.compress(x.tobytes(), 1) for x in bitmaps]
     shared = docs.sparkSession.sparkContext.broadcast(packed)
 
-    def run(batches):
+    def segments(batches):
         powers = Powers()
-        bitmaps = [None if x is None else np.frombuffer(zstandard.decompress(x), np.uint8) for x in shared.value]
         for block in text_blocks(batches, "text", BLOCK):
             for segment in _segments(block):
                 words = _Words(*segment, powers)
                 if len(words.starts):
-                    for columns in count(words, *bitmaps):
-                        yield pa.RecordBatch.from_arrays(list(columns), names=[*names, "n"])
+                    yield words
+
+    def run(batches):
+        bitmaps = [None if x is None else np.frombuffer(zstandard.decompress(x), np.uint8) for x in shared.value]
+        return count(segments(batches), *bitmaps)
 
     texts = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    return texts.where("text is not null").mapInArrow(run, f"{shape}, n long").groupBy(*names).agg(F.sum("n").alias("n"))
+    return texts.where("text is not null").mapInArrow(run, shape)
 
 
-def _hash_counts(docs: DataFrame, longest: int, now: np.ndarray | None, before: np.ndarray | None) -> DataFrame:
-    """Of all words and phrases that ``now`` opens and ``before`` did not: hash, whether it has ``longest`` words, n."""
-    def count(words, now, before):
-        level = 1 if before is None else 2
-        for hashes in _opened(words, longest, now, before):
-            each, n = np.unique(hashes, return_counts=True)
-            yield pa.array(each.view(np.int64)), pa.array(np.full(len(each), level == longest)), pa.array(n)
-            level += 1
+def _bucketed(hashes: np.ndarray, longest: bool, buckets: int) -> pa.RecordBatch:
+    """For each bucket, the low halves of its hashes: those that occur once, and the others with their counts."""
+    each, n = np.unique(hashes, return_counts=True)         # so a bucket's hashes lie together, in order
+    bucket = ((each >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    ends = np.flatnonzero(np.concatenate((bucket[1:] != bucket[:-1], [True]))) + 1
+    starts = np.concatenate(([0], ends[:-1]))
+    low, single = (each & _LOW).astype(np.uint32), n == 1
+    rows = [(low[s:e][single[s:e]].tobytes(), low[s:e][~single[s:e]].tobytes(), n[s:e][~single[s:e]].astype(np.uint32).tobytes())
+            for s, e in zip(starts, ends)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(bucket[starts]), pa.array(np.full(len(starts), longest)), *[pa.array(c, pa.binary()) for c in zip(*rows)]],
+        names=["bucket", "longest", "once", "more", "counts"])
 
-    return _pass(docs, count, ["hash", "longest"], "hash long, longest boolean", now, before)
+
+def _hash_counts(docs: DataFrame, buckets: int, least: int, longest: int, now: np.ndarray | None,
+                 before: np.ndarray | None) -> DataFrame:
+    """``hash`` (its low half) of all words and phrases that ``now`` opens and ``before`` did not, with ``least`` occurrences.
+
+    ``longest`` says which have so many words.
+    """
+    def count(segments, now, before):
+        held = {False: [], True: []}
+        for words in segments:
+            level = 1 if before is None else 2
+            for hashes in _opened(words, longest, now, before):
+                held[level == longest].append(hashes)
+                level += 1
+            for flag, parts in held.items():
+                if sum(map(len, parts)) >= HELD:
+                    yield _bucketed(np.concatenate(parts), flag, buckets)
+                    parts.clear()
+        for flag, parts in held.items():
+            if sum(map(len, parts)):
+                yield _bucketed(np.concatenate(parts), flag, buckets)
+
+    def added(frame):
+        numbers = lambda column: np.concatenate([np.frombuffer(x, np.uint32) for x in column])
+        once, more = numbers(frame["once"]), numbers(frame["more"])
+        low, which = np.unique(np.concatenate((once, more)), return_inverse=True)
+        n = np.bincount(which, np.concatenate((np.ones(len(once)), numbers(frame["counts"]))))
+        low = low[n >= least]
+        return pd.DataFrame({"hash": low.astype(np.int64), "longest": np.full(len(low), bool(frame["longest"].iloc[0]))})
+
+    each = _pass(docs, count, "bucket long, longest boolean, once binary, more binary, counts binary", now, before)
+    return each.groupBy("bucket", "longest").applyInPandas(added, "hash long, longest boolean")
 
 
 def _bitmap(hashes: DataFrame) -> np.ndarray:
@@ -217,19 +259,26 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, sample
 
     The phrase '' has the number of words of the language.
     """
+    total = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
+    buckets = max(1, -(-total // BUCKET))
     some = docs.where(F.pmod(F.xxhash64("text", "lang"), F.lit(sample)) == 0)
-    now = _bitmap(_hash_counts(some, max(longest - 1, 1), None, None).where(F.col("n") >= PROPOSED))
+    now = _bitmap(_hash_counts(some, buckets, PROPOSED, max(longest - 1, 1), None, None))
     before, often, passes = None, np.zeros(BITS // 8, np.uint8), 0
     while True:
-        counts = _hash_counts(docs, longest, now, before).where(F.col("n") >= least)
-        reached = written(counts.select("hash", "longest"), "phrases")
+        reached = written(_hash_counts(docs, buckets, least, longest, now, before), "phrases")
         passes += 1
         border = _bitmap(reached.where("not longest"))
         often |= border | _bitmap(reached.where("longest"))
         if not (border & ~now).any():
             break
         before, now = now, now | border
-    exact = _pass(docs, lambda words, often: _frequent(words, longest, often), ["lang", "phrase"], "lang string, phrase string", often)
+
+    def count(segments, often):
+        for words in segments:
+            for columns in _frequent(words, longest, often):
+                yield pa.RecordBatch.from_arrays(list(columns), names=["lang", "phrase", "n"])
+
+    exact = _pass(docs, count, "lang string, phrase string, n long", often).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
     return written(exact.where((F.col("n") >= least) | (F.col("phrase") == "")), "counts"), passes
 
 
