@@ -137,7 +137,7 @@ def test_late_readings_are_dropped(spark, tmp_path):
 def test_fresh_and_immediate(spark, source, tmp_path):
     path, batch = source
     s = stream(spark, path).withColumn("ingest_ts", F.col("event_ts") + F.expr("INTERVAL 1 MINUTE") * (F.col("event_id") % 10))
-    rule = Rule("alert", "none", sources=(Source("sensor_reading"),), having=(Having("<", -20),))
+    rule = Rule("alert", "none", sources=(Source("sensor_reading"),), aggs=(Agg("value", "last"),), having=(Having("<", -20),))
     out = run(spark, sw.immediate(sw.fresh_only(s, "5 MINUTES"), rule), tmp_path)
     want = sorted((r.device_id, r.tick + 1, r.value) for r in batch.collect() if r.value < -20 and r.event_id % 10 <= 5)
     assert sorted((r.device_id, r.tick, r.value) for r in out.collect()) == want

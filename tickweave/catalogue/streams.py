@@ -7,14 +7,18 @@ windows that end at least the watermark's delay before the last event.
 
 from pyspark.sql import DataFrame, functions as F
 
-from tickweave.catalogue.base import DAY, ORIGIN_S, SEED, query, r4, sql_r4, table, uniform_sql, with_readings
+from tickweave.catalogue.base import (
+    DAY, ORIGIN_S, SEED, query, r4, readings as batch_readings, sql_r4, table, uniform_sql, with_readings,
+)
 from tickweave.catalogue.storage import shared_folder
 from tickweave.operators.aggregates import Agg
 from tickweave.operators.transmit import lossy
-from tickweave.plans.rules import Having, Rule, Source
+from tickweave.operators.windows import last_tick
+from tickweave.plans.rules import Having, Rule, RuleSet, Source
 from tickweave.sources.tables import events_as_readings
 from tickweave.streaming import transmission as st
 from tickweave.streaming import windows as sw
+from tickweave.streaming.rule_sets import Clock, stream_rules
 
 DELAY_MINUTES = 5
 # the last tick that is certainly behind the watermark at the end of the input
@@ -69,7 +73,8 @@ def stream_sliding(spark, sf_dir):
   SELECT device_id, tick + 1 AS tick, value, 'LOW' AS rule_label FROM readings
   WHERE measure_name = 'error' AND value < 3"""))
 def stream_immediate(spark, sf_dir):
-    rule = Rule("alert", "none", sources=(Source("sensor_reading", "error"),), having=(Having("<", 3),), label="LOW")
+    rule = Rule("alert", "none", sources=(Source("sensor_reading", "error"),), aggs=(Agg("value", "last"),),
+                having=(Having("<", 3),), label="LOW")
     return _run(sw.immediate(_stream(spark, sf_dir), rule), "immediate").select("device_id", "tick", "value", "rule_label")
 
 
@@ -183,3 +188,93 @@ def stream_transitions(spark, sf_dir):
     st.configure(spark)
     return _run(st.transitions(_stream(spark, sf_dir)), "transitions").select(
         "device_id", "measure_name", "tick", "event_id", "from_tier", "to_tier")
+
+
+# rule sets: the same Rule objects in batch and on the stream
+
+HIGH_DAYS = Rule("alert", "tumbling", DAY, (Source("sensor_reading"),), (Agg("value", "avg"), Agg("n", "count")), (Having(">", 50),),
+                 label="HIGH", fire_offset=DAY + 1)
+HIGH_WEEKS = Rule("report", "tumbling", 7 * DAY, (Source("alert", "HIGH"),), (Agg("value", "count"),), label="WEEK")
+TOGETHER = Rule("summary", "tumbling", 7 * DAY, (Source("alert", "HIGH"), Source("sensor_reading", "error")), (Agg("value", "max"),))
+LAST_WEEKS = Rule("trend", "rows", 2, (Source("report", "WEEK"),), (Agg("value", "sum"),))
+CHAIN = RuleSet((HIGH_DAYS, HIGH_WEEKS, TOGETHER, LAST_WEEKS), digits=None)
+
+_CHAIN_SQL = """
+  alert AS (SELECT device_id, tick // 1440 * 1440 AS s, avg(value) AS v FROM readings GROUP BY ALL HAVING avg(value) > 50),
+  weeks AS (SELECT device_id, (s + 1441) // 10080 * 10080 AS s, v FROM alert),
+  report AS (SELECT device_id, s, CAST(count(*) AS DOUBLE) AS v FROM weeks GROUP BY device_id, s),
+  summary AS (
+    SELECT device_id, s, max(v) AS v FROM weeks GROUP BY device_id, s
+    UNION ALL SELECT device_id, tick // 10080 * 10080, max(value) FROM readings WHERE measure_name = 'error' GROUP BY ALL),
+  trend AS (
+    SELECT device_id, s + 10080 AS s, sum(v) OVER (PARTITION BY device_id ORDER BY s ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS v
+    FROM report),
+  chained AS (
+    SELECT device_id, 'alert' AS event_type, s + 1441 AS tick, s + 1440 AS window_end, v FROM alert
+    UNION ALL SELECT device_id, 'report', s + 10080, s + 10080, v FROM report
+    UNION ALL SELECT device_id, 'summary', s + 10080, s + 10080, v FROM summary
+    UNION ALL SELECT device_id, 'trend', s + 1, s + 1, v FROM trend)"""
+_CHAIN_COLUMNS = ("device_id", "event_type", "tick", "window_end")
+
+
+def _chain_sql(behind: str) -> str:
+    return with_readings(f"SELECT device_id, event_type, tick, window_end, {sql_r4('v')} AS value FROM chained WHERE {behind}",
+                         _CHAIN_SQL)
+
+
+@query(_chain_sql("event_type = 'trend' AND window_end <= (SELECT max(tick) FROM readings) + 1 OR window_end <= (SELECT max(tick) FROM readings)"))
+def rules_mixed_sources(spark, sf_dir):
+    """Four rules in three levels, one of which reads alerts and readings together."""
+    out = CHAIN.run(batch_readings(spark, sf_dir))
+    return out.select(*_CHAIN_COLUMNS, r4("value").alias("value"))
+
+
+@query(_chain_sql(f"window_end <= {_MARK}"))
+def stream_rule_set(spark, sf_dir):
+    """The same rule set on the stream."""
+    st.configure(spark)
+    out = _run(stream_rules(CHAIN, _stream(spark, sf_dir), Clock(ORIGIN_S)), "rule-set")
+    # what became due before the last watermark: a window's end, or a reading's tick, is not behind the mark
+    out = out.where(F.col("window_end") <= last_tick(batch_readings(spark, sf_dir)) - DELAY_MINUTES)
+    return out.select(*_CHAIN_COLUMNS, r4("value").alias("value"))
+
+
+_ROW_AGGS = (Agg("value", "avg"), Agg("low", "min"), Agg("high", "max"), Agg("n", "count"), Agg("latest", "last"))
+SLIDING = Rule("level", "sliding", DAY, (Source("sensor_reading"),), _ROW_AGGS, (Having(">", 20),))
+LAST_N = Rule("level", "rows", 6, (Source("sensor_reading"),), _ROW_AGGS, (Having(">", 20),))
+LANDMARK = Rule("level", "landmark", 0, (Source("sensor_reading"),), _ROW_AGGS, (Having(">", 20),))
+
+
+def _row_sql(order: str, frame: str, where: str = "true") -> str:
+    peers = "tick * 1000000000 + event_id"
+    return with_readings(f"""
+  SELECT device_id, tick + 1 AS tick, {sql_r4('m')} AS value, lo AS low, hi AS high, n, latest
+  FROM (SELECT *, avg(value) OVER w AS m, min(value) OVER w AS lo, max(value) OVER w AS hi, CAST(count(value) OVER w AS DOUBLE) AS n,
+               arg_max(value, {peers}) OVER w AS latest
+        FROM readings WINDOW w AS (PARTITION BY device_id ORDER BY {order} {frame}))
+  WHERE m > 20 AND {where} AND tick < {_MARK}""")
+
+
+def _row_columns(events: DataFrame) -> DataFrame:
+    a = F.col("aggregates")
+    return events.select("device_id", "tick", r4("value").alias("value"), *[a[c].alias(c) for c in ("low", "high", "n", "latest")])
+
+
+def _stream_row(spark, sf_dir, rule: Rule, name: str) -> DataFrame:
+    st.configure(spark)
+    return _row_columns(_run(stream_rules(RuleSet((rule,), digits=None), _stream(spark, sf_dir), Clock(ORIGIN_S)), name))
+
+
+@query(_row_sql("tick", "RANGE BETWEEN 1439 PRECEDING AND CURRENT ROW", "tick >= 1440"))
+def stream_sliding_rule(spark, sf_dir):
+    return _stream_row(spark, sf_dir, SLIDING, "sliding-rule")
+
+
+@query(_row_sql("tick, event_id", "ROWS BETWEEN 5 PRECEDING AND CURRENT ROW"))
+def stream_last_n_rule(spark, sf_dir):
+    return _stream_row(spark, sf_dir, LAST_N, "last-n-rule")
+
+
+@query(_row_sql("tick", "RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"))
+def stream_landmark_rule(spark, sf_dir):
+    return _stream_row(spark, sf_dir, LANDMARK, "landmark-rule")

@@ -6,9 +6,9 @@ aggregation. Rules whose source is the head of another rule are applied to its
 output, so chains work to any depth.
 """
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cache, partial, reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -111,18 +111,14 @@ def _own_aggs(rule: Rule) -> list[Agg]:
     return [*rule.aggs, *mean]
 
 
-def tumbling_rules(
-    events: DataFrame,
-    rules: Sequence[Rule],
-    start: int = 0,
-    closed_at: Column | None = None,
-    digits: int | None = VALUE_DIGITS,
-    tie: str = "event_id",
-) -> DataFrame:
-    """All tumbling rules with the same keys and window length, in one aggregation.
+def tumbling_branches(
+    events: DataFrame, rules: Sequence[Rule], tie: str = "event_id", digits: int | None = VALUE_DIGITS
+) -> tuple[Column, list[Column], Column]:
+    """What tumbling rules of one window and one set of keys need of an aggregation.
 
-    Each (rule, source) pair becomes a set of conditional states; the heads whose
-    constraint holds are emitted from the one aggregated row.
+    That is which events they read, the states of every (rule, source) pair, and an
+    expression over the aggregated row, with its ``window_start`` and ``window_end``, that
+    makes one output row of each head whose constraint holds.
     """
     keys, size = rules[0].keys, rules[0].size
     if any(r.keys != keys or r.size != size or r.window != "tumbling" for r in rules):
@@ -155,13 +151,63 @@ def tumbling_rules(
             extra.alias("aggregates"),
         )
         heads.append(F.when(fires, stamped))
+    return wanted, states, F.inline(F.filter(F.array(*heads), lambda h: h.isNotNull()))
+
+
+def tumbling_rules(
+    events: DataFrame,
+    rules: Sequence[Rule],
+    start: int = 0,
+    closed_at: Column | None = None,
+    digits: int | None = VALUE_DIGITS,
+    tie: str = "event_id",
+) -> DataFrame:
+    """All tumbling rules with the same keys and window length, in one aggregation.
+
+    Each (rule, source) pair becomes a set of conditional states; the heads whose
+    constraint holds are emitted from the one aggregated row.
+    """
+    wanted, states, heads = tumbling_branches(events, rules, tie, digits)
+    keys, size = rules[0].keys, rules[0].size
     index = F.floor((F.col("tick") - start) / F.lit(size)).cast("bigint")
     windows = events.filter(wanted).groupBy(*keys, index.alias("_window")).agg(*states)
     first = F.col("_window") * size + F.lit(start)
     windows = windows.withColumn("window_start", first).withColumn("window_end", first + size)
     if closed_at is not None:
         windows = windows.filter(F.col("window_end") <= closed_at)
-    return windows.select(*keys, F.inline(F.filter(F.array(*heads), lambda h: h.isNotNull())))
+    return windows.select(*keys, heads)
+
+
+def private_aggs(rule: Rule) -> tuple[list[Agg], list[Agg]]:
+    """The rule's aggregates under private names, as one may be called like a column of the readings, and with the constraint's mean."""
+    private = [Agg(f"_agg{i}", a.func, a.input) for i, a in enumerate(rule.aggs)]
+    return private, [*private, *([Agg(MEAN)] if rule.having else [])]
+
+
+def windowless(rows: DataFrame, rule: Rule) -> DataFrame:
+    """Rows with the aggregates of a windowless rule: the constraint is on the reading itself, and so is every aggregate."""
+    out = rows.withColumn(MEAN, F.col("value"))
+    for a in private_aggs(rule)[0]:
+        out = out.withColumn(a.out, F.lit(1.0) if a.func == "count" else F.col(a.input))
+    return out
+
+
+def row_bounds(rule: Rule, start: int = 0) -> tuple[Column, Column]:
+    """First tick of the window of a row rule at a reading, and the first tick after it."""
+    first = {"sliding": F.col("tick") - rule.size + 1, "landmark": F.lit(start)}.get(rule.window, F.col("tick"))
+    return first, F.col("tick") + 1
+
+
+def fired(out: DataFrame, rule: Rule, start: int = 0, digits: int | None = VALUE_DIGITS) -> DataFrame:
+    """The derived events of a row rule from readings with its aggregates."""
+    private, _ = private_aggs(rule)
+    if rule.having:
+        out = out.filter(_mean_holds(F.col(MEAN), rule.having))
+    value = F.col(private[0].out) if private else F.lit(DEFAULT_VALUE)
+    aggregates = F.map_from_arrays(
+        F.array(*[F.lit(a.out) for a in rule.aggs]), F.array(*[F.col(a.out) for a in private])
+    ) if rule.aggs else F.lit(None).cast("map<string,double>")
+    return out.select(*rule.keys, *_stamp(rule, value, *row_bounds(rule, start), digits), aggregates.alias("aggregates"))
 
 
 def row_rule(
@@ -175,37 +221,19 @@ def row_rule(
     parts = []
     for source in rule.sources:
         rows = source_rows(events, source)
-        # private names: an aggregate may be called like a column of the readings
-        private = [Agg(f"_agg{i}", a.func, a.input) for i, a in enumerate(rule.aggs)]
-        aggs = [*private, *([Agg(MEAN)] if rule.having else [])]
+        _, aggs = private_aggs(rule)
         if rule.window == "sliding":
             out = sliding_time(rows, rule.size, aggs, rule.keys, start)
-            first, end = F.col("tick") - rule.size + 1, F.col("tick") + 1
         elif rule.window == "landmark":
             out = landmark(rows, aggs, rule.keys)
-            first, end = F.lit(start), F.col("tick") + 1
         elif rule.window == "rows":
             states = states_for(aggs)
             out = rolling_rows(
                 rows, rule.size, {s.name: s.from_rows for s in states}, rule.keys, segments=segments
             ).select(*rows.columns, *[result(a) for a in aggs])
-            first, end = F.col("tick"), F.col("tick") + 1
         else:
-            # the constraint is on the reading itself, and the first aggregate is its value
-            out = rows.withColumn(MEAN, F.col("value"))
-            for a in private:
-                out = out.withColumn(a.out, F.lit(1.0) if a.func == "count" else F.col(a.input))
-            first, end = F.col("tick"), F.col("tick") + 1
-        if rule.having:
-            out = out.filter(_mean_holds(F.col(MEAN), rule.having))
-        value = F.col(private[0].out) if private else F.lit(DEFAULT_VALUE)
-        aggregates = F.map_from_arrays(
-            F.array(*[F.lit(a.out) for a in rule.aggs]), F.array(*[F.col(a.out) for a in private])
-        ) if rule.aggs else F.lit(None).cast("map<string,double>")
-        parts.append(out.select(
-            *rule.keys, *_stamp(rule, value, first, end, digits),
-            aggregates.alias("aggregates"),
-        ))
+            out = windowless(rows, rule)
+        parts.append(fired(out, rule, start, digits))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -241,30 +269,49 @@ class RuleSet:
         reads the outputs of the heads it names only, so a chain adds its own steps to the plan.
         """
         closed_at = last_tick(readings) if self.complete_only else None
+        return self.evaluated(
+            readings,
+            lambda events, rules: tumbling_rules(events, rules, self.start, closed_at, None),
+            lambda events, rule: row_rule(events, rule, self.start, None, self.segments.get(rule.keys)))
+
+    def evaluated(
+        self,
+        readings: DataFrame,
+        tumbling: Callable[[DataFrame, list[Rule]], DataFrame],
+        by_row: Callable[[DataFrame, Rule], DataFrame],
+        wanted: Sequence[str] | None = None,
+        shared: bool = True,
+    ) -> DataFrame:
+        """Level by level, with these two ways to evaluate rules; both must leave values unrounded.
+
+        Only the heads ``wanted`` are put out. What several rules read is one DataFrame if
+        ``shared``, else one for each of them.
+        """
         heads = {r.head for r in self.rules}
-        outs: list[DataFrame] = []
-        made: dict[str, list[DataFrame]] = {}       # what each head's rules put out
+        makers: list[tuple[set[str], Callable[[], DataFrame]]] = []
+
+        def make(rules: list[Rule]) -> DataFrame:
+            reads = {s.event_type for r in rules for s in r.sources}
+            parts = [readings] if reads - heads else []
+            for head in sorted(reads & heads):      # a rule may read readings and derived events together
+                parts += [_as_events(out().where(F.col("event_type") == head)) for own, out in makers if head in own]
+            events = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+            return tumbling(events, rules) if rules[0].window == "tumbling" else by_row(events, rules[0])
+
         for level in self.levels():
             groups: dict[tuple, list[Rule]] = {}
             for r in level:
                 chained = any(s.event_type in heads for s in r.sources)
                 reading = any(s.event_type not in heads for s in r.sources)
-                shared = (r.window, r.size, r.keys, chained, reading) if r.window == "tumbling" else (id(r),)
-                groups.setdefault(shared, []).append(r)
+                group = (r.window, r.size, r.keys, chained, reading) if r.window == "tumbling" else (id(r),)
+                groups.setdefault(group, []).append(r)
             for rules in groups.values():
-                reads = {s.event_type for r in rules for s in r.sources}
-                parts = [readings] if reads - heads else []
-                for head in sorted(reads & heads):      # a rule may read readings and derived events together
-                    parts += [_as_events(out.where(F.col("event_type") == head)) for out in made[head]]
-                events = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-                if rules[0].window == "tumbling":
-                    out = tumbling_rules(events, rules, self.start, closed_at, None)
-                else:
-                    out = row_rule(events, rules[0], self.start, None, self.segments.get(rules[0].keys))
-                outs.append(out)
-                for head in {r.head for r in rules}:
-                    made.setdefault(head, []).append(out)
+                maker = partial(make, rules)
+                makers.append(({r.head for r in rules}, cache(maker) if shared else maker))
+        outs = [out() for own, out in makers if wanted is None or own & set(wanted)]
         derived = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), outs)
+        if wanted is not None:
+            derived = derived.where(F.col("event_type").isin(*wanted))
         if self.digits is None:
             return derived
         return derived.withColumn("value", F.round("value", self.digits))
@@ -272,7 +319,7 @@ class RuleSet:
 
 def _as_events(derived: DataFrame) -> DataFrame:
     """Derived events as the input of a later rule, numbered by a hash of what tells them apart."""
-    names = [c for c in derived.columns if c not in ("value", "aggregates")]
+    names = [c for c in derived.columns if c not in ("value", "aggregates", "event_ts")]
     return derived.withColumn("event_id", F.xxhash64(*names))
 
 

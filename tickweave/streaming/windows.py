@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tickweave.operators.aggregates import Agg, DEFAULT_VALUE, result, states_for
-from tickweave.plans.rules import MEAN, Having, Rule, _mean_holds, source_rows
+from tickweave.plans.rules import MEAN, Having, Rule, _mean_holds, row_rule, source_rows
 
 
 def with_event_time(df: DataFrame, delay: str, origin_s: int = 0,
@@ -62,7 +62,8 @@ def tumbling_rule(df: DataFrame, rule: Rule, tick_seconds: int = 60, origin_s: i
         value = F.col(rule.aggs[0].out) if rule.aggs else F.lit(DEFAULT_VALUE)
         parts.append(out.select(
             *rule.keys, "window",
-            F.lit(rule.head).alias("event_type"), F.lit(rule.head).alias("measure_name"),
+            F.lit(rule.head).alias("event_type"),
+            *([] if "measure_name" in rule.keys else [F.lit(rule.head).alias("measure_name")]),
             value.alias("value"), F.lit(rule.head).alias("triggered_by"),
             F.lit(rule.label).cast("string").alias("rule_label"),
             (F.col("window.start") + F.expr(f"INTERVAL {fire_offset * tick_seconds} SECONDS")).alias("fire_time"),
@@ -79,8 +80,9 @@ def as_source(derived: DataFrame) -> DataFrame:
     The event time of a chained window must be the window's own time; the stamped
     fire time is payload.
     """
+    names = [c for c in derived.columns if c not in ("value", "window")]
     return derived.withColumn("event_ts", F.window_time("window")).withColumn(
-        "event_id", F.lit(0).cast("bigint")
+        "event_id", F.xxhash64(*names)
     ).drop("window")
 
 
@@ -94,19 +96,7 @@ def landmark_running(df: DataFrame, aggs: Sequence[Agg], keys: Sequence[str] = (
 
 def immediate(df: DataFrame, rule: Rule) -> DataFrame:
     """A windowless rule: each matching reading fires at once, ``fire_offset`` ticks later."""
-    parts = []
-    for source in rule.sources:
-        rows = source_rows(df, source).filter(_mean_holds(F.col("value"), rule.having))
-        parts.append(rows.select(
-            *rule.keys, "event_ts", F.lit(rule.head).alias("event_type"),
-            (F.col("tick") + (1 if rule.fire_offset is None else rule.fire_offset)).alias("tick"),
-            F.lit(rule.head).alias("measure_name"), "value",
-            F.lit(rule.head).alias("triggered_by"), F.lit(rule.label).cast("string").alias("rule_label"),
-        ))
-    merged = parts[0]
-    for p in parts[1:]:
-        merged = merged.unionByName(p)
-    return merged
+    return row_rule(df, rule)
 
 
 def cooccur_same_window(df: DataFrame, duration: str, first: Column, second: Column,
