@@ -4,8 +4,8 @@ Only vectors with the same label are compared. Equal vectors are one class. Each
 classes are dealt to cells around pivots and cells to blocks of bounded size; two blocks
 meet in a task only if their cells' covering radii allow a pair. The task builds a cover
 tree of each block (nested centres, the radius halves from level to level) and walks both
-trees together: a pair of nodes is dropped if its centres are further apart than both
-covering radii and the limit. What is left at the leaves is compared exactly.
+trees together, level by level: a pair of nodes is dropped if its centres are further apart
+than both covering radii and the limit. The pairs of points that are left are compared exactly.
 
 A task returns link counts and a spanning forest, so its output never grows with the
 number of pairs.
@@ -23,76 +23,85 @@ COSINE = 0.93
 BLOCK = 2048        # classes that one side of a task holds, about
 PIVOTS = 64         # cells of a label at most; larger cells are cut into blocks by a hash
 LEAF = 24
-SLACK = 1e-9        # for rounding in the bounds; the comparison itself has none
+PAIRS = 1 << 22     # distances that are computed at a time
+SLACK = 1e-6        # for rounding in the bounds; the comparison itself has none
 
 
 class CoverTree:
-    """Nodes in arrays: centre, covering radius, children; a leaf's points."""
+    """Nodes in arrays: centre, covering radius, and what lies below: nodes, or points as ``~point``.
+
+    A node with one point, or with equal ones only, has its points below it.
+    """
 
     def __init__(self, points: np.ndarray):
         self.points = points
-        self.centre, self.radius, self.children, self.members = [], [], [], []
-        everything = np.arange(len(points))
-        self._grow(0, everything, np.linalg.norm(points - points[0], axis=1))
-
-    def _node(self, centre: int, members: np.ndarray, distance: np.ndarray) -> int:
-        self.centre.append(centre)
-        self.radius.append(float(distance.max()))
-        self.children.append(None)
-        self.members.append(members)
-        return len(self.centre) - 1
-
-    def _grow(self, centre: int, members: np.ndarray, distance: np.ndarray) -> None:
-        todo = [self._node(centre, members, distance)]
-        around = {0: distance}
+        self.centres, self.radii, self.down = [], [], []
+        todo = [self._node(0, np.arange(len(points)), np.linalg.norm(points - points[0], axis=1))]
         while todo:
-            node = todo.pop()
-            distance, members = around.pop(node), self.members[node]
-            reach = self.radius[node] / 2
-            if len(members) <= LEAF or reach == 0:
-                continue
-            own, at, rest, gone = [], self.centre[node], members, distance
-            while True:                     # the node's own centre first: levels are nested
-                near = gone <= reach
-                child = self._node(at, rest[near], gone[near])
-                around[child] = gone[near]
-                own.append(child)
-                rest = rest[~near]
-                if not len(rest):
-                    break
-                at = int(rest[0])
-                gone = np.linalg.norm(self.points[rest] - self.points[at], axis=1)
-            self.children[node] = np.array(own)
-            self.members[node] = None
-            todo += own
-
-    def arrays(self):
-        return np.array(self.centre), np.array(self.radius), np.array([c is None for c in self.children])
-
-
-def leaf_pairs(a: CoverTree, b: CoverTree, limit: float):
-    """Pairs of leaves that may hold points within ``limit``."""
-    ca, ra, la = a.arrays()
-    cb, rb, lb = b.arrays()
-    i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
-    while len(i):
-        apart = np.concatenate([np.linalg.norm(a.points[ca[i[k:k + 65536]]] - b.points[cb[j[k:k + 65536]]], axis=1)
-                                for k in range(0, len(i), 65536)])
-        near = apart <= ra[i] + rb[j] + limit + SLACK
-        i, j = i[near], j[near]
-        done = la[i] & lb[j]
-        if done.any():
-            yield i[done], j[done]
-        i, j = i[~done], j[~done]
-        left = ~la[i] & (lb[j] | (ra[i] >= rb[j]))
-        parts = []
-        for split, tree, keep, own_first in ((left, a, j, True), (~left, b, i, False)):
-            node = (i if own_first else j)[split]
-            kids = [tree.children[n] for n in node]
-            down = np.concatenate(kids) if kids else np.zeros(0, np.int64)
-            other = np.repeat(keep[split], [len(k) for k in kids])
-            parts.append((down, other) if own_first else (other, down))
-        i, j = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+            todo += self._split(*todo.pop())
+        self.centre, self.radius = np.array(self.centres), np.array(self.radii)
+
+    def _node(self, centre: int, members: np.ndarray, distance: np.ndarray):
+        self.centres.append(centre)
+        self.radii.append(float(distance.max()))
+        self.down.append(None)
+        return len(self.centres) - 1, members, distance
+
+    def _split(self, node: int, members: np.ndarray, distance: np.ndarray) -> list:
+        reach = self.radii[node] / 2
+        if len(members) <= LEAF or reach == 0:
+            self.down[node] = ~members
+            return []
+        below, new, at, rest, gone = [], [], self.centres[node], members, distance
+        while True:                     # the node's own centre first: levels are nested
+            near = gone <= reach
+            if near.sum() == 1:
+                below.append(~rest[near][0])
+            else:
+                new.append(self._node(at, rest[near], gone[near]))
+                below.append(new[-1][0])
+            rest = rest[~near]
+            if not len(rest):
+                break
+            at = int(rest[0])
+            gone = np.linalg.norm(self.points[rest] - self.points[at], axis=1)
+        self.down[node] = np.array(below)
+        return new
+
+    def below(self, entries: np.ndarray) -> np.ndarray:
+        """The next level of some nodes; points stay."""
+        return np.concatenate([entries[entries < 0], *[self.down[e] for e in entries[entries >= 0]]])
+
+    def balls(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Centres (numbers of points) and radii."""
+        node = np.maximum(entries, 0)
+        return np.where(entries < 0, ~entries, self.centre[node]), np.where(entries < 0, 0.0, self.radius[node])
+
+
+def near_points(a: CoverTree, b: CoverTree, limit: float):
+    """Pairs of points that may be within ``limit``: both trees are walked down together.
+
+    One node of ``a`` meets at a time all entries of ``b`` that can hold points near to its
+    own; both go down a level, and of each new entry of ``a`` only the near ones of ``b`` go on.
+    """
+    todo = [(np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    while todo:
+        entry, others = todo.pop()
+        others = b.below(others)
+        cb, rb = b.balls(others)
+        every = a.below(entry)
+        width = max(1, PAIRS // len(others))
+        for own in (every[k:k + width] for k in range(0, len(every), width)):
+            ca, ra = a.balls(own)
+            apart = np.sqrt(np.maximum(2 - 2 * (a.points[ca] @ b.points[cb].T), 0))      # of unit vectors
+            near = apart <= ra[:, None] + rb + limit + SLACK
+            final = (own < 0)[:, None] & (others < 0)
+            x, y = np.nonzero(near & final)
+            if len(x):
+                yield ca[x], cb[y]
+            near &= ~final
+            for k in np.flatnonzero(near.any(1)):
+                todo.append((own[k:k + 1], others[near[k]]))
 
 
 def links(va: np.ndarray, vb: np.ndarray, cosine: float):
@@ -101,15 +110,11 @@ def links(va: np.ndarray, vb: np.ndarray, cosine: float):
     a = CoverTree(va / na[:, None])
     b = a if vb is va else CoverTree(vb / nb[:, None])
     limit = np.sqrt(max(0.0, 2 - 2 * cosine))
-    for i, j in leaf_pairs(a, b, limit):
-        order = np.argsort(i, kind="stable")
-        i, j = i[order], j[order]
-        cuts = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1])))
-        for s, e in zip(cuts, [*cuts[1:], len(i)]):
-            x = a.members[i[s]]
-            y = np.concatenate([b.members[n] for n in j[s:e]])
-            p, q = np.nonzero((va[x] @ vb[y].T) / (na[x][:, None] * nb[y]) >= cosine)
-            yield x[p], y[q]
+    for x, y in near_points(a, b, limit):
+        for k in range(0, len(x), PAIRS // 64):
+            p, q = x[k:k + PAIRS // 64], y[k:k + PAIRS // 64]
+            near = np.einsum("ij,ij->i", va[p], vb[q]) / (na[p] * nb[q]) >= cosine
+            yield p[near], q[near]
 
 
 def forest(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:

@@ -247,7 +247,8 @@ def merged_order(text: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.n
     key = np.concatenate(keys)
     interleave = shard[np.argsort(key, kind="stable")]      # ordered by 8 symbols (4 if they take two bytes)
     symbol = np.empty(len(transform), kind)
-    for _ in range(LENGTH):
+    known = 8 if int(dense.max(initial=0)) < 256 else 4     # symbols by which the start is in order already
+    for _ in range(LENGTH - known):
         symbol[np.argsort(interleave, kind="stable")] = transform
         new = np.concatenate((ends_first, interleave[np.argsort(symbol, kind="stable")[len(ends_first):]]))
         if np.array_equal(new, interleave):
