@@ -28,7 +28,7 @@ SLACK = 1e-6        # for rounding in the bounds; the comparison itself has none
 
 
 class CoverTree:
-    """Nodes in arrays: centre, covering radius, and what lies below: nodes, or points as ``~point``.
+    """Nodes of unit vectors in arrays: centre, covering radius, and what lies below: nodes, or points as ``~point``.
 
     A node with one point, or with equal ones only, has its points below it.
     """
@@ -52,19 +52,22 @@ class CoverTree:
         if len(members) <= LEAF or reach == 0:
             self.down[node] = ~members
             return []
-        below, new, at, rest, gone = [], [], self.centres[node], members, distance
+        below, new, at, gone = [], [], self.centres[node], distance
+        own, left = self.points[members], np.ones(len(members), bool)
         while True:                     # the node's own centre first: levels are nested
-            near = gone <= reach
-            if near.sum() == 1:
-                below.append(~rest[near][0])
+            near = np.flatnonzero(left & (gone <= reach))
+            if len(near) == 1:
+                below.append(~members[near[0]])
             else:
-                new.append(self._node(at, rest[near], gone[near]))
+                new.append(self._node(at, members[near], gone[near]))
                 below.append(new[-1][0])
-            rest = rest[~near]
-            if not len(rest):
+            left[near] = False
+            first = int(left.argmax())
+            if not left[first]:
                 break
-            at = int(rest[0])
-            gone = np.linalg.norm(self.points[rest] - self.points[at], axis=1)
+            at = int(members[first])
+            gone = np.sqrt(np.maximum(2 - 2 * (own @ own[first]), 0))
+            gone[first] = 0.0
         self.down[node] = np.array(below)
         return new
 
