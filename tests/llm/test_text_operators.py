@@ -136,7 +136,7 @@ def lines_by_hand(rows):
     sites, places = defaultdict(set), defaultdict(list)
     for doc_id, text, source in rows:
         for k, line in enumerate((text or "").split("\n")):
-            if len(re.split(r"[ \t]+", line.strip(" "))) >= line_dedup.WORDS:
+            if WORD.search(line):
                 if source is not None:
                     sites[line.strip(" ")].add(source)
                 places[line.strip(" ")].append((doc_id, k))
@@ -148,7 +148,7 @@ def lines_by_hand(rows):
 
 
 def test_shared_lines_go_but_once(spark):
-    rows = [(i, f"own text of page {i}\n  made for every site \nmade for {i % 4} sites only\nshort", f"s{i % 7}") for i in range(40)]
+    rows = [(i, f"own text of page {i}\n  made for every site \nmade for {i % 4} sites only\nshort\n\n\t\r\n利用規約", f"s{i % 7}") for i in range(40)]
     rows += [(100 + i, "made for every site", None) for i in range(3)] + [(200, None, "s1"), (201, "", "s2")]
     docs = clashing(spark.createDataFrame(rows, "doc_id long, text string, source string"))
     got = {r["doc_id"]: r for r in line_dedup.remove_boilerplate(docs).collect()}

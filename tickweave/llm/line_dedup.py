@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tickweave.llm.common import free_names, written
 
 SITES = 5               # lines on at least so many sites are boilerplate
-WORDS = 3               # lines with fewer words are too common by chance and stay
+_WORD = r"[^\x20\x09-\x0D]"     # a line without is blank, and stays
 ERROR = 0.15            # of the sketch: 64 registers
 BELOW, ABOVE = 0.3, 3.0     # times SITES: exact counts between
 
@@ -27,10 +27,10 @@ def line_key(line: Column) -> tuple[Column, Column]:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, row (hash of the row's text), site, place, and the two hashes of each line with enough words."""
+    """doc_id, row (hash of the row's text), site, place, and the two hashes of each line that is not blank."""
     each = docs.select("doc_id", F.xxhash64("text", "source").alias("row"), F.col("source").alias("site"),
                        F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    each = each.where(F.size(F.split(F.trim("line"), r"[ \t]+")) >= WORDS)
+    each = each.where(F.col("line").rlike(_WORD))
     h, g = line_key(F.col("line"))
     return each.select("doc_id", "row", "site", "place", h.alias("h"), g.alias("g"))
 
@@ -57,8 +57,7 @@ def _boilerplate(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 def remove_boilerplate(docs: DataFrame) -> DataFrame:
     """``docs`` with lines removed from ``text``, and the columns ``n_lines``, ``n_removed``.
 
-    Lines are split at newlines and compared without blanks around them; lines of under
-    WORDS words stay. A null text stays null with 0 lines, an empty one has one empty line.
+    Lines are split at newlines and compared without blanks around them; blank lines stay. A null text stays null with 0 lines, an empty one has one empty line.
     Rows with a null source have no site, so they don't count, but lose boilerplate too.
     A null doc_id comes after all others. Rows with the same doc_id, source and text are
     treated alike. A text that loses all lines becomes empty. Columns of these two names

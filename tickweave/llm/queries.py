@@ -98,7 +98,7 @@ lines AS (
   SELECT doc_id, source, unnest(parts) AS line, unnest(range(len(parts))) AS place FROM numbered),
 shared AS (
   SELECT trim(line) AS line FROM lines
-  WHERE len(string_split_regex(trim(line), '[ \\t]+')) >= 3
+  WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')
   GROUP BY trim(line) HAVING count(DISTINCT source) >= 5),
 ranked AS (
   SELECT l.doc_id, l.place, row_number() OVER (PARTITION BY trim(l.line) ORDER BY l.doc_id, l.place) AS nth
