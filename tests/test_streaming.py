@@ -3,13 +3,14 @@
 import calendar
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tickweave.operators.aggregates import Agg
 from tickweave.operators.conformance import transition_log
 from tickweave.operators.ordered import rolling_rows
-from tickweave.operators.transmit import crossing, deadband
+from tickweave.operators.transmit import crossing, deadband, transmit
 from tickweave.plans.rules import Having, Rule, Source
 from tickweave.sources.synthetic import readings_at
 from tickweave.streaming import transmission as st
@@ -179,3 +180,39 @@ def test_hot_keys_in_batches(spark, tmp_path, mode, limit):
     op = deadband if mode == "ON_CHANGE" else crossing
     want = sorted(r.event_id for r in op(spark.read.schema(FIELDS).parquet(src), limit, keys=KEYS).collect())
     assert got == want and len(got) > 50
+
+
+@pytest.mark.parametrize("mode", ["ON_CHANGE", "ON_THRESHOLD"])
+def test_thinning_in_parts_equals_a_plain_fold(mode):
+    rng = random.Random(9)
+    value = [float("nan") if rng.random() < 0.1 else round(rng.gauss(0, 10), 1) for _ in range(900)]
+    value[300:600] = [v / 100 for v in value[300:600]]      # a long stretch in which nothing is sent
+    ok = [rng.random() > 0.2 for _ in value]
+    want, last = [], None if mode == "ON_CHANGE" else 0.0
+    for v, o in zip(value, ok):
+        if mode == "ON_CHANGE":
+            passes = v == v and (last is None or abs(v - last) >= 6.0)
+        else:
+            passes = v == v and (v >= 6.0) != (last >= 6.0)
+        want.append(0 if not passes else 1 + o)
+        if passes and o:
+            last = v
+    got, carried = [], None
+    for s in (0, 1, 250, 640):
+        e = {0: 1, 1: 250, 250: 640, 640: 900}[s]
+        code, carried = st.thinned(np.array(value[s:e]), np.array(ok[s:e]), mode, 6.0, carried)
+        got += code.tolist()
+    assert got == want and {0, 1, 2} <= set(want)
+
+
+def test_transmit_by_declared_mode(spark, source, tmp_path):
+    path, batch = source
+    st.configure(spark)
+    profiles = lambda df: df.withColumn(
+        "measure_name", F.concat("measure_name", (F.col("event_id") % 3).cast("string"))).withColumns({
+            "mode": F.element_at(F.array(F.lit("PERIODIC"), F.lit("ON_CHANGE"), F.lit("ON_THRESHOLD")), (F.col("event_id") % 3 + 1).cast("int")),
+            "interval_ms": F.lit(180_000.0), "threshold": F.lit(4.0), "failure": F.lit(0.2)})
+    out = run(spark, st.transmit(profiles(stream(spark, path)), 60_000, 7), tmp_path)
+    want = transmit(profiles(batch), 60_000, 7)
+    rows = lambda df: sorted((r.event_id, r.mode, r.status) for r in df.collect() if r.tick < MARK)
+    assert rows(out) == rows(want) and len({r[1:] for r in rows(want)}) == 8

@@ -12,7 +12,7 @@ from tickweave.catalogue.base import (
 )
 from tickweave.catalogue.storage import shared_folder
 from tickweave.operators.aggregates import Agg
-from tickweave.operators.transmit import lossy
+from tickweave.operators.transmit import drop_counts, lossy, transmit as batch_transmit
 from tickweave.operators.windows import last_tick
 from tickweave.plans.rules import Having, Rule, RuleSet, Source
 from tickweave.sources.tables import events_as_readings
@@ -278,3 +278,70 @@ def stream_last_n_rule(spark, sf_dir):
 @query(_row_sql("tick", "RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"))
 def stream_landmark_rule(spark, sf_dir):
     return _stream_row(spark, sf_dir, LANDMARK, "landmark-rule")
+
+
+# thinning by the mode that each measure's profile declares
+
+_LOSS = uniform_sql("device_id, measure_name, CAST(tick AS VARCHAR), CAST(event_id AS VARCHAR)", "loss")
+_TRANSMIT_CTES = f"""
+  profiled AS (
+    SELECT *, CASE measure_name WHEN 'error' THEN 'ON_CHANGE' WHEN 'view' THEN 'ON_THRESHOLD' ELSE 'PERIODIC' END AS mode,
+           {_LOSS} >= CASE measure_name WHEN 'error' THEN 0.1 WHEN 'view' THEN 0.2 ELSE 0.05 END AS ok FROM readings),
+  numbered AS (
+    SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY tick, event_id) AS rn FROM profiled WHERE mode = 'ON_CHANGE'),
+  fold AS (
+    SELECT device_id, measure_name, event_id, tick, rn, mode, CASE WHEN ok THEN 'sent' ELSE 'lost' END AS status,
+           CASE WHEN ok THEN value END AS last FROM numbered WHERE rn = 1
+    UNION ALL
+    SELECT n.device_id, n.measure_name, n.event_id, n.tick, n.rn, n.mode,
+           CASE WHEN f.last IS NOT NULL AND abs(n.value - f.last) < 20 THEN 'suppressed' WHEN n.ok THEN 'sent' ELSE 'lost' END,
+           CASE WHEN (f.last IS NULL OR abs(n.value - f.last) >= 20) AND n.ok THEN n.value ELSE f.last END
+    FROM numbered n JOIN fold f ON n.device_id = f.device_id AND n.rn = f.rn + 1),
+  crossed AS (
+    SELECT *, coalesce(last_value(CASE WHEN ok THEN value >= 50 END IGNORE NULLS) OVER (
+             PARTITION BY device_id ORDER BY tick, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS before
+    FROM profiled WHERE mode = 'ON_THRESHOLD'),
+  labelled AS (
+    SELECT device_id, measure_name, event_id, tick, mode, status FROM fold
+    UNION ALL
+    SELECT device_id, measure_name, event_id, tick, mode,
+           CASE WHEN (value >= 50) = before THEN 'suppressed' WHEN ok THEN 'sent' ELSE 'lost' END FROM crossed
+    UNION ALL
+    SELECT device_id, measure_name, event_id, tick, mode, CASE WHEN ok THEN 'sent' ELSE 'lost' END
+    FROM profiled WHERE mode = 'PERIODIC' AND tick % 5 = 0)"""
+
+
+def _transmit_sql(body: str) -> str:
+    return with_readings(body, _TRANSMIT_CTES).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _profiles(spark, sf_dir) -> DataFrame:
+    """How each measure of the event table is sent."""
+    by = lambda change, crossing, other: (F.when(F.col("event_type") == "error", change)
+                                          .when(F.col("event_type") == "view", crossing).otherwise(other))
+    return table(spark, sf_dir, "events").select("event_type").distinct().select(
+        F.col("event_type").alias("measure_name"), by("ON_CHANGE", "ON_THRESHOLD", "PERIODIC").alias("mode"),
+        F.lit(300_000.0).alias("interval_ms"), by(20.0, 50.0, None).alias("threshold"), by(0.1, 0.2, 0.05).alias("failure"))
+
+
+@query(_transmit_sql("SELECT device_id, measure_name, event_id, tick, mode, status FROM labelled"))
+def transmit_by_mode(spark, sf_dir):
+    profiled = batch_readings(spark, sf_dir).join(_profiles(spark, sf_dir), "measure_name")
+    return batch_transmit(profiled, 60_000, SEED).select("device_id", "measure_name", "event_id", "tick", "mode", "status")
+
+
+def _stream_labelled(spark, sf_dir, name: str) -> DataFrame:
+    st.configure(spark)
+    profiled = _stream(spark, sf_dir).join(_profiles(spark, sf_dir), "measure_name")
+    out = _run(st.transmit(profiled, 60_000, SEED), name)
+    return out.where(F.col("tick") < last_tick(batch_readings(spark, sf_dir)) - DELAY_MINUTES)
+
+
+@query(_transmit_sql(f"SELECT device_id, measure_name, event_id, tick, mode, status FROM labelled WHERE tick < {_MARK}"))
+def stream_transmit(spark, sf_dir):
+    return _stream_labelled(spark, sf_dir, "transmit").select("device_id", "measure_name", "event_id", "tick", "mode", "status")
+
+
+@query(_transmit_sql(f"SELECT mode, status, count(*) AS n FROM labelled WHERE tick < {_MARK} GROUP BY mode, status"))
+def stream_drop_counts(spark, sf_dir):
+    return drop_counts(_stream_labelled(spark, sf_dir, "drop-counts"), ("mode",))

@@ -1,4 +1,4 @@
-"""Dead-band, threshold crossing and row windows with keyed state.
+"""Dead-band, threshold crossing, declared arrival modes and row windows with keyed state.
 
 Readings of a key are held back until the watermark passes them, then handled in
 (tick, event_id) order. This makes the result equal to the batch operators
@@ -8,11 +8,14 @@ The held-back list is bounded by the rate of a key times the watermark's delay.
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tickweave.schemas import BOOL, DOUBLE, LONG, TIER_NAMES, struct
+from tickweave.functions.scalars import interval_ticks
+from tickweave.operators.transmit import INITIAL_VALUE, LOST, SENT, SUPPRESSED, periodic, survives
+from tickweave.schemas import BOOL, DOUBLE, LONG, STR, TIER_NAMES, struct
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -20,6 +23,10 @@ _HELD = struct(event_ms=LONG, tick=LONG, event_id=LONG, value=DOUBLE, survive=BO
 _ONE_VALUE = struct(value=DOUBLE)
 _SENT_FIELDS = struct(tick=LONG, event_id=LONG, value=DOUBLE)
 _MEAN_FIELDS = struct(tick=LONG, event_id=LONG, mean_value=DOUBLE)
+_PROFILE_FIELDS = struct(mode=STR, threshold=DOUBLE)
+_LABELLED_FIELDS = struct(tick=LONG, event_id=LONG, value=DOUBLE, mode=STR, status=STR)
+_STATUS = (SUPPRESSED, LOST, SENT)
+_LOOK = 64      # readings that are looked at together first
 _MOVE_FIELDS = struct(tick=LONG, event_id=LONG, from_value=DOUBLE, to_value=DOUBLE)
 
 
@@ -153,6 +160,91 @@ class _Moves(_InOrder):
         return out
 
 
+def thinned(value: np.ndarray, ok: np.ndarray, mode: str, threshold: float, last: float | None) -> tuple[np.ndarray, float | None]:
+    """Codes (2 sent, 1 lost, 0 suppressed) of a key's readings in order, and the value that the next one is compared with.
+
+    A missing value (NaN) is never delivered. ON_CHANGE jumps from one reading that differs
+    enough to the next; between them nothing is looked at one by one. ON_THRESHOLD compares
+    with the last surviving reading, which is on the same side as the last delivered one.
+    """
+    code = np.zeros(len(value), np.int8)
+    given = ~np.isnan(value)
+    if mode == "ON_THRESHOLD":
+        side, usable = value >= threshold, ok & given
+        before = np.concatenate(([-1], np.maximum.accumulate(np.where(usable, np.arange(len(value)), -1))))
+        start = (INITIAL_VALUE if last is None else last) >= threshold
+        sides = np.where(before[:-1] >= 0, side[before[:-1]], start)
+        code[given & (side != sides)] = 1
+        code[(code == 1) & ok] = 2
+        return code, float(value[before[-1]]) if before[-1] >= 0 else last
+    i, size = 0, _LOOK
+    while i < len(value):
+        part = value[i:i + size]
+        hit = given[i:i + size] if last is None else np.abs(part - last) >= threshold
+        k = int(hit.argmax())
+        if not hit[k]:
+            i, size = i + len(part), 2 * size
+            continue
+        code[i + k] = 1 + int(ok[i + k])
+        last = float(part[k]) if ok[i + k] else last
+        i, size = i + k + 1, _LOOK
+    return code, last
+
+
+class _Declared(_InOrder):
+    """Label a key's readings by its profile, which is state beside the last delivered value."""
+
+    def setup(self, handle) -> None:
+        self.profile = handle.getValueState("profile", _PROFILE_FIELDS)
+        self.last = handle.getValueState("last", _ONE_VALUE)
+
+    def handleInputRows(self, key, rows, timerValues):
+        frames = list(rows)
+        newest = max((f.loc[f["event_ms"].idxmax()] for f in frames if len(f)), key=lambda r: r["event_ms"], default=None)
+        if newest is not None:
+            self.profile.update((newest["mode"], float(newest["threshold"])))
+        yield from super().handleInputRows(key, iter(frames), timerValues)
+
+    def columns(self):
+        return [*self.key_names, "tick", "event_id", "value", "mode", "status"]
+
+    def fold(self, rows):
+        mode, threshold = self.profile.get()
+        stored = self.last.get() if self.last.exists() else None
+        value = np.array([np.nan if r[3] is None else r[3] for r in rows], float)
+        ok = np.array([bool(r[4]) for r in rows], bool)
+        code, last = thinned(value, ok, mode, threshold, stored[0] if stored else None)
+        if last is not None:
+            self.last.update((last,))
+        return [(r[1], r[2], r[3], mode, _STATUS[c]) for r, c in zip(rows, code.tolist())]
+
+
+def transmit(df: DataFrame, ms_per_tick: int, seed: int, start: int = 0,
+             keys: Sequence[str] = ("device_id", "measure_name")) -> DataFrame:
+    """Label every reading sent, lost or suppressed by the arrival mode that its profile declares.
+
+    As ``operators.transmit.transmit``, on a stream with a watermark on ``event_ts``: rows
+    carry ``mode``, ``interval_ms``, ``threshold`` and ``failure``, as a join with the static
+    table of profiles leaves them. Periodic readings, usually the bulk, need no state and go
+    out at once; those that are not due are left out. Readings of the other modes wait for
+    the watermark. A key's latest profile holds for all its readings that become due.
+    """
+    ok = survives(F.col("failure"), seed, (*keys, "tick", "event_id"))
+    mode = F.coalesce("mode", F.lit("PERIODIC"))
+    names = [*keys, "tick", "event_id", "value", "mode", "status"]
+    due = periodic(df.filter(~mode.isin("ON_CHANGE", "ON_THRESHOLD")),
+                   F.coalesce(interval_ticks(F.col("interval_ms"), ms_per_tick), F.lit(1)), start)
+    due = due.withColumn("mode", mode).withColumn("status", F.when(ok, SENT).otherwise(LOST)).select(*names)
+    stateful = df.filter(mode.isin("ON_CHANGE", "ON_THRESHOLD"))
+    slim = stateful.select(
+        *keys, "tick", "event_id", F.col("value").cast("double").alias("value"), "event_ts", F.unix_millis("event_ts").alias("event_ms"),
+        F.coalesce(ok, F.lit(True)).alias("survive"), "mode", F.coalesce("threshold", F.lit(0.0)).cast("double").alias("threshold"))
+    schema = T.StructType([df.schema[k] for k in keys] + _LABELLED_FIELDS.fields)
+    labelled = slim.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=_Declared(keys), outputStructType=schema, outputMode="append", timeMode="EventTime")
+    return due.unionByName(labelled.select(*names))
+
+
 def _run(df: DataFrame, processor: _InOrder, fields: T.StructType, survive) -> DataFrame:
     keys = processor.key_names
     slim = df.select(
