@@ -49,12 +49,6 @@ def row_key(df: DataFrame) -> tuple[Column, Column]:
     return F.xxhash64(F.lit(0), *parts), F.xxhash64(F.lit(1), *parts)
 
 
-def numbered(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """The rows, written once, each with a number of its own, and the name of that column."""
-    number, = free_names(df, "row")
-    return written(df.withColumn(number, F.monotonically_increasing_id()), name), number
-
-
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the offset of each text (one more than there are texts); null is empty."""
     texts = column.cast(pa.large_binary()) if not pa.types.is_large_binary(column.type) else column

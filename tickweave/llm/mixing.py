@@ -16,7 +16,7 @@ within each range.
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickweave.functions.uniform import open_uniform
-from tickweave.llm.common import free_names, numbered, row_key, written
+from tickweave.llm.common import free_names, row_key, written
 
 WEIGHTS = (5, 2, 1)         # of sources by code point, repeating
 MOST_EPOCHS = 3
@@ -66,12 +66,11 @@ def mix(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     return _mixed(_classes(docs), weights).select("doc_id", "source", "size", "source_size", "target", "taken", "copies")
 
 
-def _classes(docs: DataFrame, *number: str) -> DataFrame:
-    """Rows that are equal in all columns, once: doc_id, source, size, h, g, how many ``equal`` and the least ``number``."""
-    h, g = row_key(docs.drop(*number))
-    own = docs.select("doc_id", "source", words_of(F.col("text")).alias("size"), h.alias("h"), g.alias("g"), *number)
-    return written(own.groupBy("doc_id", "source", "size", "h", "g").agg(
-        F.count("*").alias("equal"), *[F.min(c).alias("row") for c in number]), "rows")
+def _classes(docs: DataFrame) -> DataFrame:
+    """Rows that are equal in all columns, once: doc_id, source, size, h, g, and how many ``equal`` ones there are."""
+    h, g = row_key(docs)
+    own = docs.select("doc_id", "source", words_of(F.col("text")).alias("size"), h.alias("h"), g.alias("g"))
+    return written(own.groupBy("doc_id", "source", "size", "h", "g").agg(F.count("*").alias("equal")), "rows")
 
 
 def _draws(classes: DataFrame) -> DataFrame:
@@ -129,9 +128,9 @@ def mixed_rows(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
 
     Rows that are equal in all columns are one row here, taken as often as all of them together.
     """
-    rows, number = numbered(docs, "documents")
-    copies, copy, of = free_names(rows, "copies", "copy", "of")
-    counts = _mixed(_classes(rows, number), weights).groupBy("row").agg(F.sum("copies").alias(copies))
-    counts = written(counts.where(F.col(copies) > 0).withColumnRenamed("row", of), "copies")
-    taken = rows.join(counts, F.col(number) == F.col(of))
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias(copy)).drop(copy)
+    h, g, copies, copy = free_names(docs, "h", "g", "copies", "copy")
+    counts = _mixed(_classes(docs), weights).groupBy(F.col("h").alias(h), F.col("g").alias(g)).agg(F.sum("copies").alias(copies))
+    counts = written(counts.where(F.col(copies) > 0), "copies")
+    # equal rows become one in each task before they are shuffled
+    rows = docs.withColumns(dict(zip((h, g), row_key(docs)))).dropDuplicates([h, g]).join(counts, [h, g])
+    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias(copy)).drop(copy)

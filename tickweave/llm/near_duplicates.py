@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickweave.llm.common import (
-    Powers, free_names, lower, mix, numbered, range_hashes, row_key, text_blocks, utf8, within, words, written,
+    Powers, free_names, lower, mix, range_hashes, row_key, text_blocks, utf8, within, words, written,
 )
 from tickweave.llm.components import components
 
@@ -285,14 +285,14 @@ def without_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     keeps one at most, by its words and then a hash of all columns. Rows without words are
     components of their own and all stay.
     """
-    rows, number = numbered(docs, "documents")
-    h, g = free_names(rows, "h", "g")
-    keyed = rows.withColumns(dict(zip((h, g), row_key(rows.drop(number)))))
-    signs = written(signed(keyed, size, h, g, number), "signatures")
+    h, g = free_names(docs, "h", "g")
+    keyed = docs.withColumns(dict(zip((h, g), row_key(docs))))
+    signs = written(signed(keyed, size, h, g), "signatures")
     groups = linked_sets(docs, signs, size, percent).withColumnRenamed("node", "set")
-    joined = signs.where("set is not null").select("doc_id", "set", h, g, number).join(groups, "set", "left")
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "set", h, g, number)).alias("least")
-    kept = joined.groupBy(F.coalesce("root", "set").alias("root")).agg(least).select(f"least.{number}")
+    joined = signs.where("set is not null").select("doc_id", "set", h, g).join(groups, "set", "left")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "set", h, g)).alias("least")
+    kept = joined.groupBy(F.coalesce("root", "set").alias("root")).agg(least).select(f"least.{h}", f"least.{g}")
     has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    stay = rows.where(has_words).join(written(kept, "kept"), number, "left_semi")
-    return stay.select(*docs.columns).unionByName(rows.where(~has_words).select(*docs.columns))
+    # equal rows become one in each task before they are shuffled
+    stay = keyed.where(has_words).dropDuplicates([h, g]).join(written(kept, "kept"), [h, g], "left_semi")
+    return stay.select(*docs.columns).unionByName(docs.where(~has_words))
