@@ -151,12 +151,14 @@ def train(sample: list[tuple[str, str]]) -> Model | None:
         names.append(language)
         roots.append(base * width)
         bits.append(np.log2(max(2, len(codes))))
-        tables.append(rows)
+        tables.append(rows.astype(np.int32) if rows.max() < 1 << 31 else rows)
         base += len(arcs)
+        del rows, arcs
     if not names:
         return None
     table = np.concatenate(tables).ravel()
-    small = table.astype(np.int32) if table.max() < 1 << 31 else table
+    tables.clear()
+    small = table.astype(np.int32, copy=False) if table.max() < 1 << 31 else table
     keys = np.fromiter(sparse, np.int64, len(sparse))
     order = np.argsort(keys)
     return Model(names, letters, small, np.array(roots, small.dtype), np.array(bits), width, keys[order],
