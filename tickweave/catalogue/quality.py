@@ -20,9 +20,12 @@ def dq_duplicates(spark, sf_dir):
 
 @query("""
   SELECT 'orphan' AS "check", 'ERROR' AS severity, CAST(o_custkey AS VARCHAR) AS subject, count(*) || ' rows' AS message
-  FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) GROUP BY o_custkey""")
+  FROM orders WHERE o_custkey NOT IN (SELECT CASE WHEN c_acctbal > 0 THEN c_custkey ELSE -c_custkey END FROM customer)
+  GROUP BY o_custkey""")
 def dq_orphans(spark, sf_dir):
-    known = table(spark, sf_dir, "customer").filter("c_acctbal > 0")
+    """Customers without a balance carry a wrong key."""
+    key = F.col("c_custkey")
+    known = table(spark, sf_dir, "customer").select(F.when(F.col("c_acctbal") > 0, key).otherwise(-key).alias("c_custkey"))
     return q.orphans(table(spark, sf_dir, "orders"), known, ["o_custkey"], ["c_custkey"])
 
 
@@ -65,10 +68,12 @@ def dq_resolution(spark, sf_dir):
 
 
 _DIRTY_SQL = """dirty AS (
-  SELECT measure_name, zone_id, tier, probability, mean, std_dev,
+  SELECT measure_name, zone_id, mean, std_dev,
+         CASE WHEN zone_id = 2 AND tier = 'BELOW' THEN probability + 0.25 ELSE probability END AS probability,
+         CASE WHEN zone_id = 3 AND tier = 'NORMAL' THEN 'BELOW' ELSE tier END AS tier,
          CASE WHEN measure_name = 'click' THEN 'UNIFORM' WHEN measure_name = 'view' THEN 'BINOMIAL'
               WHEN measure_name = 'signup' AND tier = 'ABOVE' THEN 'POISSON' ELSE 'NORMAL' END AS family
-  FROM tiers WHERE NOT (zone_id = 2 AND tier = 'BELOW') AND NOT (zone_id = 3 AND tier = 'NORMAL'))"""
+  FROM tiers)"""
 
 
 def _dirty_tiers(spark, sf_dir):
@@ -76,7 +81,6 @@ def _dirty_tiers(spark, sf_dir):
     t = specs.tiers(spark, sf_dir).filter("decl_order = 2").withColumn(
         "mean", F.try_element_at("params", F.lit("mean"))).withColumn(
         "sd", F.try_element_at("params", F.lit("std_dev")))
-    t = t.filter("NOT (zone_id = 2 AND tier = 'BELOW') AND NOT (zone_id = 3 AND tier = 'NORMAL')")
     name = F.col("measure_name")
     family = (F.when(name == "click", "UNIFORM").when(name == "view", "BINOMIAL")
               .when((name == "signup") & (F.col("tier") == "ABOVE"), "POISSON").otherwise("NORMAL"))
@@ -85,7 +89,9 @@ def _dirty_tiers(spark, sf_dir):
         .when(name == "view", F.create_map(F.lit("n"), F.lit(10.0), F.lit("p"), F.col("sd") / 50))
         .when(name == "signup", F.create_map(F.lit("low"), F.lit(0.0)))
         .otherwise(F.create_map(F.lit("mean"), F.col("mean"), F.lit("std_dev"), F.col("sd") - 5)))
-    return t.withColumn("family", family).withColumn("params", params)
+    probability = F.col("probability") + F.when((F.col("zone_id") == 2) & (F.col("tier") == "BELOW"), 0.25).otherwise(0.0)
+    tier = F.when((F.col("zone_id") == 3) & (F.col("tier") == "NORMAL"), "BELOW").otherwise(F.col("tier"))
+    return t.withColumns({"family": family, "params": params, "probability": probability, "tier": tier})
 
 
 _TIER_CTES = (specs.TIERS_SQL, _DIRTY_SQL)
@@ -129,14 +135,16 @@ def dq_parameter_sanity(spark, sf_dir):
   SELECT 'unknown_distribution_measure' AS "check", 'ERROR' AS severity, measure_name AS subject,
          'no class declares this measure' AS message
   FROM (SELECT DISTINCT measure_name FROM tiers) WHERE measure_name NOT IN
-       (SELECT measure_name FROM measures WHERE measure_name < 'q')
+       (SELECT CASE WHEN measure_name < 'q' THEN measure_name ELSE upper(measure_name) END FROM measures)
   UNION ALL
   SELECT 'unknown_arrival_measure', 'WARN', measure_name, 'no class declares this measure'
   FROM (SELECT DISTINCT measure_name FROM arrivals) WHERE measure_name NOT IN
-       (SELECT measure_name FROM measures WHERE measure_name < 'q')""",
+       (SELECT CASE WHEN measure_name < 'q' THEN measure_name ELSE upper(measure_name) END FROM measures)""",
                      specs.TIERS_SQL, specs.MEASURES_SQL, specs.ARRIVALS_SQL))
 def dq_unknown_measures(spark, sf_dir):
-    known = specs.measures(spark, sf_dir).filter("measure_name < 'q'")
+    """The later half of the measures is declared in other letters than it is used in."""
+    name = F.col("measure_name")
+    known = specs.measures(spark, sf_dir).withColumn("measure_name", F.when(name < "q", name).otherwise(F.upper(name)))
     a = q.unknown_measures(specs.tiers(spark, sf_dir), known, "unknown_distribution_measure", q.ERROR)
     b = q.unknown_measures(specs.arrivals(spark, sf_dir), known, "unknown_arrival_measure", q.WARN)
     return a.unionByName(b)
@@ -162,7 +170,7 @@ def _dirty_arrivals(spark, sf_dir):
 
 _ARRIVAL_SQL = """raw AS (
   SELECT DISTINCT measure_name, zone_id, CASE length(measure_name) % 3 WHEN 0 THEN 'ON_THRESHOLD' WHEN 1 THEN 'ON_CHANGE'
-         ELSE 'PERIODIC' END AS mode FROM readings WHERE measure_name <> 'view')"""
+         ELSE 'PERIODIC' END AS mode FROM readings)"""
 
 
 @query(with_readings("""
@@ -196,15 +204,18 @@ def dq_zone_discriminator(spark, sf_dir):
   FROM part WHERE p_type NOT IN ('ECONOMY', 'SMALL', 'PROMO', 'LARGE')
   UNION ALL
   SELECT 'unknown_column', 'ERROR', p_name || '.' || p_partkey, p_type || '.' || p_brand
-  FROM part WHERE p_type IN ('ECONOMY', 'SMALL', 'PROMO', 'LARGE')
-    AND (p_type, p_brand) NOT IN (SELECT (p_type, p_brand) FROM part WHERE p_size > 40 AND p_type IN ('ECONOMY', 'SMALL', 'PROMO', 'LARGE'))""")
+  FROM part WHERE p_type IN ('ECONOMY', 'SMALL', 'PROMO', 'LARGE') AND (p_type, p_brand) NOT IN (
+    SELECT (p_type, CASE WHEN p_size > 40 THEN p_brand ELSE 'old ' || p_brand END) FROM part)""")
 def dq_schema_references(spark, sf_dir):
-    """Parts as columns: type and brand name the table and column that are referred to."""
+    """Parts as columns: type and brand name the table and column that are referred to.
+
+    Some types are declared under another name, and so are the brands of smaller parts.
+    """
     part = table(spark, sf_dir, "part")
-    known = part.filter("p_type IN ('ECONOMY', 'SMALL', 'PROMO', 'LARGE')")
-    columns = known.filter("p_size > 40").select(
-        F.col("p_type").alias("table_name"), F.col("p_brand").alias("column_name")).distinct().unionByName(
-        known.select(F.col("p_type").alias("table_name"), F.lit("id").alias("column_name")).distinct())
+    name = F.when(F.col("p_type").isin("ECONOMY", "SMALL", "PROMO", "LARGE"), F.col("p_type")).otherwise(
+        F.concat(F.lit("old "), "p_type"))
+    brand = F.when(F.col("p_size") > 40, F.col("p_brand")).otherwise(F.concat(F.lit("old "), "p_brand"))
+    columns = part.select(name.alias("table_name"), brand.alias("column_name")).distinct()
     refs = part.select(
         F.col("p_name").alias("table_name"), F.col("p_partkey").cast("string").alias("column_name"),
         F.col("p_type").alias("ref_table"), F.col("p_brand").alias("ref_column"))

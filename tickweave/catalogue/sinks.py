@@ -9,7 +9,7 @@ from tickweave.sources import (
     read_readings, write_events, write_profiles, write_report, write_resources,
 )
 from tickweave.sources.files import report_rows
-from tickweave.schemas import DEVICES
+from tickweave.schemas import DEVICES, PLOTS, ZONES
 
 _EVENTS_SQL = with_readings("""
   SELECT event_type, tick AS event_time, device_id, measure_name, value, tier FROM readings""")
@@ -25,6 +25,16 @@ def _back(df):
     return df.select("event_type", "event_time", "device_id", "measure_name", "value", "tier")
 
 
+def _resources(devices, plots, zones):
+    """The three resource tables as one."""
+    nothing = F.lit(None)
+    return devices.select(
+        F.lit("device").alias("kind"), F.col("device_id").alias("id"), "device_class", "plot_id",
+        nothing.cast("bigint").alias("zone_id")
+    ).unionByName(plots.select(F.lit("plot").alias("kind"), "plot_id", "zone_id"), allowMissingColumns=True
+    ).unionByName(zones.select(F.lit("zone").alias("kind"), "zone_id"), allowMissingColumns=True)
+
+
 @query(_EVENTS_SQL)
 def events_json_round_trip(spark, sf_dir):
     path = shared_folder(spark, "events-json")
@@ -52,13 +62,16 @@ def profiles_round_trip(spark, sf_dir):
 
 
 @query("""
-  SELECT CAST(c_custkey AS VARCHAR) AS device_id, c_mktsegment AS device_class, CAST(c_nationkey AS BIGINT) AS plot_id
-  FROM customer""")
+  SELECT 'device' AS kind, CAST(c_custkey AS VARCHAR) AS id, c_mktsegment AS device_class,
+         CAST(c_nationkey AS BIGINT) AS plot_id, CAST(NULL AS BIGINT) AS zone_id FROM customer
+  UNION ALL SELECT 'plot', NULL, NULL, CAST(n_nationkey AS BIGINT), CAST(n_regionkey AS BIGINT) FROM nation
+  UNION ALL SELECT DISTINCT 'zone', NULL, NULL, NULL, CAST(n_regionkey AS BIGINT) FROM nation""")
 def resources_round_trip(spark, sf_dir):
     path = shared_folder(spark, "resources")
     zones = specs.plots(spark, sf_dir).select("zone_id").distinct()
     write_resources(specs.devices(spark, sf_dir), specs.plots(spark, sf_dir), zones, path)
-    return spark.read.schema(DEVICES).json(f"{path}/devices").select("device_id", "device_class", "plot_id")
+    return _resources(*(spark.read.schema(shape).json(f"{path}/{name}")
+                        for name, shape in (("devices", DEVICES), ("plots", PLOTS), ("zones", ZONES))))
 
 
 @query()

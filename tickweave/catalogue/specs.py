@@ -25,7 +25,7 @@ def devices(spark, sf_dir):
 
 
 def plots(spark, sf_dir):
-    return table(spark, sf_dir, "nation").filter("n_nationkey < 24").select(
+    return table(spark, sf_dir, "nation").select(
         F.col("n_nationkey").cast("bigint").alias("plot_id"), F.col("n_regionkey").cast("bigint").alias("zone_id"))
 
 
@@ -36,7 +36,7 @@ def measures(spark, sf_dir):
         table(spark, sf_dir, "customer"), F.col("user_id") == F.col("c_custkey"))
     return seen.groupBy(F.col("c_mktsegment").alias("device_class"), F.col("event_type").alias("measure_name")).agg(
         F.min("value").alias("range_min"), F.max("value").alias("range_max")
-    ).filter("measure_name <> 'signup' OR device_class <> 'BUILDING'").withColumn(
+    ).withColumn(
         "position", (F.array_position(names, F.col("measure_name")) - 1).cast("int")
     ).withColumn("unit", F.lit("units")).withColumn("resolution", F.lit(0.01))
 
@@ -61,7 +61,7 @@ def tiers(spark, sf_dir):
 
 def arrivals(spark, sf_dir):
     """One arrival per zone (as stream) and event type; the last stream counts."""
-    r = readings(spark, sf_dir).filter("measure_name <> 'view'")
+    r = readings(spark, sf_dir)
     n = F.length("measure_name")
     return r.groupBy("zone_id", "measure_name").agg(F.avg("value").alias("m")).select(
         F.format_string("stream_%d", "zone_id").alias("stream"), "measure_name",
@@ -72,8 +72,7 @@ def arrivals(spark, sf_dir):
 
 MEASURES_SQL = """measures AS (
   SELECT c_mktsegment AS device_class, event_type AS measure_name, min(value) AS range_min, max(value) AS range_max
-  FROM events JOIN customer ON user_id = c_custkey
-  WHERE event_type <> 'signup' OR c_mktsegment <> 'BUILDING' GROUP BY ALL)"""
+  FROM events JOIN customer ON user_id = c_custkey GROUP BY ALL)"""
 TIERS_SQL = f"""grouped AS (
   SELECT measure_name, CAST(device_id AS BIGINT) % 5 AS zone_id, tier, count(*) AS n,
          {sql_r4('avg(value)')} AS mean, {sql_r4('coalesce(stddev_samp(value), 1.0)')} AS std_dev
@@ -84,13 +83,13 @@ ARRIVALS_SQL = f"""arrivals AS (
   SELECT measure_name, CASE length(measure_name) % 3 WHEN 0 THEN 'ON_THRESHOLD' WHEN 1 THEN 'ON_CHANGE'
          ELSE 'PERIODIC' END AS mode, CAST(60000.0 * zone_id * length(measure_name) AS DOUBLE) AS interval_ms,
          {sql_r4('avg(value)')} AS threshold, zone_id / 10.0::DOUBLE AS failure_prob, zone_id AS decl_order
-  FROM readings WHERE measure_name <> 'view' GROUP BY zone_id, measure_name
+  FROM readings GROUP BY zone_id, measure_name
   QUALIFY row_number() OVER (PARTITION BY measure_name ORDER BY zone_id DESC) = 1)"""
 BINDINGS_SQL = """bindings AS (
   SELECT CAST(c_custkey AS VARCHAR) AS device_id, c_mktsegment AS device_class, measure_name,
          CAST(n_regionkey AS BIGINT) AS zone_id,
          c_mktsegment || '_' || measure_name || '_zone' || n_regionkey AS profile
-  FROM customer JOIN nation ON c_nationkey = n_nationkey AND n_nationkey < 24
+  FROM customer JOIN nation ON c_nationkey = n_nationkey
   JOIN measures ON device_class = c_mktsegment)"""
 PROFILES_SQL = """profiles AS (
   SELECT device_class || '_' || measure_name || '_zone' || zone_id AS profile, device_class, measure_name, zone_id,
@@ -133,12 +132,10 @@ def profile_assembly(spark, sf_dir):
 
 
 @query(with_readings("""
-  SELECT device_id, profile, b.zone_id, p.mode, p.failure FROM bindings b JOIN profiles p USING (profile)
-  WHERE p.zone_id <> 4""", MEASURES_SQL, TIERS_SQL, ARRIVALS_SQL, BINDINGS_SQL, PROFILES_SQL))
+  SELECT device_id, profile, b.zone_id, p.mode, p.failure FROM bindings b JOIN profiles p USING (profile)""", MEASURES_SQL, TIERS_SQL, ARRIVALS_SQL, BINDINGS_SQL, PROFILES_SQL))
 def profile_binding(spark, sf_dir):
     bindings = bind_devices(devices(spark, sf_dir), plots(spark, sf_dir), measures(spark, sf_dir))
-    known = profiles(spark, sf_dir).filter("zone_id <> 4")
-    return bind_profiles(bindings, known).select("device_id", "profile", "zone_id", "mode", "failure")
+    return bind_profiles(bindings, profiles(spark, sf_dir)).select("device_id", "profile", "zone_id", "mode", "failure")
 
 
 @query(with_readings(f"""
