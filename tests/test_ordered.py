@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tickweave.operators.deadband import SegmentTable
+from tickweave.operators.deadband import GROUPS, after, first_hits, segment_table, transfer_rows
 from tickweave.operators.ordered import keep_last_n, keep_recent, rolling_rows, with_previous, with_row_number
 from tickweave.operators.segments import HOT, SEGMENT, Segments, plan_segments
 from tickweave.operators.transmit import (
@@ -148,10 +149,18 @@ def test_deadband(df, rows, segments, limit):
     assert got == want
 
 
+def last_of(values, limit, last):
+    for v in values:
+        if last is None or abs(v - last) >= limit:
+            last = v
+    return last
+
+
 def test_segment_table_equals_fold():
-    """The table of a segment must agree with folding it, for any value before it."""
+    """The table of a segment must hold what folding it gives, for any value before it, in few groups."""
     rng = random.Random(5)
-    for case in range(300):
+    n_exact = n_all = 0
+    for case in range(400):
         limit = rng.choice([0.0, 0.5, 1.0, 3.0, 10.0])
         kind = rng.random()
         n = rng.randrange(0, 40)
@@ -161,20 +170,57 @@ def test_segment_table_equals_fold():
             values = [float(rng.randrange(0, 8)) for _ in range(n)]
         else:
             values = [rng.gauss(0, 3) for _ in range(n)]
-        table = SegmentTable()
-        for v in values:
-            table.add(v, limit)
-        row = table.row()
-        for before in [None, *[rng.choice([rng.gauss(0, 4), float(rng.randrange(-2, 9))]) for _ in range(12)]]:
-            last = before
-            for v in values:
-                if last is None or abs(v - last) >= limit:
-                    last = v
-            if before is None:
-                got = row["from_nothing"]
-            else:
-                got = next((r for e, r in zip(row["entry"], row["result"]) if abs(e - before) >= limit), before)
-            assert got == last, (case, limit, values, before)
+        table = segment_table(np.array(values), limit, groups=4)
+        assert all(len(table[f"{side}_edge"]) <= 4 for side in ("up", "down"))
+        assert table["from_nothing"] == last_of(values, limit, None)
+        some = [rng.choice([rng.gauss(0, 4), float(rng.randrange(-2, 9))]) for _ in range(12)]
+        for before in some:
+            want = last_of(values, limit, before)
+            low, high = after(table, before, before)
+            assert low <= want <= high, (case, limit, values, before)
+            n_exact, n_all = n_exact + (low == high), n_all + 1
+            point = segment_table(np.array(values), limit, before, before, groups=4)
+            assert after(point, before, before) == (want, want)
+        low, high = after(table, min(some), max(some))
+        narrow = after(segment_table(np.array(values), limit, min(some), max(some), groups=4), min(some), max(some))
+        for got in ((low, high), narrow):
+            assert all(got[0] <= last_of(values, limit, v) <= got[1] for v in some)
+    assert n_exact > 0.7 * n_all
+
+
+def test_first_hits():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 7, 64, 333):
+        value = np.cumsum(rng.normal(size=n)).round(1)
+        at, end = rng.integers(0, n + 1, 200), rng.integers(0, n + 1, 200)
+        last, limit = rng.normal(size=200).round(1), rng.choice([0.0, 0.5, 2.0, 9.0], 200)
+        got = first_hits(value, at, last, limit, end)
+        for a, e, x, d, g in zip(at, end, last, limit, got):
+            assert g == next((j for j in range(a, e) if abs(value[j] - x) >= d), e)
+
+
+@pytest.mark.parametrize("limit", [30.0, 1000.0])
+def test_deadband_of_a_drift(spark, limit):
+    """A million readings of one key that creep: every new reading is a new extreme, tables stay small."""
+    n = 1_000_000
+    df = spark.range(n).select(
+        F.col("id").alias("event_id"), F.col("id").alias("tick"), F.lit("d").alias("device_id"),
+        F.lit("m").alias("measure_name"), (F.col("id") / 1000).alias("value"))
+    segments = plan_segments(df, KEYS, ORDER, min_rows=50_000)
+    assert segments.any_hot and segments.max_cuts >= 10
+    hot = segments.hot_rows(df).withColumns({
+        "_limit": F.lit(limit), "_ok": F.lit(True), "_low": F.lit(float("-inf")), "_high": F.lit(float("inf")),
+        "_start": F.row_number().over(segments.window()) == 1})
+    sizes = transfer_rows(hot, KEYS).select(F.size("up_edge") + F.size("down_edge")).collect()
+    assert len(sizes) >= 10 and max(r[0] for r in sizes) <= 2 * GROUPS
+    got = [r.tick for r in deadband_status(df, limit, None, KEYS, ORDER, segments).filter(
+        "status = 'sent'").orderBy("tick").collect()]
+    want, last = [], None
+    for i in range(n):
+        if last is None or abs(i / 1000 - last) >= limit:
+            want.append(i)
+            last = i / 1000
+    assert got == want
 
 
 def test_crossing(df, rows, segments):

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tickweave.functions.scalars import interval_ticks
 from tickweave.functions.uniform import uniform
-from tickweave.operators.deadband import delivery_codes, transfer_rows, incoming_states
+from tickweave.operators.deadband import delivery_codes, incoming_states
 from tickweave.operators.ordered import with_previous
 from tickweave.operators.segments import (
     HOT, SEGMENT, Segments, join_segment_facts, plan_segments,
@@ -90,8 +90,9 @@ def deadband_status(
     The comparison is with the last *delivered* value, so this is a fold over the
     sorted rows of a key. Rows stream through it with one number of state. A hot
     key is folded in segments at the same time: a first pass condenses each segment
-    to a table "value delivered before it -> value delivered at its end", the tables
-    of a key are chained, and the second pass starts each segment with its true value.
+    to a table of bounded size "value delivered before it -> value delivered at its end",
+    the tables of a key are chained, in several rounds if need be, and the last pass
+    starts each segment with its true value.
     ``threshold`` must be the same for all readings of a key.
     """
     seg = segments if segments is not None else plan_segments(df, keys, order)
@@ -102,8 +103,8 @@ def deadband_status(
     )
     if seg.any_hot:
         hot = df.filter(F.col(HOT))
-        tables = transfer_rows(_run_starts(hot, seg), seg.keys)
-        df = join_segment_facts(df, incoming_states(tables, seg.keys), seg)
+        facts = incoming_states(hot, seg, lambda rows: _run_starts(rows, seg))
+        df = join_segment_facts(df, facts, seg)
     else:
         df = df.withColumn("_incoming", F.lit(None).cast("double"))
     out = delivery_codes(_run_starts(df, seg))
