@@ -15,6 +15,7 @@ from tickweave.plans.rules import Having, Rule, Source
 from tickweave.sources.synthetic import readings_at
 from tickweave.streaming import transmission as st
 from tickweave.streaming import windows as sw
+from tickweave.streaming.retention import purged
 
 FIELDS = "event_id long, event_type string, tick long, device_id string, measure_name string, value double, tier string"
 KEYS = ("device_id", "measure_name")
@@ -216,3 +217,17 @@ def test_transmit_by_declared_mode(spark, source, tmp_path):
     want = transmit(profiles(batch), 60_000, 7)
     rows = lambda df: sorted((r.event_id, r.mode, r.status) for r in df.collect() if r.tick < MARK)
     assert rows(out) == rows(want) and len({r[1:] for r in rows(want)}) == 8
+
+
+def test_retention(spark, source, tmp_path):
+    """A purge every 10 ticks takes out what is older than 20; state holds no more than these and the delay."""
+    src, rows = source
+    st.configure(spark)
+    out = run(spark, purged(stream(spark, src), 60_000, 20, 10, KEYS, spread=3), tmp_path)
+    got = {r.event_id: (r.tick, r.purged_at) for r in out.collect() if r.purged_at < MARK}
+    at = lambda t: next(p for p in range(0, 400, 10) if p - t > 20)
+    want = {r.event_id: (r.tick, at(r.tick)) for r in rows.collect() if at(r.tick) < MARK}
+    assert got == want and len(got) > 300
+    assert out.count() == out.select("event_id").distinct().count()
+    # 3 readings a tick; a file ahead of the watermark is 50 ticks and 10 ticks of disorder on either side
+    assert out.agg(F.max("n_left")).first()[0] <= 3 * (20 + 10 + 25 + 70)

@@ -63,7 +63,7 @@ def mixture_statistics(spark, sf_dir):
         *[r4(c).alias(c) for c in ("declared_mean", "declared_std", "expected_transition_rate")])
 
 
-def _judged_sql(devices: str) -> tuple[str, ...]:
+def judged_sql(devices: str) -> tuple[str, ...]:
     stats = f"""stats AS (
   SELECT device_id, device_class, measure_name, zone_id, count(*) AS n, avg(value) AS m, coalesce(stddev_samp(value), 0) AS s,
          count(*) FILTER (WHERE tier <> prev) AS moves, count(*) FILTER (WHERE value < 0 OR value > {RANGE_MAX}) AS outside,
@@ -88,7 +88,7 @@ def _judged_sql(devices: str) -> tuple[str, ...]:
     return (*_CTES, stats, tiers, judged)
 
 
-_FIRST = """WHERE (device_class, measure_name, zone_id, CAST(device_id AS BIGINT)) IN (
+FIRST = """WHERE (device_class, measure_name, zone_id, CAST(device_id AS BIGINT)) IN (
     SELECT (device_class, measure_name, zone_id, min(CAST(device_id AS BIGINT))) FROM classed
     GROUP BY device_class, measure_name, zone_id)"""
 
@@ -106,12 +106,12 @@ def results(spark, sf_dir, devices="representative"):
     return conformance(_plain(spark, sf_dir), _bindings(spark, sf_dir), _declared(spark, sf_dir), devices)
 
 
-@query(with_readings("SELECT * FROM judged", *_judged_sql(_FIRST)))
+@query(with_readings("SELECT * FROM judged", *judged_sql(FIRST)))
 def conformance_representative(spark, sf_dir):
     return _flat(results(spark, sf_dir))
 
 
-@query(with_readings("SELECT * FROM judged", *_judged_sql("")))
+@query(with_readings("SELECT * FROM judged", *judged_sql("")))
 def conformance_all_devices(spark, sf_dir):
     return _flat(results(spark, sf_dir, "all"))
 
@@ -120,7 +120,7 @@ def conformance_all_devices(spark, sf_dir):
   SELECT measure_name, zone_id, count(*) AS n, count(*) FILTER (WHERE overall_pass) AS n_pass,
          count(*) FILTER (WHERE NOT overall_pass) AS n_fail,
          100 * count(*) FILTER (WHERE overall_pass) // count(*) AS pass_percent
-  FROM judged GROUP BY measure_name, zone_id""", *_judged_sql("")))
+  FROM judged GROUP BY measure_name, zone_id""", *judged_sql("")))
 def conformance_summary(spark, sf_dir):
     return summary(results(spark, sf_dir, "all"))
 
@@ -128,7 +128,7 @@ def conformance_summary(spark, sf_dir):
 @query(with_readings("""
   SELECT count(*) FILTER (WHERE overall_pass) AS n_pass, count(*) FILTER (WHERE NOT overall_pass) AS n_fail,
          100 * count(*) FILTER (WHERE overall_pass) // greatest(count(*), 1) AS pass_percent
-  FROM judged""", *_judged_sql(_FIRST)))
+  FROM judged""", *judged_sql(FIRST)))
 def conformance_totals(spark, sf_dir):
     return totals(results(spark, sf_dir))
 

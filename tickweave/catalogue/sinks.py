@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tickweave.catalogue import conformance as conf, specs
-from tickweave.catalogue.base import query, readings, with_readings
+from tickweave.catalogue.base import query, r4, readings, with_readings
 from tickweave.catalogue.storage import shared_folder
 from tickweave.sources import (
     read_readings, write_events, write_profiles, write_report, write_resources,
@@ -74,10 +74,15 @@ def resources_round_trip(spark, sf_dir):
                         for name, shape in (("devices", DEVICES), ("plots", PLOTS), ("zones", ZONES))))
 
 
-@query()
+@query(with_readings("""
+  SELECT device_id, measure_name, zone_id, n_events, observed_mean AS mean_observed, n_transitions,
+         CAST(n_tiers AS INTEGER) AS n_tiers, overall_pass
+  FROM judged JOIN (SELECT device_class, measure_name, zone_id, count(*) AS n_tiers FROM declared GROUP BY ALL)
+       USING (device_class, measure_name, zone_id)""", *conf.judged_sql(conf.FIRST)))
 def report_round_trip(spark, sf_dir):
     path = shared_folder(spark, "report")
     results = conf.results(spark, sf_dir)
+    results = results.withColumn("observed_mean", r4("observed_mean"))      # as in the SQL; the report rounds it once more
     write_report(results, path)
     return spark.read.schema(report_rows(results).schema).json(path).select(
         "device_id", "measure_name", "zone_id", "n_events",

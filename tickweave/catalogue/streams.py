@@ -18,6 +18,7 @@ from tickweave.plans.rules import Having, Rule, RuleSet, Source
 from tickweave.sources.tables import events_as_readings
 from tickweave.streaming import transmission as st
 from tickweave.streaming import windows as sw
+from tickweave.streaming.retention import purged
 from tickweave.streaming.rule_sets import Clock, stream_rules
 
 DELAY_MINUTES = 5
@@ -345,3 +346,17 @@ def stream_transmit(spark, sf_dir):
 @query(_transmit_sql(f"SELECT mode, status, count(*) AS n FROM labelled WHERE tick < {_MARK} GROUP BY mode, status"))
 def stream_drop_counts(spark, sf_dir):
     return drop_counts(_stream_labelled(spark, sf_dir, "drop-counts"), ("mode",))
+
+
+_PURGED_AT = "((tick + 5000) // 1000 + 1) * 1000"
+
+
+@query(with_readings(f"""
+  SELECT device_id, measure_name, event_id, tick, value, {_PURGED_AT} AS purged_at
+  FROM readings WHERE {_PURGED_AT} < {_MARK}"""))
+def stream_retention(spark, sf_dir):
+    """What has left the store by the end of the table: purges every 1,000 ticks, kept for 5,000."""
+    st.configure(spark)
+    out = _run(purged(_stream(spark, sf_dir), 60_000), "retention")
+    out = out.where(F.col("purged_at") < last_tick(batch_readings(spark, sf_dir)) - DELAY_MINUTES)
+    return out.select("device_id", "measure_name", "event_id", "tick", "value", "purged_at")
