@@ -357,6 +357,6 @@ _PURGED_AT = "((tick + 5000) // 1000 + 1) * 1000"
 def stream_retention(spark, sf_dir):
     """What has left the store by the end of the table: purges every 1,000 ticks, kept for 5,000."""
     st.configure(spark)
-    out = _run(purged(_stream(spark, sf_dir), 60_000), "retention")
+    out = _run(purged(_stream(spark, sf_dir), ORIGIN_S, 60_000, spread=16), "retention")
     out = out.where(F.col("purged_at") < last_tick(batch_readings(spark, sf_dir)) - DELAY_MINUTES)
     return out.select("device_id", "measure_name", "event_id", "tick", "value", "purged_at")

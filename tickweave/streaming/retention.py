@@ -6,45 +6,38 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tickweave.schemas import DOUBLE, LONG, struct
+from tickweave.schemas import LONG, struct
 
 # Ticks a reading is kept, and ticks between purges. Fixed values.
 MAX_AGE, EVERY = 5_000, 1_000
 
-_STORED = struct(purge_ms=LONG, purged_at=LONG, tick=LONG, event_id=LONG, value=DOUBLE)
-_LEFT = struct(tick=LONG, event_id=LONG, value=DOUBLE, purged_at=LONG, n_left=LONG)
+_GROUP = struct(_group=LONG, purged_at=LONG)
 
 
 class _Store(StatefulProcessor):
-    """The readings of one group that are not purged yet; one timer for each purge that is due."""
+    """The readings that leave together: stored until their purge is due, then handed out and cleared."""
 
-    def __init__(self, key_names: Sequence[str]):
-        self.key_names = list(key_names)
+    def __init__(self, columns: T.StructType, origin_s: int, ms_per_tick: int):
+        self.columns, self.origin_ms, self.ms_per_tick = columns, origin_s * 1000, ms_per_tick
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.stored = handle.getListState("stored", _STORED)
+        self.stored = handle.getListState("stored", self.columns)
 
-    def _columns(self) -> list[str]:
-        return [*self.key_names, "_group", *_LEFT.names]
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[*_GROUP.names, *self.columns.names], dtype=object)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for pdf in rows:
-            self.stored.appendList([tuple(r) for r in pdf[_STORED.names].astype(object).itertuples(index=False)])
-            for due in pdf["purge_ms"].unique():
-                self.handle.registerTimer(int(due))
-        yield pd.DataFrame(columns=self._columns(), dtype=object)
+            values = pdf[self.columns.names].astype(object)
+            self.stored.appendList(list(values.where(values.notna(), None).itertuples(index=False, name=None)))
+        self.handle.registerTimer(self.origin_ms + int(key[1]) * self.ms_per_tick)
+        yield self._frame([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        rows = [tuple(r) for r in self.stored.get()]
-        kept = [r for r in rows if r[0] > due]
-        if kept:
-            self.stored.put(kept)
-        else:
-            self.stored.clear()
-        out = [(*key, tick, event_id, value, at, len(kept)) for ms, at, tick, event_id, value in rows if ms <= due]
-        yield pd.DataFrame(out, columns=self._columns(), dtype=object)
+        rows = [(*key, *r) for r in self.stored.get()]
+        self.stored.clear()
+        yield self._frame(rows)
 
     def close(self) -> None:
         pass
@@ -55,22 +48,23 @@ def purge_tick(tick, max_age: int = MAX_AGE, every: int = EVERY):
     return ((F.floor((tick + max_age) / F.lit(every)) + 1) * every).cast("bigint")
 
 
-def purged(df: DataFrame, ms_per_tick: int, max_age: int = MAX_AGE, every: int = EVERY,
-           keys: Sequence[str] = ("device_id", "measure_name"), spread: int = 16) -> DataFrame:
-    """Readings as they leave the store, with the tick of the purge and the number of readings left.
+def purged(df: DataFrame, origin_s: int, ms_per_tick: int, max_age: int = MAX_AGE, every: int = EVERY,
+           columns: Sequence[str] = ("device_id", "measure_name", "tick", "event_id", "value"),
+           spread: int = 64) -> DataFrame:
+    """Readings as they leave the store, with the tick of the purge.
 
     For a stream with a watermark on ``event_ts``. A purge at every ``every``-th tick takes
     out what is older than ``max_age``; it happens when the watermark passes it. Spark's own
     time to live counts processing time, which replays differently, so timers on event
-    time do this. A reading's stay depends on its own tick alone: a key's readings are dealt
-    over ``spread`` groups, and a hot key needs no other care. State holds at most what
-    arrives in ``max_age + every`` ticks and the watermark's delay.
+    time do this. A reading's stay depends on its own tick alone, so readings are dealt by a
+    hash of their id, not by key: a hot key is spread like all others, and ``spread`` should
+    be a few times the number of cores. State holds at most what arrives in
+    ``max_age + every`` ticks and the watermark's delay.
     """
     at = purge_tick(F.col("tick"), max_age, every)
     slim = df.select(
-        *keys, F.pmod(F.xxhash64("event_id"), F.lit(spread)).alias("_group"), "event_ts",
-        (F.unix_millis("event_ts") + (at - F.col("tick")) * ms_per_tick).alias("purge_ms"), at.alias("purged_at"),
-        "tick", "event_id", F.col("value").cast("double").alias("value"))
-    schema = T.StructType([df.schema[k] for k in keys] + [T.StructField("_group", LONG)] + _LEFT.fields)
-    return slim.groupBy(*keys, "_group").transformWithStateInPandas(
-        statefulProcessor=_Store(keys), outputStructType=schema, outputMode="append", timeMode="EventTime").drop("_group")
+        F.pmod(F.xxhash64("event_id", "tick"), F.lit(spread)).alias("_group"), at.alias("purged_at"), "event_ts", *columns)
+    stored = T.StructType([T.StructField(c, df.schema[c].dataType) for c in columns])
+    return slim.groupBy(*_GROUP.names).transformWithStateInPandas(
+        statefulProcessor=_Store(stored, origin_s, ms_per_tick), outputStructType=T.StructType(_GROUP.fields + stored.fields),
+        outputMode="append", timeMode="EventTime").drop("_group")
