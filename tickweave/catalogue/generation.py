@@ -9,7 +9,7 @@ from tickweave.functions.scalars import clamp
 from tickweave.functions.uniform import digest, uniform
 from tickweave.operators.binding import bind_devices, bind_profiles
 from tickweave.operators.generate import (
-    KEYS, allocate_classes, chosen_tier, emitted, generate_readings, make_plots, make_zones,
+    CROP_TYPES, DEPTHS_CM, KEYS, PLOT_TYPES, SOIL_TYPES, ZONE_TYPES, allocate_classes, chosen_tier, emitted, generate_readings, make_plots, make_zones,
     name_devices, plots_per_zone, prepare_profiles, tick_grid, value_draw,
 )
 from tickweave.plans.end_to_end import Deployment
@@ -172,7 +172,7 @@ def _pick_sql(values, key, draw):
 
 @query(f"""
   SELECT zone_id, 'Zone_' || zone_id AS zone_name,
-         ['IRRIGATED', 'NON_IRRIGATED', 'INDOOR'][(zone_id - 1) % 3 + 1] AS zone_type, {_AREA(5.0, 50.0, 'zone_id')} AS area_ha
+         {list(ZONE_TYPES)}[(zone_id - 1) % {len(ZONE_TYPES)} + 1] AS zone_type, {_AREA(5.0, 50.0, 'zone_id')} AS area_ha
   FROM (SELECT unnest(range(1, {_N_SQL} // 50 + 1)) AS zone_id)""")
 def gen_zones(spark, sf_dir):
     """A zone for every fifty customers."""
@@ -181,9 +181,9 @@ def gen_zones(spark, sf_dir):
 
 @query(f"""
   SELECT plot_id, zone_id, 'Plot_' || plot_id AS plot_name, {_AREA(1.0, 10.0, 'plot_id')} AS area_ha,
-         {_pick_sql(('OPEN_FIELD', 'GREENHOUSE', 'ORCHARD'), 'plot_id', 'plot_type')} AS plot_type,
-         {_pick_sql(('CLAY', 'LOAM', 'SANDY', 'SILT'), 'plot_id', 'soil_type')} AS soil_type,
-         {_pick_sql(('wheat', 'barley', 'tomato', 'maize', 'soybean', 'lettuce'), 'plot_id', 'crop_type')} AS crop_type
+         {_pick_sql(PLOT_TYPES, 'plot_id', 'plot_type')} AS plot_type,
+         {_pick_sql(SOIL_TYPES, 'plot_id', 'soil_type')} AS soil_type,
+         {_pick_sql(CROP_TYPES, 'plot_id', 'crop_type')} AS crop_type
   FROM (SELECT z * per + p + 101 AS plot_id, z + 1 AS zone_id
         FROM (SELECT greatest(1, greatest(3, {_N_SQL} // 6) // 3) AS per) s, range(0, 3) a(z), range(0, s.per) b(p))""")
 def gen_plots(spark, sf_dir):
@@ -205,7 +205,7 @@ def gen_plots(spark, sf_dir):
   SELECT upper(substr(device_class, 1, 3)) || '_'
            || lpad(CAST(seq AS VARCHAR), CAST(greatest(4, length(CAST(seq AS VARCHAR))) AS INTEGER), '0') AS device_id,
          device_class, idx % (greatest(1, greatest(3, n // 6) // 3) * 3) + 101 AS plot_id,
-         CASE WHEN device_class LIKE '%Soil%' THEN {_pick_sql((10, 20, 30, 40), 'idx', 'depth')} END AS depth_cm
+         CASE WHEN device_class LIKE '%Soil%' THEN {_pick_sql(DEPTHS_CM, 'idx', 'depth')} END AS depth_cm
   FROM (SELECT *, row_number() OVER (PARTITION BY device_class ORDER BY idx) AS seq FROM classed)""")
 def gen_devices(spark, sf_dir):
     n = _n_devices(spark, sf_dir)

@@ -6,7 +6,7 @@ from tickweave.catalogue import conformance as conf, specs
 from tickweave.catalogue.base import query, r4, readings, with_readings
 from tickweave.catalogue.storage import shared_folder
 from tickweave.sources import (
-    read_readings, write_events, write_profiles, write_report, write_resources,
+    read_readings, read_resources, write_events, write_profiles, write_report, write_resource_documents, write_resources,
 )
 from tickweave.sources.files import report_rows
 from tickweave.schemas import DEVICES, PLOTS, ZONES
@@ -25,6 +25,13 @@ def _back(df):
     return df.select("event_type", "event_time", "device_id", "measure_name", "value", "tier")
 
 
+_RESOURCES_SQL = """
+  SELECT 'device' AS kind, CAST(c_custkey AS VARCHAR) AS id, c_mktsegment AS device_class,
+         CAST(c_nationkey AS BIGINT) AS plot_id, CAST(NULL AS BIGINT) AS zone_id FROM customer
+  UNION ALL SELECT 'plot', NULL, NULL, CAST(n_nationkey AS BIGINT), CAST(n_regionkey AS BIGINT) FROM nation
+  UNION ALL SELECT DISTINCT 'zone', NULL, NULL, NULL, CAST(n_regionkey AS BIGINT) FROM nation"""
+
+
 def _resources(devices, plots, zones):
     """The three resource tables as one."""
     nothing = F.lit(None)
@@ -61,11 +68,7 @@ def profiles_round_trip(spark, sf_dir):
         "interval_ms", "threshold", "failure")
 
 
-@query("""
-  SELECT 'device' AS kind, CAST(c_custkey AS VARCHAR) AS id, c_mktsegment AS device_class,
-         CAST(c_nationkey AS BIGINT) AS plot_id, CAST(NULL AS BIGINT) AS zone_id FROM customer
-  UNION ALL SELECT 'plot', NULL, NULL, CAST(n_nationkey AS BIGINT), CAST(n_regionkey AS BIGINT) FROM nation
-  UNION ALL SELECT DISTINCT 'zone', NULL, NULL, NULL, CAST(n_regionkey AS BIGINT) FROM nation""")
+@query(_RESOURCES_SQL)
 def resources_round_trip(spark, sf_dir):
     path = shared_folder(spark, "resources")
     zones = specs.plots(spark, sf_dir).select("zone_id").distinct()
@@ -74,6 +77,14 @@ def resources_round_trip(spark, sf_dir):
                         for name, shape in (("devices", DEVICES), ("plots", PLOTS), ("zones", ZONES))))
 
 
+@query(_RESOURCES_SQL)
+def resource_documents_round_trip(spark, sf_dir):
+    path = shared_folder(spark, "resource-documents")
+    zones = specs.plots(spark, sf_dir).select("zone_id").distinct()
+    write_resource_documents(specs.devices(spark, sf_dir), specs.plots(spark, sf_dir), zones, path, per_document=500)
+    return _resources(*read_resources(spark, path))
+
+
 @query(with_readings("""
   SELECT device_id, measure_name, zone_id, n_events, observed_mean AS mean_observed, n_transitions,
          CAST(n_tiers AS INTEGER) AS n_tiers, overall_pass

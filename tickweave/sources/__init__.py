@@ -1,6 +1,6 @@
 from tickweave.sources.files import (
     read_profiles, read_readings, read_resources, stream_readings, write_events,
-    write_events_stream, write_profiles, write_report, write_resources,
+    write_events_stream, write_profiles, write_report, write_resource_documents, write_resources,
 )
 from tickweave.sources.synthetic import stream_synthetic
 from tickweave.sources.tables import events_as_readings
@@ -8,5 +8,5 @@ from tickweave.sources.tables import events_as_readings
 __all__ = [
     "events_as_readings", "read_profiles", "read_readings", "read_resources", "stream_readings",
     "stream_synthetic", "write_events", "write_events_stream", "write_profiles", "write_report",
-    "write_resources",
+    "write_resource_documents", "write_resources",
 ]

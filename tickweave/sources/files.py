@@ -1,5 +1,7 @@
 """Files: resources, readings, profiles, events and reports."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -8,7 +10,7 @@ from tickweave.schemas import TIER_NAMES
 
 
 def read_resources(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Devices, plots and zones from one JSON object with three arrays."""
+    """Devices, plots and zones from JSON objects with three arrays, one to a file."""
     doc = spark.read.schema(schemas.RESOURCES).option("multiLine", True).json(path)
     return tuple(doc.select(F.inline(name)) for name in ("devices", "plots", "zones"))
 
@@ -20,6 +22,22 @@ def write_resources(devices: DataFrame, plots: DataFrame, zones: DataFrame, path
         df.write.mode(mode).json(f"{path}/{name}")
 
 
+def write_resource_documents(devices: DataFrame, plots: DataFrame, zones: DataFrame, path: str,
+                             per_document: int = 10_000, mode: str = "error") -> None:
+    """Documents that ``read_resources`` reads, each with about ``per_document`` rows of one table.
+
+    Rows are dealt by a hash of all their columns, so no document grows with the fleet,
+    and a document that is written again is the same.
+    """
+    documents = []
+    for name, df in (("devices", devices), ("plots", plots), ("zones", zones)):
+        n = max(1, -(-df.count() // per_document))
+        number = F.format_string(f"{name}-%d", F.pmod(F.xxhash64(*df.columns), F.lit(n)))
+        rows = df.groupBy(number.alias("document")).agg(F.collect_list(F.struct(*df.columns)).alias(name))
+        documents.append(rows.select("document", F.to_json(F.struct(name)).alias("value")))
+    reduce(DataFrame.unionByName, documents).write.mode(mode).partitionBy("document").text(path)
+
+
 def read_readings(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     """Readings and derived events from JSON Lines or Parquet; blank lines are skipped."""
     return spark.read.schema(schemas.READINGS).format(fmt).load(path)
