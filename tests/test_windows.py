@@ -94,6 +94,8 @@ def test_tumbling_edges(spark):
     assert sorted(r.window_end for r in closed.collect()) == [10, 20, 30]
     anchored = tumbling(df, 10, [Agg("m")], start=5).orderBy("window_start").collect()
     assert [(r.window_start, r.m) for r in anchored] == [(-5, 1.0), (5, 4.0), (25, 8.0)]
+    gated = tumbling(df, 10, [Agg("m")], start=5, gated=True).orderBy("window_start").collect()
+    assert [(r.window_start, r.m) for r in gated] == [(5, 4.0), (25, 8.0)]
 
 
 def test_last_breaks_ties_by_event(spark):

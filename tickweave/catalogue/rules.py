@@ -58,7 +58,7 @@ def tumbling_all_aggs(spark, sf_dir):
   HAVING (tick - 100) // 1000 * 1000 + 1100 <= (SELECT max(tick) FROM readings)"""))
 def tumbling_complete_only(spark, sf_dir):
     r = readings(spark, sf_dir)
-    out = tumbling(r, 1000, MEAN, start=100, closed_at=last_tick(r))
+    out = tumbling(r, 1000, MEAN, start=100, closed_at=last_tick(r), gated=True)
     return _rounded(out, "mean_value")
 
 

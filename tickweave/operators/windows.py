@@ -27,17 +27,19 @@ def tumbling(
     closed_at: Column | None = None,
     tick: str = "tick",
     tie: str = "event_id",
+    gated: bool = False,
 ) -> DataFrame:
     """Windows [start + k*size, start + (k+1)*size): one row per key and window with data.
 
-    The first window begins at ``start``; readings before it belong to no window.
+    ``gated`` makes the window at ``start`` the first one: readings before it belong to none.
     ``closed_at`` keeps only windows that end at or before that tick, i.e. those a
     running system would already have fired (see ``last_tick``).
     """
     index = F.floor((F.col(tick) - start) / F.lit(size)).cast("bigint")
     states = states_for(aggs, tick, tie)
     exprs = [s.from_rows.alias(s.name) for s in states] or [F.count(F.lit(1)).alias("_rows")]
-    out = df.filter(F.col(tick) >= start).groupBy(*keys, index.alias("_window")).agg(*exprs)
+    df = df.filter(F.col(tick) >= start) if gated else df
+    out = df.groupBy(*keys, index.alias("_window")).agg(*exprs)
     window_start = F.col("_window") * size + F.lit(start)
     out = out.select(
         *keys,
