@@ -361,6 +361,15 @@ def test_packing_is_whole_and_tight(spark):
     assert n <= -(-tokens // packing.CAPACITY) + 2
 
 
+def test_packing_groups_of_shared_and_missing_ids(spark):
+    """A third of the pieces without an id, a third under one id: no group gets more than the others."""
+    rows = spark.range(30000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(7)).when(F.col("id") % 3 == 1, F.col("id")).alias("doc_id"),
+        F.lit(0).alias("piece"), F.lit(5).alias("ids_crc32"), F.col("id").alias("row"))
+    sizes = [r["count"] for r in packing.dealt(rows, 1000).groupBy("packing_group").count().collect()]
+    assert len(sizes) == 30 and max(sizes) < 1200
+
+
 def test_packing_of_odd_rows(spark, odd, empty):
     more = [(20, "a<|endoftext|>b <|startoftext|> don't it's\u00a0no\u2003break\x1cfile e\u0301 \u0301x ΣΑΣ ΣΑΣ. İI"),
             (21, "don't " * 9000), (22, "\u0301 \u0308a b\u0308")]

@@ -268,15 +268,24 @@ def pack_group(frame, capacity: int):
     return frame.drop(columns="packing_group").assign(sequence_id=group * (1 << 32) + bins, offset=offset)
 
 
+def dealt(cut: DataFrame, group: int = GROUP) -> DataFrame:
+    """Pieces, with the ``row`` they were written under, in groups of about ``group`` by a hash of all that tells them apart.
+
+    The row's number is part of it, so rows that share a doc_id or have none are spread like others.
+    """
+    groups = max(1, round(cut.count() / group))
+    key = F.xxhash64("doc_id", "piece", "ids_crc32", "row", F.lit(5))
+    return cut.withColumn("packing_group", F.pmod(key, F.lit(groups))).drop("row")
+
+
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """The pieces of all rows with ``sequence_id`` and ``offset``, gapless from 0 in each sequence.
 
-    Rows with a null doc_id are packed like others. Without rows there are no pieces.
+    Rows with a null doc_id, and rows that share one, are packed like others. Without rows there are no pieces.
     Only doc_id and text are read, so other columns may have any name.
     """
-    cut = written(pieces(docs, tokenizer, capacity=capacity), "pieces")
-    groups = max(1, round(cut.count() / GROUP))
-    dealt = cut.withColumn("packing_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(5)), F.lit(groups)))
+    cut = pieces(docs, tokenizer, capacity=capacity)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema.fields)
-    return dealt.groupBy("packing_group").applyInPandas(
+    numbered = written(cut.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    return dealt(numbered).groupBy("packing_group").applyInPandas(
         lambda frame: pack_group(frame, capacity), f"{schema}, sequence_id long, offset long")
