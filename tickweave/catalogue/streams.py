@@ -10,14 +10,17 @@ from pyspark.sql import DataFrame, functions as F
 from tickweave.catalogue.base import (
     DAY, ORIGIN_S, SEED, query, r4, readings as batch_readings, sql_r4, table, uniform_sql, with_readings,
 )
+from tickweave.catalogue.conformance import _bindings, _declared, _flat, judged_sql
 from tickweave.catalogue.storage import shared_folder
 from tickweave.operators.aggregates import Agg
+from tickweave.operators.incremental import verdicts
 from tickweave.operators.transmit import drop_counts, lossy, transmit as batch_transmit
 from tickweave.operators.windows import last_tick
 from tickweave.plans.rules import Having, Rule, RuleSet, Source
 from tickweave.sources.tables import events_as_readings
 from tickweave.streaming import transmission as st
 from tickweave.streaming import windows as sw
+from tickweave.streaming.conformance import keep_summaries, kept_summaries, stretches
 from tickweave.streaming.retention import purged
 from tickweave.streaming.rule_sets import Clock, stream_rules
 
@@ -360,3 +363,14 @@ def stream_retention(spark, sf_dir):
     out = _run(purged(_stream(spark, sf_dir), ORIGIN_S, 60_000, spread=16), "retention")
     out = out.where(F.col("purged_at") < last_tick(batch_readings(spark, sf_dir)) - DELAY_MINUTES)
     return out.select("device_id", "measure_name", "event_id", "tick", "value", "purged_at")
+
+
+@query(with_readings("SELECT * FROM judged", *judged_sql(f"WHERE tick // 1440 * 1440 + 1440 <= {_MARK}")))
+def stream_conformance(spark, sf_dir):
+    """Verdicts on all devices from summaries of the closed days, merged batch by batch."""
+    bindings = _bindings(spark, sf_dir)
+    bound = _stream(spark, sf_dir).join(bindings.drop("binding_idx"), ["device_id", "measure_name"])
+    folder = shared_folder(spark, "conformance")
+    q = keep_summaries(stretches(bound, DAY, ORIGIN_S), folder).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return _flat(verdicts(kept_summaries(spark, folder), bindings, _declared(spark, sf_dir)))
