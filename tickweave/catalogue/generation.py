@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from tickweave.catalogue import specs
-from tickweave.catalogue.base import SEED, query, r4, sql_r4, table, uniform_sql, with_readings
+from tickweave.catalogue.base import SEED, SQL, query, r4, sql_r4, table, uniform_sql, with_readings
+from tickweave.catalogue.storage import shared_folder
 from tickweave.functions.samplers import discrete_cdf, sample_value
 from tickweave.functions.scalars import clamp
 from tickweave.functions.uniform import digest, uniform
@@ -13,6 +14,7 @@ from tickweave.operators.generate import (
     name_devices, plots_per_zone, prepare_profiles, tick_grid, value_draw,
 )
 from tickweave.plans.end_to_end import Deployment
+from tickweave.sources.feed import feed
 
 END = 1435          # the last tick of the day that is due
 MS_PER_TICK = 60_000
@@ -148,6 +150,36 @@ def gen_profile_readings(spark, sf_dir):
     return out.select("device_id", "measure_name", "tick", "tier", r4("value").alias("value"))
 
 
+def _written_bound(spark, sf_dir):
+    """The bindings as a table, as a feed wants them."""
+    folder = shared_folder(spark, "bound")
+    bound = _bound(spark, sf_dir)
+    bound.write.parquet(folder)
+    return spark.read.schema(bound.schema).parquet(folder)
+
+
+def _fed(df):
+    return df.select("device_id", "measure_name", "tick", "tier", r4("value").alias("value"))
+
+
+@query(SQL["gen_profile_readings"])
+def feed_range(spark, sf_dir):
+    """The same readings from the feed's data source, read as a table over a range of ticks."""
+    return _fed(feed(spark, _written_bound(spark, sf_dir), SEED, 0, _HOURS, 3_600_000))
+
+
+@query(SQL["gen_profile_readings"])
+def stream_feed(spark, sf_dir):
+    """The same readings from the feed as a stream that is stopped half-way and started again."""
+    bound, folder = _written_bound(spark, sf_dir), shared_folder(spark, "feed")
+    for end in (_HOURS // 2, _HOURS):
+        out = feed(spark, bound, SEED, 0, end, 3_600_000, stream=True)
+        q = (out.writeStream.format("parquet").option("path", f"{folder}/out")
+             .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
+        q.awaitTermination()
+    return _fed(spark.read.schema(out.schema).parquet(f"{folder}/out"))
+
+
 @query()
 def gen_transmitted(spark, sf_dir):
     """The same readings after arrival mode and loss, in the record shape of the sink."""

@@ -38,6 +38,11 @@ def readings_at(ticks: DataFrame, bound: DataFrame, seed: int, shards: int | Non
         every = F.coalesce(interval_ticks(F.col("interval_ms"), ms_per_tick), F.lit(1))
         mode = F.coalesce("mode", F.lit("PERIODIC")) if "mode" in bound.columns else F.lit("PERIODIC")
         grid = grid.where(mode.isin("ON_CHANGE", "ON_THRESHOLD") | (F.pmod("tick", every) == 0))
+    return drawn_readings(grid, seed)
+
+
+def drawn_readings(grid: DataFrame, seed: int) -> DataFrame:
+    """Tier, value and ``event_id`` of each row of a grid of bound profiles and ticks."""
     out = with_value(with_tier(grid, seed), seed)
     return out.withColumn("event_id", F.xxhash64(*KEYS)).drop(
         *[t.lower() for t in TIER_NAMES], *[f"{t.lower()}_cdf" for t in TIER_NAMES]
