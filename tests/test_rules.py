@@ -128,6 +128,29 @@ def test_positional_binding(spark):
     assert out.columns == ["dev", "v"] and tuple(out.first()) == ("d", 2.0)
 
 
+def test_names_stand_for_each_sources_own_columns(spark):
+    """In aggregates and constraints, over windows of all kinds."""
+    df = readings(spark, [(0, "d", "Moisture", 1.0), (1, "d", "Moisture", 3.0), (2, "d", "Heat", 50.0)]).withColumn(
+        "other", F.col("value") * 10)
+    columns = ("device_id", "value", "other")
+    sources = (Source("sensor_reading", "Moisture", bind=("_", "x", "y"), columns=columns),
+               Source("sensor_reading", "Heat", bind=("_", "y", "x"), columns=columns))
+    for window, size in (("tumbling", 10), ("rows", 2), ("landmark", 0), ("none", 0)):
+        make = lambda limit: Rule("alert", window, size, sources, (Agg("x_max", "max", "x"), Agg("y_max", "max", "y")),
+                                  (Having(">", 0, "y"), Having("<", limit, "x")))
+        def got(limit):
+            rows = (tumbling_rules(df, [make(limit)]) if window == "tumbling" else row_rule(df, make(limit))).collect()
+            return sorted((r.aggregates["x_max"], r.aggregates["y_max"]) for r in rows)
+        assert got(1000)[-2:] == [(3.0, 30.0), (500.0, 50.0)]
+        assert (500.0, 50.0) not in got(100) and got(100)[-1] == (3.0, 30.0)
+
+
+@pytest.mark.parametrize("bind,columns", [(("v", "v"), ("a", "b")), (("a", "b", "v"), ("a", "b")), (("a", "_"), ("a", "b"))])
+def test_names_that_are_bound_twice_beyond_the_columns_or_not_at_all(bind, columns):
+    with pytest.raises(ValueError):
+        Rule("a", "tumbling", 5, (Source("s", bind=bind, columns=columns),), (Agg("x", "avg", "v"),))
+
+
 def test_rule_over_readings_and_alerts(spark):
     df = readings(spark, [(0, "d", "Moisture", 10.0), (1, "d", "Moisture", 20.0), (61, "d", "Moisture", 90.0)])
     rules = RuleSet((

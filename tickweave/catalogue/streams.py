@@ -243,6 +243,46 @@ def stream_rule_set(spark, sf_dir):
     return out.select(*_CHAIN_COLUMNS, r4("value").alias("value"))
 
 
+# one rule whose sources bind its names to different columns
+
+_POSITIONS = ("device_id", "value", "hour")
+BOUND = RuleSet((Rule(
+    "report", "tumbling", DAY,
+    (Source("sensor_reading", "error", bind=("_", "v", "h"), columns=_POSITIONS),
+     Source("sensor_reading", "view", bind=("_", "h", "v"), columns=_POSITIONS)),
+    (Agg("value", "avg", "v"), Agg("high", "max", "h")), (Having(">", 10, "v"), Having("<", 30, "h"))),), digits=None)
+
+
+def _bound_sql(mark: str) -> str:
+    return with_readings(f"""
+  SELECT device_id, s AS window_start, {sql_r4('avg(v)')} AS value, max(h) AS high
+  FROM (SELECT device_id, measure_name, tick // 1440 * 1440 AS s,
+               CASE measure_name WHEN 'error' THEN value ELSE CAST(tick % 1440 // 60 AS DOUBLE) END AS v,
+               CASE measure_name WHEN 'error' THEN CAST(tick % 1440 // 60 AS DOUBLE) ELSE value END AS h
+        FROM readings WHERE measure_name IN ('error', 'view'))
+  WHERE s + 1440 <= {mark}
+  GROUP BY device_id, measure_name, s HAVING avg(v) > 10 AND avg(h) < 30""")
+
+
+def _with_hour(df: DataFrame) -> DataFrame:
+    return df.withColumn("hour", F.floor(F.col("tick") % DAY / 60).cast("double"))
+
+
+def _bound_columns(events: DataFrame) -> DataFrame:
+    return events.select("device_id", "window_start", r4("value").alias("value"), F.col("aggregates")["high"].alias("high"))
+
+
+@query(_bound_sql("(SELECT max(tick) FROM readings)"))
+def rules_bound_names(spark, sf_dir):
+    return _bound_columns(BOUND.run(_with_hour(batch_readings(spark, sf_dir))))
+
+
+@query(_bound_sql(_MARK))
+def stream_bound_names(spark, sf_dir):
+    out = _run(stream_rules(BOUND, _with_hour(_stream(spark, sf_dir)), Clock(ORIGIN_S)), "bound-names")
+    return _bound_columns(out)
+
+
 _ROW_AGGS = (Agg("value", "avg"), Agg("low", "min"), Agg("high", "max"), Agg("n", "count"), Agg("latest", "last"))
 SLIDING = Rule("level", "sliding", DAY, (Source("sensor_reading"),), _ROW_AGGS, (Having(">", 20),))
 LAST_N = Rule("level", "rows", 6, (Source("sensor_reading"),), _ROW_AGGS, (Having(">", 20),))

@@ -7,7 +7,7 @@ output, so chains work to any depth.
 """
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import cache, partial, reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -19,16 +19,17 @@ from tickweave.operators.segments import Segments
 from tickweave.operators.windows import landmark, last_tick, sliding_time
 
 WINDOWS = ("tumbling", "sliding", "rows", "landmark", "none")
-MEAN = "_mean_value"     # what every window constraint is tested against
+MEAN = "_mean"           # window constraints are tested against the mean of what they name
 VALUE_DIGITS = 4         # emitted values are rounded to this many places; fixed value
 
 
 @dataclass(frozen=True)
 class Having:
-    """Constraint on the window's mean of ``value``."""
+    """Constraint on the window's mean of ``name``, the value unless the source binds other names."""
 
     op: str
     rhs: float
+    name: str = "value"
 
     def __post_init__(self):
         if self.op not in COMPARISONS:
@@ -39,13 +40,31 @@ class Having:
 class Source:
     """What a rule reads: an event type, optionally one measure or label of it.
 
-    ``bind`` names the source's columns by position; ``_`` leaves one out.
+    ``bind`` names the source's ``columns`` by position; ``_`` leaves one out. The rule's
+    aggregates and constraints then speak of these names, so one name may stand for another
+    column in each source. Without ``bind`` they speak of columns.
     """
 
     event_type: str
     measure: str | None = None
     where: Column | None = None
     bind: tuple[str, ...] = ()
+    columns: tuple[str, ...] = ()
+
+    def __post_init__(self):
+        if len(self.bind) > len(self.columns):
+            raise ValueError("more names than columns")
+        names = [n for n in self.bind if n != "_"]
+        if len(set(names)) < len(names):
+            raise ValueError("a name is bound twice")
+
+    def column(self, name: str) -> str:
+        """The column that a name of the rule's body stands for."""
+        if not self.bind:
+            return name
+        if name == "_" or name not in self.bind:
+            raise ValueError(f"{name!r} is not bound by the source {self.event_type!r}")
+        return self.columns[self.bind.index(name)]
 
 
 @dataclass(frozen=True)
@@ -67,6 +86,30 @@ class Rule:
             raise ValueError("window size must be > 0")
         if not self.sources:
             raise ValueError("a rule needs a source")
+        for source in self.sources:
+            self.body(source)
+
+    def body(self, source: Source) -> "Body":
+        """What is computed of a source's rows, in its own columns."""
+        return Body(tuple(replace(a, input=source.column(a.input)) for a in self.aggs),
+                    tuple(replace(h, name=source.column(h.name)) for h in self.having))
+
+
+@dataclass(frozen=True)
+class Body:
+    """The aggregates and constraints of a rule over one of its sources."""
+
+    aggs: tuple[Agg, ...]
+    having: tuple[Having, ...]
+
+    @property
+    def private(self) -> list[Agg]:
+        """The aggregates under private names, as one may be called like a column of the readings."""
+        return [Agg(f"_agg{i}", a.func, a.input) for i, a in enumerate(self.aggs)]
+
+    @property
+    def means(self) -> list[Agg]:
+        return mean_aggs(self.having)
 
 
 def bind_positional(df: DataFrame, names: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -84,8 +127,14 @@ def source_rows(events: DataFrame, source: Source) -> DataFrame:
     return rows if source.where is None else rows.filter(source.where)
 
 
-def _mean_holds(mean: Column, having: Sequence[Having]) -> Column:
-    return reduce(lambda a, b: a & b, [compare(mean, h.op, h.rhs) for h in having], F.lit(True))
+def mean_aggs(having: Sequence[Having]) -> list[Agg]:
+    """The means that constraints are tested against."""
+    return [Agg(f"{MEAN}_{name}", "avg", name) for name in dict.fromkeys(h.name for h in having)]
+
+
+def _means_hold(mean: Callable[[Agg], Column], having: Sequence[Having]) -> Column:
+    means = {a.input: mean(a) for a in mean_aggs(having)}
+    return reduce(lambda a, b: a & b, [compare(means[h.name], h.op, h.rhs) for h in having], F.lit(True))
 
 
 def _stamp(rule: Rule, value: Column, window_start: Column, window_end: Column,
@@ -106,11 +155,6 @@ def _stamp(rule: Rule, value: Column, window_start: Column, window_end: Column,
     ]
 
 
-def _own_aggs(rule: Rule) -> list[Agg]:
-    mean = [Agg(MEAN, "avg", "value")] if rule.having else []
-    return [*rule.aggs, *mean]
-
-
 def tumbling_branches(
     events: DataFrame, rules: Sequence[Rule], tie: str = "event_id", digits: int | None = VALUE_DIGITS
 ) -> tuple[Column, list[Column], Column]:
@@ -135,16 +179,16 @@ def tumbling_branches(
             match = match & source.where
         match = F.coalesce(match, F.lit(False))
         wanted = wanted | match
-        prefix = f"_b{n}"
+        prefix, body = f"_b{n}", rule.body(source)
         states.append(F.count_if(match).alias(f"{prefix}_rows"))
-        for s in states_for(_own_aggs(rule), "tick", tie, where=match):
+        for s in states_for([*body.aggs, *body.means], "tick", tie, where=match):
             states.append(s.from_rows.alias(prefix + s.name))
-        value = (result(rule.aggs[0], prefix=prefix) if rule.aggs else F.lit(DEFAULT_VALUE))
-        mean = result(Agg(MEAN), prefix=prefix, empty=None) if rule.having else F.lit(None)
-        fires = (F.col(f"{prefix}_rows") > 0) & F.coalesce(_mean_holds(mean, rule.having), F.lit(False))
+        value = (result(body.aggs[0], prefix=prefix) if rule.aggs else F.lit(DEFAULT_VALUE))
+        holds = _means_hold(lambda a: result(a, prefix=prefix, empty=None), body.having)
+        fires = (F.col(f"{prefix}_rows") > 0) & F.coalesce(holds, F.lit(False))
         extra = F.map_from_arrays(
             F.array(*[F.lit(a.out) for a in rule.aggs]),
-            F.array(*[result(a, prefix=prefix) for a in rule.aggs]),
+            F.array(*[result(a, prefix=prefix) for a in body.aggs]),
         ) if rule.aggs else F.lit(None).cast("map<string,double>")
         stamped = F.struct(
             *_stamp(rule, value, F.col("window_start"), F.col("window_end"), digits),
@@ -178,18 +222,11 @@ def tumbling_rules(
     return windows.select(*keys, heads)
 
 
-def private_aggs(rule: Rule) -> tuple[list[Agg], list[Agg]]:
-    """The rule's aggregates under private names, as one may be called like a column of the readings, and with the constraint's mean."""
-    private = [Agg(f"_agg{i}", a.func, a.input) for i, a in enumerate(rule.aggs)]
-    return private, [*private, *([Agg(MEAN)] if rule.having else [])]
-
-
-def windowless(rows: DataFrame, rule: Rule) -> DataFrame:
+def windowless(rows: DataFrame, body: Body) -> DataFrame:
     """Rows with the aggregates of a windowless rule: the constraint is on the reading itself, and so is every aggregate."""
-    out = rows.withColumn(MEAN, F.col("value"))
-    for a in private_aggs(rule)[0]:
-        out = out.withColumn(a.out, F.lit(1.0) if a.func == "count" else F.col(a.input))
-    return out
+    for a in [*body.private, *body.means]:
+        rows = rows.withColumn(a.out, F.lit(1.0) if a.func == "count" else F.col(a.input))
+    return rows
 
 
 def row_bounds(rule: Rule, start: int = 0) -> tuple[Column, Column]:
@@ -198,11 +235,11 @@ def row_bounds(rule: Rule, start: int = 0) -> tuple[Column, Column]:
     return first, F.col("tick") + 1
 
 
-def fired(out: DataFrame, rule: Rule, start: int = 0, digits: int | None = VALUE_DIGITS) -> DataFrame:
-    """The derived events of a row rule from readings with its aggregates."""
-    private, _ = private_aggs(rule)
+def fired(out: DataFrame, rule: Rule, body: Body, start: int = 0, digits: int | None = VALUE_DIGITS) -> DataFrame:
+    """The derived events of a row rule from a source's readings with the aggregates of its body."""
+    private = body.private
     if rule.having:
-        out = out.filter(_mean_holds(F.col(MEAN), rule.having))
+        out = out.filter(_means_hold(lambda a: F.col(a.out), body.having))
     value = F.col(private[0].out) if private else F.lit(DEFAULT_VALUE)
     aggregates = F.map_from_arrays(
         F.array(*[F.lit(a.out) for a in rule.aggs]), F.array(*[F.col(a.out) for a in private])
@@ -220,8 +257,8 @@ def row_rule(
     """A sliding, last-N-rows, landmark or windowless rule, evaluated on every reading."""
     parts = []
     for source in rule.sources:
-        rows = source_rows(events, source)
-        _, aggs = private_aggs(rule)
+        rows, body = source_rows(events, source), rule.body(source)
+        aggs = [*body.private, *body.means]
         if rule.window == "sliding":
             out = sliding_time(rows, rule.size, aggs, rule.keys, start)
         elif rule.window == "landmark":
@@ -232,8 +269,8 @@ def row_rule(
                 rows, rule.size, {s.name: s.from_rows for s in states}, rule.keys, segments=segments
             ).select(*rows.columns, *[result(a) for a in aggs])
         else:
-            out = windowless(rows, rule)
-        parts.append(fired(out, rule, start, digits))
+            out = windowless(rows, body)
+        parts.append(fired(out, rule, body, start, digits))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -30,7 +30,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tickweave.operators.aggregates import DEFAULT_VALUE, Agg
 from tickweave.plans.rules import (
-    Rule, RuleSet, fired, private_aggs, source_rows, tumbling_branches, windowless,
+    Body, Rule, RuleSet, fired, source_rows, tumbling_branches, windowless,
 )
 from tickweave.schemas import DOUBLE, LONG
 
@@ -98,9 +98,9 @@ def finished(agg: Agg, states: dict[str, np.ndarray], values: np.ndarray) -> np.
 class _RowWindows(StatefulProcessor):
     """The aggregates of a sliding, last-N or landmark rule at every reading, in (tick, event_id) order."""
 
-    def __init__(self, rule: Rule, start: int):
+    def __init__(self, rule: Rule, body: Body, start: int):
         self.keys, self.window, self.size, self.start = list(rule.keys), rule.window, rule.size, start
-        self.aggs = private_aggs(rule)[1]
+        self.aggs = [*body.private, *body.means]
         self.inputs = list(dict.fromkeys(a.input for a in self.aggs))
         self.columns = ["event_ms", "tick", "event_id", *self.inputs]
 
@@ -205,12 +205,12 @@ class _RowWindows(StatefulProcessor):
         pass
 
 
-def row_windows(rows: DataFrame, rule: Rule, start: int = 0, copy: int = 0) -> DataFrame:
+def row_windows(rows: DataFrame, rule: Rule, body: Body, start: int = 0, copy: int = 0) -> DataFrame:
     """keys, tick, event_id and the aggregates of a sliding, last-N or landmark rule, once the watermark has passed a reading.
 
     In a query that holds the same operator twice, each needs a ``copy`` number of its own.
     """
-    run = _RowWindows(rule, start)
+    run = _RowWindows(rule, body, start)
     slim = rows.select(*rule.keys, "tick", "event_id", *[F.col(c).cast("double").alias(c) for c in run.inputs], "event_ts",
                        F.unix_millis("event_ts").alias("event_ms"), F.lit(copy).alias("_copy"))
     schema = T.StructType([rows.schema[k] for k in rule.keys] + [T.StructField("tick", LONG), T.StructField("event_id", LONG)]
@@ -260,10 +260,10 @@ def stream_rules(rule_set: RuleSet, readings: DataFrame, clock: Clock = Clock(),
     def by_row(events: DataFrame, rule: Rule) -> DataFrame:
         parts = []
         for source in rule.sources:
-            rows = source_rows(events, source)
-            out = windowless(rows, rule) if rule.window == "none" else row_windows(
-                rows, rule, rule_set.start, next(copies))
-            parts.append(timed(fired(out, rule, rule_set.start, None)))
+            rows, body = source_rows(events, source), rule.body(source)
+            out = windowless(rows, body) if rule.window == "none" else row_windows(
+                rows, rule, body, rule_set.start, next(copies))
+            parts.append(timed(fired(out, rule, body, rule_set.start, None)))
         return reduce(DataFrame.unionByName, parts)
 
     return rule_set.evaluated(readings, tumbling, by_row, heads, shared=False)

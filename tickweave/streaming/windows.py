@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tickweave.operators.aggregates import Agg, DEFAULT_VALUE, result, states_for
-from tickweave.plans.rules import MEAN, Having, Rule, _mean_holds, row_rule, source_rows
+from tickweave.plans.rules import Having, Rule, _means_hold, mean_aggs, row_rule, source_rows
 
 
 def with_event_time(df: DataFrame, delay: str, origin_s: int = 0,
@@ -38,13 +38,13 @@ def windowed(
     Keeps Spark's window column, so that a later windowed rule can use ``F.window_time``.
     """
     order = "tick" if "tick" in df.columns else "event_ts"
-    all_aggs = [*aggs, *([Agg(MEAN)] if having else [])]
+    all_aggs = [*aggs, *mean_aggs(having)]
     states = states_for(all_aggs, order, tie)
     exprs = [s.from_rows.alias(s.name) for s in states] or [F.count(F.lit(1)).alias("_rows")]
     bounds = F.window("event_ts", duration, slide or duration, offset or "0 seconds")
     out = df.groupBy(*keys, bounds.alias("window")).agg(*exprs)
     if having:
-        out = out.filter(_mean_holds(result(Agg(MEAN), empty=None), having))
+        out = out.filter(_means_hold(lambda a: result(a, empty=None), having))
     return out.select(*keys, "window", *[result(a) for a in aggs])
 
 
@@ -56,8 +56,9 @@ def tumbling_rule(df: DataFrame, rule: Rule, tick_seconds: int = 60, origin_s: i
     offset = f"{origin_s % (rule.size * tick_seconds)} seconds"
     parts = []
     for source in rule.sources:
-        out = windowed(source_rows(df, source), f"{rule.size * tick_seconds} seconds", rule.aggs,
-                       rule.keys, offset=offset, having=rule.having)
+        body = rule.body(source)
+        out = windowed(source_rows(df, source), f"{rule.size * tick_seconds} seconds", body.aggs,
+                       rule.keys, offset=offset, having=body.having)
         fire_offset = rule.size if rule.fire_offset is None else rule.fire_offset
         value = F.col(rule.aggs[0].out) if rule.aggs else F.lit(DEFAULT_VALUE)
         parts.append(out.select(
