@@ -117,14 +117,19 @@ def _binomial_cdf(n: int, p: float) -> tuple[int, list[float]]:
 
 @F.pandas_udf(struct(first=LONG, cdf=T.ArrayType(DOUBLE)))
 def _cdf_udf(family: pd.Series, lam: pd.Series, n: pd.Series, p: pd.Series) -> pd.DataFrame:
+    """Each distinct distribution of a batch is built once."""
+    built: dict[tuple, tuple] = {}
     rows = []
     for name, mean, trials, prob in zip(family, lam, n, p):
         if name == "poisson" and 0 < mean < POISSON_EXACT_BELOW:
-            rows.append(_poisson_cdf(mean))
+            key, build = (name, mean), lambda: _poisson_cdf(mean)
         elif name == "binomial" and trials == trials and prob == prob:
-            rows.append(_binomial_cdf(int(trials), prob))
+            key, build = (name, int(trials), prob), lambda: _binomial_cdf(int(trials), prob)
         else:
-            rows.append((None, None))
+            key, build = None, lambda: (None, None)
+        if key not in built:
+            built[key] = build()
+        rows.append(built[key])
     return pd.DataFrame(rows, columns=["first", "cdf"])
 
 

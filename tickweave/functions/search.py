@@ -3,16 +3,27 @@
 from pyspark.sql import Column, functions as F
 
 
+_STEP_BITS = (4, 8, 12)     # arrays below these sizes (as powers of two) need that many steps only
+
+
 def rank_in_sorted(array: Column, x: Column, max_size: int) -> Column:
     """Number of leading entries of the ascending ``array`` that are <= ``x``.
 
-    Costs log2(max_size) steps per row where ``size(filter(...))`` would cost the
-    whole array. ``max_size`` must be an upper bound of the array's size.
+    Costs log2(size) steps per row, rounded up to a few lengths, where ``size(filter(...))``
+    would cost the whole array. ``max_size`` must be an upper bound of the array's size.
     """
-    steps = [1 << b for b in reversed(range(max(1, max_size).bit_length()))]
+    longest = max(1, max_size).bit_length()
+
+    def steps(bits: int) -> Column:
+        return F.array(*[F.lit(1 << b) for b in reversed(range(bits))])
+
+    chosen = steps(longest)
+    for bits in reversed([b for b in _STEP_BITS if b < longest]):
+        chosen = F.when(F.size(array) < (1 << bits), steps(bits)).otherwise(chosen)
 
-    def advance(pos: Column, step: Column) -> Column:
-        # get() gives null past the end, and null <= x is not true
-        return F.when(F.get(array, pos + step - 1) <= x, pos + step).otherwise(pos)
+    def search(v: Column) -> Column:
+        # get() gives null past the end, and null <= v is not true
+        return F.aggregate(chosen, F.lit(0), lambda pos, step: F.when(F.get(array, pos + step - 1) <= v, pos + step).otherwise(pos))
 
-    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), advance)
+    # as a lambda's variable, x is worked out once instead of at every step
+    return F.get(F.transform(F.array(x), search), F.lit(0))
