@@ -237,3 +237,29 @@ def test_retention(spark, source, tmp_path):
     left = (spark.read.format("statestore").option("path", str(tmp_path / "state")).option("stateVarName", "stored")
             .load().count())
     assert 0 < left <= 3 * (20 + 10 + 25 + 10) and left + out.count() == rows.count()
+
+
+def test_a_step_that_reads_few_readings_does_not_hold_back_the_watermark(spark, tmp_path):
+    """Its filter must not slip below the watermark, or the last readings of the stream would not count."""
+    src = str(tmp_path / "src")
+    rows = [(i, "sensor_reading", t, "a", m, 30.0 * (i % 2), "NORMAL") for i, (t, m) in enumerate([(10, "m"), (90, "m"), (100, "n")])]
+    spark.createDataFrame(rows, FIELDS).coalesce(1).write.parquet(src)
+    s = stream(spark, src, "5 minutes").where("measure_name = 'm'")
+    assert sorted(r.tick for r in run(spark, st.deadband(s, 5.0, KEYS), tmp_path).collect()) == [10, 90]
+
+
+def test_many_keys_share_the_groups_of_the_state(spark, tmp_path):
+    """A group per key would cost calls and frames for each; a missing value is not delivered."""
+    from tickweave.streaming.buckets import BUCKETS
+    st.configure(spark)
+    n, src = 2 * BUCKETS, str(tmp_path / "src")
+    rows = spark.range(2 * n).select(
+        F.col("id").alias("event_id"), F.lit("sensor_reading").alias("event_type"), F.floor(F.col("id") / n * 50).cast("bigint").alias("tick"),
+        (F.col("id") % n).cast("string").alias("device_id"), F.lit("m").alias("measure_name"),
+        F.when(F.col("id") % 5 > 0, F.floor(F.col("id") / n) * 10.0).cast("double").alias("value"), F.lit("NORMAL").alias("tier"))
+    rows.coalesce(1).write.parquet(src)
+    got = sorted((r.device_id, r.event_id) for r in run(spark, st.deadband(stream(spark, src, "10 minutes"), 5.0, KEYS), tmp_path).collect())
+    want = sorted((r.device_id, r.event_id) for r in deadband(rows, 5.0, keys=KEYS).collect() if r.tick < 99 - 10)
+    assert got == want and len(got) > n
+    held = spark.read.format("statestore").option("path", str(tmp_path / "state")).option("stateVarName", "held").load()
+    assert 0 < held.count() <= BUCKETS

@@ -25,14 +25,17 @@ from itertools import count
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessorHandle
 
 from tickweave.operators.aggregates import DEFAULT_VALUE, Agg
 from tickweave.plans.rules import (
     Body, Rule, RuleSet, fired, source_rows, tumbling_branches, windowless,
 )
 from tickweave.schemas import DOUBLE, LONG
+from tickweave.streaming.buckets import InBuckets, by_bucket
 
 _COMBINE = {"sum": np.add, "count": np.add, "min": np.minimum, "max": np.maximum, "last": np.maximum}
 _NOTHING = {"sum": 0.0, "count": 0.0, "min": np.inf, "max": -np.inf, "last": -1.0}
@@ -95,114 +98,104 @@ def finished(agg: Agg, states: dict[str, np.ndarray], values: np.ndarray) -> np.
     return out
 
 
-class _RowWindows(StatefulProcessor):
-    """The aggregates of a sliding, last-N or landmark rule at every reading, in (tick, event_id) order."""
+class _RowWindows(InBuckets):
+    """The aggregates of a sliding, last-N or landmark rule at every reading, in (tick, event_id) order.
+
+    All keys of a bucket are worked on together: a block of rows never goes over a key's end.
+    """
 
     def __init__(self, rule: Rule, body: Body, start: int):
         self.keys, self.window, self.size, self.start = list(rule.keys), rule.window, rule.size, start
         self.aggs = [*body.private, *body.means]
         self.inputs = list(dict.fromkeys(a.input for a in self.aggs))
-        self.columns = ["event_ms", "tick", "event_id", *self.inputs]
-
-    def rows_type(self) -> T.StructType:
-        return T.StructType([T.StructField(c, LONG if i < 3 else DOUBLE) for i, c in enumerate(self.columns)])
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.held = handle.getListState("held", self.rows_type())
-        # rows that later windows still see, or, for a landmark, one row with the totals so far
-        self.past = handle.getListState("past", self.rows_type())
-        self.totals = handle.getValueState("totals", T.StructType(
-            [T.StructField(f"{kind}_{i}", DOUBLE) for i in range(len(self.inputs)) for kind in _COMBINE]))
-
-    def _table(self, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=self.columns).astype({c: float for c in self.inputs})
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        fresh = []
-        for frame in rows:
-            fresh += [tuple(r) for r in frame[self.columns].astype(object).where(frame[self.columns].notna(), None)
-                      .itertuples(index=False)]
-        if fresh:
-            self.held.appendList(fresh)
-            self.handle.registerTimer(int(min(r[0] for r in fresh)) + 1)
-        yield self._out(key, self._table([]), [])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        mark = timerValues.getCurrentWatermarkInMs()
-        held = list(self.held.get())
-        ready = sorted((r for r in held if r[0] < mark), key=lambda r: (r[1], r[2]))
-        wait = [tuple(r) for r in held if r[0] >= mark]
-        if wait:
-            self.held.put(wait)
-            self.handle.registerTimer(int(min(r[0] for r in wait)) + 1)
+
+    def setup(self, handle: StatefulProcessorHandle) -> None:
+        # rows that a key's later windows still see, or, for a landmark, its totals so far
+        if self.window == "landmark":
+            fields = [T.StructField(f"{kind}_{i}", DOUBLE) for i in range(len(self.inputs)) for kind in _COMBINE]
         else:
-            self.held.clear()
-        if ready:
-            yield self.evaluate(key, self._table(ready))
+            fields = [T.StructField("tick", T.ArrayType(LONG))] + [
+                T.StructField(f"value_{i}", T.ArrayType(DOUBLE)) for i in range(len(self.inputs))]
+        self.past = handle.getMapState("past", self.key_type, T.StructType(fields))
 
-    def evaluate(self, key, ready: pd.DataFrame) -> pd.DataFrame:
+    def due(self, ready: pa.Table, wait: pa.Table) -> Iterator[pd.DataFrame]:
         """The due readings with their aggregates; then the state is what later readings need."""
+        rows = list(zip(*[ready[k].to_pylist() for k in self.keys]))
+        starts = [i for i, r in enumerate(rows) if i == 0 or r != rows[i - 1]]
+        owners = [rows[i] for i in starts]
+        owner = np.repeat(np.arange(len(starts)), np.diff([*starts, len(rows)]))
+        tick = ready["tick"].to_numpy()
+        values = {c: pc.fill_null(ready[c], np.nan).to_numpy() for c in self.inputs}
         if self.window == "landmark":
-            return self._landmark(key, ready)
-        past = self._table(list(self.past.get()))
-        rows = pd.concat([past, ready], ignore_index=True)
-        tick, place = rows["tick"].to_numpy(), np.arange(len(past), len(rows))
-        if self.window == "rows":
-            block = np.arange(len(rows)) // self.size
-            first, last = np.maximum(place - self.size + 1, 0), place
-            keep = rows.iloc[len(rows) - min(len(rows), self.size - 1):]
+            results, fires = self._landmark(owners, owner, tick, values), slice(None)
         else:
-            block = tick // self.size
-            last = np.searchsorted(tick, tick[place], "right") - 1          # peers of a tick see each other
-            first = np.searchsorted(tick, tick[place] - self.size, "right")
-            keep = rows[tick > tick[-1] + 1 - self.size]
-        if len(keep):
-            self.past.put([tuple(r) for r in keep.astype(object).where(keep.notna(), None).itertuples(index=False)])
+            results = self._windows(owners, owner, tick, values)
+            fires = tick - self.start >= self.size if self.window == "sliding" else slice(None)
+        out = {k: pd.Series(ready[k].to_pylist(), dtype=object)[fires] for k in self.keys}
+        out |= {c: ready[c].to_numpy()[fires] for c in ("tick", "event_id")}
+        yield pd.DataFrame(out | {a.out: r[fires] for a, r in zip(self.aggs, results)})
+
+    def _windows(self, owners: list[tuple], owner: np.ndarray, tick: np.ndarray, values: dict) -> list[np.ndarray]:
+        past = [self.past.getValue(key) for key in owners]
+        seen = [len(p[0]) if p else 0 for p in past]
+        earlier = [p for p in past if p]
+        # a key's past rows come right before its due ones
+        owner = np.concatenate((np.repeat(np.arange(len(owners)), seen), owner))
+        order = np.argsort(owner, kind="stable")
+        owner, fresh = owner[order], order >= sum(seen)
+        tick = np.concatenate([*[np.array(p[0], np.int64) for p in earlier], tick])[order]
+        values = {c: np.concatenate([*[np.array(p[i + 1], float) for p in earlier], values[c]])[order]
+                  for i, c in enumerate(self.inputs)}
+        begin = np.searchsorted(owner, np.arange(len(owners) + 1))
+        place = np.flatnonzero(fresh)
+        if self.window == "rows":
+            number = np.arange(len(owner)) - begin[owner]
+            block, last = number // self.size, place
+            first = np.maximum(place - self.size + 1, begin[owner[place]])
+            keep = np.arange(len(owner)) >= begin[owner + 1] - (self.size - 1)
         else:
-            self.past.clear()
-        values = {c: rows[c].to_numpy() for c in self.inputs}
-        results = [finished(a, {k: window_states(k, values[a.input], block, first, last) for k in _STATES[a.func]},
-                            values[a.input]) for a in self.aggs]
-        if self.window == "sliding":
-            fires = ready["tick"].to_numpy() - self.start >= self.size
-            return self._out(key, ready[fires], [x[fires] for x in results])
-        return self._out(key, ready, results)
-
-    def _landmark(self, key, ready: pd.DataFrame) -> pd.DataFrame:
-        tick = ready["tick"].to_numpy()
-        last = np.searchsorted(tick, tick, "right") - 1
-        before = list(self.totals.get()) if self.totals.exists() else None
-        whole, after, each = np.zeros(len(tick), np.int64), [], {}
+            block = tick // self.size - int(tick.min()) // self.size
+            at = owner * (int(tick.max() - tick.min()) + self.size + 1) + tick      # windows of two keys lie apart
+            last = np.searchsorted(at, at[place], "right") - 1          # peers of a tick see each other
+            first = np.searchsorted(at, at[place] - self.size, "right")
+            keep = tick > tick[begin[owner + 1] - 1] + 1 - self.size
+        block = owner * (int(block.max()) + 1) + block
+        for i, key in enumerate(owners):
+            part = slice(begin[i], begin[i + 1])
+            kept = keep[part]
+            if kept.any():
+                self.past.updateValue(key, tuple(x[part][kept].tolist() for x in (tick, *[values[c] for c in self.inputs])))
+            elif past[i]:
+                self.past.removeKey(key)
+        return [finished(a, {k: window_states(k, values[a.input], block, first, last) for k in _STATES[a.func]},
+                         values[a.input]) for a in self.aggs]
+
+    def _landmark(self, owners: list[tuple], owner: np.ndarray, tick: np.ndarray, values: dict) -> list[np.ndarray]:
+        at = owner * (int(tick.max() - tick.min()) + 1) + tick
+        last = np.searchsorted(at, at, "right") - 1
+        ends = np.searchsorted(owner, np.arange(len(owners)), "right") - 1
+        nothing = [np.nan if kind == "last" else _NOTHING[kind] for _ in self.inputs for kind in _COMBINE]
+        before = np.array([self.past.getValue(key) or nothing for key in owners], float)
+        after, each = [], {}
         for i, column in enumerate(self.inputs):
-            values = ready[column].to_numpy()
-            carried = before[i * len(_COMBINE):(i + 1) * len(_COMBINE)] if before else [
-                np.nan if kind == "last" else _NOTHING[kind] for kind in _COMBINE]
             each[column] = {}
-            for kind, old in zip(_COMBINE, carried):
-                state = running(_state(kind, values), whole, _COMBINE[kind])
+            for j, kind in enumerate(_COMBINE):
+                old = before[:, i * len(_COMBINE) + j][owner]
+                state = running(_state(kind, values[column]), owner, _COMBINE[kind])
                 if kind == "last":      # here the value itself, as its row does not stay
-                    state = np.where(state >= 0, values[state.astype(np.int64)], old)
+                    state = np.where(state >= 0, values[column][state.astype(np.int64)], old)
                 else:
                     state = _COMBINE[kind](state, old)
                 each[column][kind] = state[last]
-                after.append(float(state[-1]))
-        self.totals.update(tuple(after))
+                after.append(state[ends])
+        for key, totals in zip(owners, np.array(after).T.tolist()):
+            self.past.updateValue(key, tuple(totals))
 
         def value(a: Agg):
             s = each[a.input]
             return np.where(np.isnan(s["last"]), DEFAULT_VALUE, s["last"]) if a.func == "last" else finished(a, s, s["sum"])
 
-        return self._out(key, ready, [value(a) for a in self.aggs])
-
-    def _out(self, key, rows: pd.DataFrame, results: list[np.ndarray]) -> pd.DataFrame:
-        out = {k: pd.Series([v] * len(rows), dtype=object) for k, v in zip(self.keys, key)}
-        out |= {c: rows[c].to_numpy(np.int64) for c in ("tick", "event_id")}
-        out |= {a.out: results[i] if results else np.zeros(0) for i, a in enumerate(self.aggs)}
-        return pd.DataFrame(out)
-
-    def close(self) -> None:
-        pass
+        return [value(a) for a in self.aggs]
 
 
 def row_windows(rows: DataFrame, rule: Rule, body: Body, start: int = 0, copy: int = 0) -> DataFrame:
@@ -213,10 +206,9 @@ def row_windows(rows: DataFrame, rule: Rule, body: Body, start: int = 0, copy: i
     run = _RowWindows(rule, body, start)
     slim = rows.select(*rule.keys, "tick", "event_id", *[F.col(c).cast("double").alias(c) for c in run.inputs], "event_ts",
                        F.unix_millis("event_ts").alias("event_ms"), F.lit(copy).alias("_copy"))
-    schema = T.StructType([rows.schema[k] for k in rule.keys] + [T.StructField("tick", LONG), T.StructField("event_id", LONG)]
+    fields = T.StructType([T.StructField("tick", LONG), T.StructField("event_id", LONG)]
                           + [T.StructField(a.out, DOUBLE) for a in run.aggs])
-    return slim.groupBy(*rule.keys).transformWithStateInPandas(
-        statefulProcessor=run, outputStructType=schema, outputMode="append", timeMode="EventTime")
+    return by_bucket(slim, rule.keys, run, fields)
 
 
 def check_order(rules: Sequence[Rule]) -> None:

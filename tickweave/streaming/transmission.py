@@ -7,20 +7,24 @@ The held-back list is bounded by the rate of a key times the watermark's delay.
 """
 
 from collections.abc import Iterator, Sequence
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessorHandle
 
 from tickweave.functions.scalars import interval_ticks
 from tickweave.operators.transmit import INITIAL_VALUE, LOST, SENT, SUPPRESSED, periodic, survives
 from tickweave.schemas import BOOL, DOUBLE, LONG, STR, TIER_NAMES, struct
+from tickweave.streaming.buckets import InBuckets, OfKey, by_bucket
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 _HELD = struct(event_ms=LONG, tick=LONG, event_id=LONG, value=DOUBLE, survive=BOOL)
 _ONE_VALUE = struct(value=DOUBLE)
+_VALUES = struct(values=T.ArrayType(DOUBLE))
 _SENT_FIELDS = struct(tick=LONG, event_id=LONG, value=DOUBLE)
 _MEAN_FIELDS = struct(tick=LONG, event_id=LONG, mean_value=DOUBLE)
 _PROFILE_FIELDS = struct(mode=STR, threshold=DOUBLE)
@@ -35,46 +39,24 @@ def configure(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
 
-class _InOrder(StatefulProcessor):
-    """Hold readings back until the watermark passes them, then fold them in order."""
+class _InOrder(InBuckets):
+    """Fold each key's readings in order, once the watermark has passed them."""
 
     def __init__(self, key_names: Sequence[str]):
         self.key_names = list(key_names)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.held = handle.getListState("held", _HELD)
-        self.setup(handle)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        fresh = []
-        for pdf in rows:
-            fresh += [tuple(r) for r in pdf[_HELD.names].astype(object).itertuples(index=False)]
-        if fresh:
-            self.held.appendList(fresh)
-            # one timer for the oldest reading; it sets the next one when it fires
-            self.handle.registerTimer(int(min(r[0] for r in fresh)) + 1)
-        yield pd.DataFrame(columns=self.columns(), dtype=object)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        mark = timerValues.getCurrentWatermarkInMs()
-        held = sorted(self.held.get(), key=lambda r: (r[1], r[2]))
-        ready = [r for r in held if r[0] < mark]
-        wait = [r for r in held if r[0] >= mark]
-        if wait:
-            self.held.put([tuple(r) for r in wait])
-            self.handle.registerTimer(int(min(r[0] for r in wait)) + 1)
-        else:
-            self.held.clear()
-        out = self.fold(ready)
+    def due(self, ready: pa.Table, wait: pa.Table) -> Iterator[pd.DataFrame]:
+        columns = [ready[c].to_pylist() for c in (*self.key_names, *_HELD.names)]
+        n, out = len(self.key_names), []
+        for key, rows in groupby(zip(*columns), key=lambda r: r[:n]):
+            self.key = key
+            out += [(*key, *r) for r in self.fold([r[n:] for r in rows])]
         # object columns: pandas' own string columns may not convert to one Arrow array
-        yield pd.DataFrame([(*key, *r) for r in out], columns=self.columns(), dtype=object)
+        yield pd.DataFrame(out, columns=self.columns(), dtype=object)
 
-    def close(self) -> None:
-        pass
-
-    def setup(self, handle) -> None:
-        raise NotImplementedError
+    def of_key(self, handle: StatefulProcessorHandle, name: str, value: T.StructType, many: bool = False) -> OfKey:
+        """A state of each key, for ``fold``."""
+        return OfKey(handle.getMapState(name, self.key_type, value), lambda: self.key, many)
 
     def fold(self, rows: list) -> list[tuple]:
         raise NotImplementedError
@@ -91,10 +73,10 @@ class _Gate(_InOrder):
         self.mode, self.threshold = mode, threshold
 
     def setup(self, handle) -> None:
-        self.last = handle.getValueState("last", _ONE_VALUE)
+        self.last = self.of_key(handle, "last", _ONE_VALUE)
 
     def fold(self, rows):
-        stored = self.last.get() if self.last.exists() else None
+        stored = self.last.get()
         last, out = (stored[0] if stored else None), []
         for _, tick, event_id, value, survive in rows:
             if value is None or not survive:
@@ -120,7 +102,7 @@ class _Rows(_InOrder):
         self.n = n
 
     def setup(self, handle) -> None:
-        self.recent = handle.getListState("recent", _ONE_VALUE)
+        self.recent = self.of_key(handle, "recent", _VALUES, many=True)
 
     def columns(self):
         return [*self.key_names, "tick", "event_id", "mean_value"]
@@ -143,13 +125,13 @@ class _Moves(_InOrder):
     """Tier changes: the value column carries the tier's number."""
 
     def setup(self, handle) -> None:
-        self.last = handle.getValueState("last", _ONE_VALUE)
+        self.last = self.of_key(handle, "last", _ONE_VALUE)
 
     def columns(self):
         return [*self.key_names, "tick", "event_id", "from_value", "to_value"]
 
     def fold(self, rows):
-        stored = self.last.get() if self.last.exists() else None
+        stored = self.last.get()
         last, out = (stored[0] if stored else 0.0), []
         for _, tick, event_id, value, _ in rows:
             if value != last:
@@ -192,25 +174,23 @@ def thinned(value: np.ndarray, ok: np.ndarray, mode: str, threshold: float, last
 
 
 class _Declared(_InOrder):
-    """Label a key's readings by its profile, which is state beside the last delivered value."""
+    """Label a key's readings by its profile, that of its latest reading so far."""
 
     def setup(self, handle) -> None:
-        self.profile = handle.getValueState("profile", _PROFILE_FIELDS)
-        self.last = handle.getValueState("last", _ONE_VALUE)
+        self.last = self.of_key(handle, "last", _ONE_VALUE)
 
-    def handleInputRows(self, key, rows, timerValues):
-        frames = list(rows)
-        newest = max((f.loc[f["event_ms"].idxmax()] for f in frames if len(f)), key=lambda r: r["event_ms"], default=None)
-        if newest is not None:
-            self.profile.update((newest["mode"], float(newest["threshold"])))
-        yield from super().handleInputRows(key, iter(frames), timerValues)
+    def due(self, ready, wait):
+        names, n = [*self.key_names, *_PROFILE_FIELDS.names], len(self.key_names)
+        self.profiles = {r[:n]: r[n:] for part in (ready, wait.sort_by("event_ms"))
+                         for r in zip(*[part[c].to_pylist() for c in names])}
+        yield from super().due(ready, wait)
 
     def columns(self):
         return [*self.key_names, "tick", "event_id", "value", "mode", "status"]
 
     def fold(self, rows):
-        mode, threshold = self.profile.get()
-        stored = self.last.get() if self.last.exists() else None
+        mode, threshold = self.profiles[self.key]
+        stored = self.last.get()
         value = np.array([np.nan if r[3] is None else r[3] for r in rows], float)
         ok = np.array([bool(r[4]) for r in rows], bool)
         code, last = thinned(value, ok, mode, threshold, stored[0] if stored else None)
@@ -239,9 +219,7 @@ def transmit(df: DataFrame, ms_per_tick: int, seed: int, start: int = 0,
     slim = stateful.select(
         *keys, "tick", "event_id", F.col("value").cast("double").alias("value"), "event_ts", F.unix_millis("event_ts").alias("event_ms"),
         F.coalesce(ok, F.lit(True)).alias("survive"), "mode", F.coalesce("threshold", F.lit(0.0)).cast("double").alias("threshold"))
-    schema = T.StructType([df.schema[k] for k in keys] + _LABELLED_FIELDS.fields)
-    labelled = slim.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=_Declared(keys), outputStructType=schema, outputMode="append", timeMode="EventTime")
+    labelled = by_bucket(slim, keys, _Declared(keys), _LABELLED_FIELDS)
     return due.unionByName(labelled.select(*names))
 
 
@@ -252,10 +230,7 @@ def _run(df: DataFrame, processor: _InOrder, fields: T.StructType, survive) -> D
         F.unix_millis("event_ts").alias("event_ms"),
         (F.lit(True) if survive is None else survive).alias("survive"),
     )
-    schema = T.StructType([df.schema[k] for k in keys] + fields.fields)
-    return slim.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="EventTime"
-    )
+    return by_bucket(slim, keys, processor, fields)
 
 
 def deadband(df: DataFrame, threshold: float, keys: Sequence[str] = ("device_id", "measure_name"),
