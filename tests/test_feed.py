@@ -62,3 +62,18 @@ def test_a_stream_goes_on_after_a_restart(spark, bound, tmp_path):
     out = spark.read.parquet(str(tmp_path / "out"))
     assert rows_of(out) == rows_of(generate_readings(bound, 2, 131, MS, SEED))
     assert out.where(F.unix_seconds("event_ts") != F.col("tick") * 60).count() == 0
+
+
+def test_readings_are_spread_evenly(spark, bound):
+    """Groups of bindings meet in few tasks; the readings that come of them must not stay there."""
+    many = bound.where("device_id = '1'").drop("device_id", "measure_name", "mode").crossJoin(spark.range(4000).select(
+        F.col("id").cast("string").alias("device_id"), F.lit("m").alias("measure_name"), F.lit("ON_CHANGE").alias("mode")))
+    sizes = [r["count"] for r in feed(spark, many, SEED, 0, 9, MS, groups=8).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 8 and sum(sizes) == 40_000 and max(sizes) < 1.3 * 5_000
+
+
+def test_runs_of_slots_hold_the_same_ticks(spark):
+    spark.dataSource.register(DueSlots)
+    runs = spark.read.format("due_slots").options(first=3, end=63, intervals="20,7", groups=2, run=2).load()
+    got = sorted((r.every, r.slot_group, t) for r in runs.collect() for t in range(r.tick, r.last + 1, r.every))
+    assert got == sorted((e, g, t) for e in (7, 20) for g in range(2) for t in range(3, 64, e)) and runs.count() == 2 * (5 + 2)

@@ -15,12 +15,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from tickweave.functions.scalars import interval_ticks
+from tickweave.operators.generate import GRID_BLOCK
 from tickweave.schemas import LONG, struct
 from tickweave.sources.synthetic import drawn_readings
 
 SLOT_ROWS = 1 << 16         # slots in one Arrow batch
 MAX_INTERVALS = 1000        # intervals with slots of their own
 _SLOTS = struct(every=LONG, slot_group=LONG, tick=LONG)
+_RUNS = struct(every=LONG, slot_group=LONG, tick=LONG, last=LONG)
 
 
 class _Groups(InputPartition):
@@ -39,9 +41,13 @@ class _Due:
         self.tasks = max(1, min(self.groups, get("tasks", self.groups)))
         self.end = get("end", -1) if "end" in options else None
         self.origin_ms, self.ms_per_tick = 1000 * get("origin_s", 0), get("ms_per_tick", 60_000)
+        self.run = get("run", 1)
         self.intervals = sorted({int(x) for x in options.get("intervals", "1").split(",")})
         if self.intervals[0] < 1:
             raise ValueError("an interval has one tick at least")
+        if self.run < 1:
+            raise ValueError("a run has one slot at least")
+        self.names = (_RUNS if "run" in options else _SLOTS).names
 
     def over(self, start: int, stop: int) -> list[_Groups]:
         if start >= stop:
@@ -53,12 +59,14 @@ class _Due:
         start, stop = partition.ticks
         for every in self.intervals:
             due = self.first + -(-(start - self.first) // every) * every      # the first one not before start
+            final, step = stop - 1 - (stop - 1 - due) % every, every * self.run
             while due < stop:
-                ticks = np.arange(due, min(stop, due + every * SLOT_ROWS), every, dtype=np.int64)
+                ticks = np.arange(due, min(stop, due + step * SLOT_ROWS), step, dtype=np.int64)
+                ends = np.minimum(ticks + (step - every), final)
                 for group in range(*partition.groups):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(ticks), x, np.int64)) for x in (every, group)] + [pa.array(ticks)], _SLOTS.names)
-                due += every * SLOT_ROWS
+                    row = [pa.array(np.full(len(ticks), x, np.int64)) for x in (every, group)] + [pa.array(ticks), pa.array(ends)]
+                    yield pa.RecordBatch.from_arrays(row[:len(self.names)], self.names)
+                due += step * SLOT_ROWS
 
 
 class _BatchReader(_Due, DataSourceReader):
@@ -87,7 +95,8 @@ class DueSlots(DataSource):
 
     Options: ``first`` (the tick from which intervals count), ``end`` (inclusive; a stream
     without it follows the clock), ``intervals`` (comma-separated ticks), ``groups``,
-    ``tasks``, ``origin_s``, ``ms_per_tick``.
+    ``tasks``, ``origin_s``, ``ms_per_tick``. With ``run``, a row is a run of up to that
+    many due slots from ``tick`` to ``last``, ``every`` ticks apart.
     """
 
     @classmethod
@@ -95,7 +104,7 @@ class DueSlots(DataSource):
         return "due_slots"
 
     def schema(self) -> T.StructType:
-        return _SLOTS
+        return _RUNS if "run" in self.options else _SLOTS
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return _BatchReader(self.options)
@@ -126,12 +135,16 @@ def feed(spark: SparkSession, bound: DataFrame, seed: int, first: int = 0, end:
         "slot_group", F.pmod(F.xxhash64("device_id", "measure_name"), F.lit(groups)))
 
     spark.dataSource.register(DueSlots)
-    options = {"first": first, "groups": groups, "origin_s": origin_s, "ms_per_tick": ms_per_tick,
+    options = {"first": first, "groups": groups, "run": GRID_BLOCK, "origin_s": origin_s, "ms_per_tick": ms_per_tick,
                "intervals": ",".join(map(str, {*own, *([1] if others else [])} or {1}))}
     if end is not None:
         options["end"] = end
     slots = (spark.readStream if stream else spark.read).format("due_slots").options(**options).load()
-    grid = slots.join(slotted, ["every", "slot_group"])
+    # bindings meet runs of slots, which are few; only then, dealt to a fixed number of tasks
+    # that AQE must not merge for being small, they grow by up to GRID_BLOCK
+    runs = slots.join(slotted, ["every", "slot_group"]).repartition(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), "device_id", "measure_name", "tick")
+    grid = runs.withColumn("tick", F.explode(F.sequence("tick", "last", "every"))).drop("last")
     if others:
         grid = grid.where(F.pmod(F.col("tick") - first, F.col("_every")) == 0)
     at = F.timestamp_millis(F.lit(1000 * origin_s) + F.col("tick") * ms_per_tick)
