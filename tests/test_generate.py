@@ -186,3 +186,16 @@ def test_events_are_reproducible(deployment, spark):
         assert sorted(map(repr, again.collect())) == first
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_a_clamped_value_is_drawn_once(spark):
+    from tickweave.operators.generate import with_tier, with_value
+    tier = F.struct(F.lit("NORMAL").alias("family"), F.create_map(F.lit("mean"), F.col("id") * 1.0, F.lit("std_dev"), F.lit(1.0)).alias("params"),
+                    F.lit(1.0).alias("probability"))
+    grid = spark.range(10).select(F.col("id").cast("string").alias("device_id"), F.lit("m").alias("measure_name"), F.col("id").alias("tick"),
+                                  tier.alias("normal"), tier.alias("above"), tier.alias("below"), F.lit(0.0).alias("range_min"),
+                                  F.lit(9.0).alias("range_max"))
+    for t in ("normal", "above", "below"):
+        grid = grid.withColumn(f"{t}_cdf", F.lit(None).cast("struct<first:bigint,cdf:array<double>>"))
+    plan = with_value(with_tier(grid, 1), 1, families={"normal": lambda d: d.param("mean") + d.z})
+    assert plan._jdf.queryExecution().optimizedPlan().toString().upper().count("COS(") == 1

@@ -118,8 +118,8 @@ def gen_clamped(spark, sf_dir):
     params = F.create_map(F.lit("mean"), _mean().cast("double"), F.lit("std_dev"), _spread().cast("double"))
     grid = _grid(spark, sf_dir, params=params)
     grid = grid.withColumn("bits", digest(SEED, KEYS, "value"))
-    value = sample_value(F.lit("NORMAL"), value_draw(F.col("params"), F.col("bits")))
-    return grid.select("device_id", "measure_name", "tick", r4(clamp(value, F.lit(1.0), F.lit(60.0))).alias("value"))
+    grid = grid.withColumn("drawn", sample_value(F.lit("NORMAL"), value_draw(F.col("params"), F.col("bits"))))
+    return grid.select("device_id", "measure_name", "tick", r4(clamp(F.col("drawn"), F.lit(1.0), F.lit(60.0))).alias("value"))
 
 
 def _bound(spark, sf_dir):

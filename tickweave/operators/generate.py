@@ -118,10 +118,12 @@ def with_value(grid: DataFrame, seed: int, keys: Sequence[str] = KEYS,
         {"_spec": pick(""), "_cdf": pick("_cdf"), "_bits": digest(seed, keys, "value")}
     )
     draw = value_draw(F.col("_spec.params"), F.col("_bits"), F.col("_cdf"))
-    drawn = clamp(sample_value(F.col("_spec.family"), draw, families), F.col("range_min"), F.col("range_max"))
+    # a column of its own: clamping names the value twice, and it would be drawn twice
+    grid = grid.withColumn("_value", F.when(F.col("_declared"), sample_value(F.col("_spec.family"), draw, families)))
+    drawn = clamp(F.col("_value"), F.col("range_min"), F.col("range_max"))
     return grid.withColumn(
         "value", F.when(F.col("_declared"), drawn).otherwise(F.lit(0.0))
-    ).drop("_spec", "_cdf", "_bits", "_drawn", "_declared")
+    ).drop("_spec", "_cdf", "_bits", "_drawn", "_declared", "_value")
 
 
 def value_draw(params: Column, bits: Column, cdf: Column | None = None) -> Draw:
