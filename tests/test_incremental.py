@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tickweave.functions.scalars import exact_mean
 from tickweave.operators.conformance import conformance, observed_stats
 from tickweave.operators.incremental import appended, finished, merged, moves, statistics, stretch_columns, verdicts
 from tickweave.operators.segments import plan_segments
@@ -70,6 +71,35 @@ def test_histories_append(spark):
     assert {r["device_id"]: r["stretch"] for r in got.collect()}["a"] == 275
 
 
+def test_means_go_by_no_order(spark):
+    """Two-decimal readings whose plain sums differ in the last bit with the order; an exact sum has one value."""
+    rng = random.Random(3)
+    data = [(i, rng.randrange(200), f"d{i % 150}", "m", round(rng.expovariate(0.02), 2), "NORMAL") for i in range(2000)]
+    want = {}
+    for r in data:
+        want.setdefault(r[2], []).append(r[4])
+    want = {device: math.fsum(values) / len(values) for device, values in want.items()}
+    df = spark.createDataFrame(data, FIELDS).repartition(7)
+    batch = observed_stats(df, KEYS, *map(F.lit, BOUNDS))
+    assert {r["device_id"]: r["observed_mean"] for r in batch.collect()} == want
+    for length in (7, 60):
+        parts = summarised(df, length)
+        early, late = (merged(parts.where(c), KEYS) for c in ("stretch < 90", "stretch >= 90"))
+        for got in (merged(parts, KEYS), appended(early, late, KEYS)):
+            assert {r["device_id"]: r["mean"] for r in got.collect()} == want
+
+
+def test_mean_of_odd_values(spark):
+    """Values beyond the exact range, infinite, missing or not a number mean what they always did."""
+    inf, nan = math.inf, math.nan
+    cases = {"wide": [1e300, -1e300, 6.0], "big": [2.0**40, 2.0**40 + 1], "inf": [1.0, inf], "nan": [1.0, nan], "none": [None, None],
+             "some": [None, 0.25]}
+    df = spark.createDataFrame([(k, v) for k, values in cases.items() for v in values], "k string, value double")
+    got = {r["k"]: r["m"] for r in df.coalesce(1).groupBy("k").agg(exact_mean(F.col("value")).alias("m")).collect()}
+    assert math.isnan(got.pop("nan"))
+    assert got == {"wide": 2.0, "big": 2.0**40 + 0.5, "inf": inf, "none": None, "some": 0.25}
+
+
 def test_no_readings(spark):
     empty = summarised(spark.createDataFrame([], FIELDS))
     assert appended(merged(empty, KEYS), merged(empty, KEYS), KEYS).count() == 0

@@ -46,3 +46,21 @@ def profile_key(device_class: Column, measure: Column, zone_id: Column) -> Colum
 def clamp(value: Column, low: Column, high: Column) -> Column:
     """Clamp to a range; a null bound is open (least and greatest skip nulls)."""
     return F.when(value.isNotNull(), F.greatest(low, F.least(high, value)))
+
+
+def exact_sums(v: Column) -> tuple[Column, Column]:
+    """Two aggregates whose total is the sum of ``v``, in whatever order and parts it is added.
+
+    The first adds the values cut to multiples of 2**-20, which is exact as long as it stays
+    below 2**33; the second adds the rest, whose own rounding lies far below the last place
+    of the total. Plain sums differ in the last bit from order to order. Both merge by adding.
+    """
+    grid, cut = F.lit(float(1 << 20)), F.abs(v) < float(1 << 32)
+    coarse = F.when(cut, F.rint(v * grid) / grid).otherwise(v)
+    return F.sum(coarse), F.sum(F.when(cut, v - coarse).otherwise(0.0))
+
+
+def exact_mean(v: Column) -> Column:
+    """The mean of an aggregate's values, the same in any order of addition; null over no values."""
+    coarse, fine = exact_sums(v)
+    return F.try_divide(coarse + fine, F.count(v))

@@ -4,6 +4,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tickweave.functions.scalars import exact_mean
 from tickweave.operators.ordered import with_previous
 from tickweave.operators.segments import Segments
 from tickweave.schemas import TIER_NAMES
@@ -134,7 +135,7 @@ def observed_stats(
     return moved.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_events"),
         F.count(v).alias("n_values"),
-        F.avg(v).alias("observed_mean"),
+        exact_mean(v).alias("observed_mean"),
         F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("observed_std"),
         *[F.count_if(F.col("tier") == t).alias(f"n_{t.lower()}") for t in TIER_NAMES],
         F.count_if(F.col("tier") != F.col("prev_tier")).alias("n_transitions"),
@@ -184,7 +185,7 @@ def _pooled(moved: DataFrame, keys: Sequence[str], value: Column | str) -> DataF
     outside = F.coalesce(v < F.col("range_min"), F.lit(False)) | F.coalesce(v > F.col("range_max"), F.lit(False))
     return moved.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_events"), F.count(v).alias("n_values"),
-        F.avg(v).alias("observed_mean"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("observed_std"),
+        exact_mean(v).alias("observed_mean"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("observed_std"),
         *[F.count_if(F.col("tier") == t).alias(f"n_{t.lower()}") for t in TIER_NAMES],
         F.count_if(F.col("tier") != F.col("prev_tier")).alias("n_transitions"),
         F.count_if(outside).alias("n_out_of_range"),
