@@ -1,19 +1,22 @@
 """Generation: families, tiers, grid, independence of partitioning, and the whole example."""
 
 import math
+import random
 import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
+from tickweave.catalogue import QUERIES
 from tickweave.functions import samplers
 from tickweave.functions.samplers import discrete_cdf, sample_value, with_cdf
 from tickweave.functions.scalars import clamp
+from tickweave.functions.search import rank_in_sorted, with_rank
 from tickweave.functions.uniform import digest, uniform
 from tickweave.operators.conformance import summary
 from tickweave.operators.generate import (
     allocate_classes, chosen_tier, class_counts, make_devices, make_plots, make_zones, plots_per_zone,
-    shuffle_stride, tick_grid, value_draw, with_tier, with_value,
+    shuffle_stride, tick_grid, value_draw, with_draw, with_tier, with_value,
 )
 from tickweave.plans import example_farm as farm
 from tickweave.plans.end_to_end import Deployment, tick_range
@@ -66,6 +69,38 @@ def test_cdf_matches_the_exact_one(spark):
     assert row["first"] == 0 and all(abs(a - b) < 1e-12 for a, b in zip(row["cdf"], want))
 
 
+@pytest.mark.parametrize("max_size", [1, 5, 300])
+def test_rank_by_steps(spark, max_size):
+    """The search in columns finds what the search in a lambda finds, and what counting finds."""
+    rng = random.Random(max_size)
+    data = [(sorted(rng.choice([0.0, 0.25, rng.random()]) for _ in range(rng.randrange(max_size + 1))), rng.choice([0.25, rng.random()]))
+            for _ in range(200)] + [(None, 0.5), ([0.5] * max_size, 0.5), ([0.5] * max_size, None)]
+    df = spark.createDataFrame(data, "a array<double>, x double")
+    out = with_rank(df, "n", F.col("a"), F.col("x"), max_size)
+    assert out.columns == ["a", "x", "n"]
+    out = out.withColumn("m", rank_in_sorted(F.col("a"), F.col("x"), max_size)).collect()
+    for r in out:
+        want = sum(c <= r.x for c in r.a) if r.a is not None and r.x is not None else 0
+        assert r.n == r.m == want
+
+
+@pytest.mark.parametrize("family,params", [("POISSON", {"mean": 8}), ("POISSON", {"mean": 100}), ("BINOMIAL", {"n": 1_000_000, "p": 0.5})])
+def test_draws_in_columns(spark, family, params):
+    spec = with_cdf(spark.createDataFrame([(family, {k: float(v) for k, v in params.items()})],
+                                          "family string, params map<string,double>"))
+    df = spec.crossJoin(spark.range(20_000)).withColumn("bits", digest(7, ["id"], "v"))
+    df, draw = with_draw(df, F.col("params"), F.col("bits"), F.col("cdf"))
+    assert [r.v for r in df.select(sample_value(F.col("family"), draw).alias("v")).collect()] == draws(spark, family, params)
+
+
+@pytest.mark.parametrize("name", ["gen_poisson", "gen_binomial", "gen_profile_readings"])
+def test_readings_are_drawn_in_compiled_code(spark, name):
+    """A lambda would have each reading's projection interpreted."""
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    per_reading = plan[:plan.index("Generate explode")]
+    assert "md5" in per_reading and "lambda" not in per_reading
+
+
 def test_user_family(spark):
     df = spark.createDataFrame([({"a": 3.0},)], "params map<string,double>").withColumn("bits", digest(1, [F.lit("x")], "v"))
     value = sample_value(F.lit("TRIPLE"), value_draw(F.col("params"), F.col("bits")), {"triple": lambda d: d.param("a") * 3})

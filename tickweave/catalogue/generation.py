@@ -11,7 +11,7 @@ from tickweave.functions.uniform import digest, uniform
 from tickweave.operators.binding import bind_devices, bind_profiles
 from tickweave.operators.generate import (
     CROP_TYPES, DEPTHS_CM, KEYS, PLOT_TYPES, SOIL_TYPES, ZONE_TYPES, allocate_classes, chosen_tier, emitted, generate_readings, make_plots, make_zones,
-    name_devices, plots_per_zone, prepare_profiles, tick_grid, value_draw,
+    name_devices, plots_per_zone, prepare_profiles, tick_grid, value_draw, with_draw,
 )
 from tickweave.plans.end_to_end import Deployment
 from tickweave.sources.feed import feed
@@ -40,13 +40,15 @@ def _grid(spark, sf_dir, **columns):
 
 def _drawn(spark, sf_dir, family, **params):
     pairs = [x for k, v in params.items() for x in (F.lit(k), v.cast("double"))]
-    grid = _grid(spark, sf_dir, params=F.create_map(*pairs)) if family not in ("poisson", "binomial") else tick_grid(
-        _bindings(spark, sf_dir).withColumn("params", F.create_map(*pairs)).withColumn(
+    if family not in ("poisson", "binomial"):
+        grid = _grid(spark, sf_dir, params=F.create_map(*pairs)).withColumn("bits", digest(SEED, KEYS, "value"))
+        value = r4(sample_value(F.lit(family), value_draw(F.col("params"), F.col("bits"))))
+    else:
+        grid = tick_grid(_bindings(spark, sf_dir).withColumn("params", F.create_map(*pairs)).withColumn(
             "cdf", discrete_cdf(F.lit(family), F.col("params"))), 0, END, MS_PER_TICK)
-    cdf = F.col("cdf") if "cdf" in grid.columns else None
-    grid = grid.withColumn("bits", digest(SEED, KEYS, "value"))
-    value = sample_value(F.lit(family), value_draw(F.col("params"), F.col("bits"), cdf))
-    return grid.select("device_id", "measure_name", "tick", r4(value).alias("value"))
+        grid, draw = with_draw(grid.withColumn("bits", digest(SEED, KEYS, "value")), F.col("params"), F.col("bits"), F.col("cdf"))
+        value = sample_value(F.lit(family), draw)       # whole numbers, so there is nothing to round
+    return grid.select("device_id", "measure_name", "tick", value.alias("value"))
 
 
 def _sql(value, *ctes, source="grid"):

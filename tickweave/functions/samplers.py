@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tickweave.functions.search import rank_in_sorted
+from tickweave.functions.search import rank_in_sorted, with_rank
 from tickweave.schemas import DOUBLE, LONG, struct
 
 POISSON_EXACT_BELOW = 30.0   # from this mean on, Poisson is drawn as a truncated normal
@@ -28,6 +28,7 @@ class Draw:
     u1: Column      # uniform on (0, 1), safe under a logarithm
     u2: Column      # uniform on [0, 1)
     cdf: Column     # struct(first outcome, ascending CDF); null for continuous families
+    rank: Column | None = None      # u2's rank in the CDF where it was found before, see with_cdf_rank
 
     def param(self, name: str) -> Column:
         return F.try_element_at(self.params, F.lit(name))
@@ -35,7 +36,8 @@ class Draw:
     @property
     def outcome(self) -> Column:
         """Discrete outcome by inverse CDF."""
-        return (self.cdf["first"] + rank_in_sorted(self.cdf["cdf"], self.u2, _CDF_MAX)).cast("double")
+        rank = rank_in_sorted(self.cdf["cdf"], self.u2, _CDF_MAX) if self.rank is None else self.rank
+        return (self.cdf["first"] + rank).cast("double")
 
     @property
     def z(self) -> Column:
@@ -147,3 +149,8 @@ def with_cdf(specs: DataFrame, family: str = "family", params: str = "params",
     built once per spec row, not once per reading.
     """
     return specs.withColumn(out, discrete_cdf(F.col(family), F.col(params)))
+
+
+def with_cdf_rank(df: DataFrame, out: str, cdf: Column, u2: Column) -> DataFrame:
+    """Add the rank of ``u2`` in the CDF, for ``Draw.rank``: the quick way for many rows."""
+    return with_rank(df, out, cdf["cdf"], u2, _CDF_MAX)

@@ -1,6 +1,6 @@
 """Binary search in a sorted array column, inside the JVM."""
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 _STEP_BITS = (4, 8, 12)     # arrays below these sizes (as powers of two) need that many steps only
@@ -27,3 +27,18 @@ def rank_in_sorted(array: Column, x: Column, max_size: int) -> Column:
 
     # as a lambda's variable, x is worked out once instead of at every step
     return F.get(F.transform(F.array(x), search), F.lit(0))
+
+
+def with_rank(df: DataFrame, out: str, array: Column, x: Column, max_size: int) -> DataFrame:
+    """Add ``rank_in_sorted`` as a column, one projection per step of the search.
+
+    The steps are plain expressions, compiled together with what stands around them. The
+    lambda of ``rank_in_sorted`` is interpreted for each row, and so is the whole projection
+    it stands in, so this is the form for many rows.
+    """
+    df = df.withColumns({"_sorted": array, "_sought": x, out: F.lit(0)})
+    for bit in reversed(range(max(1, max_size).bit_length())):
+        ahead = F.col(out) + (1 << bit)
+        # get() gives null past the end, and null <= x is not true
+        df = df.withColumn(out, F.when(F.get("_sorted", ahead - 1) <= F.col("_sought"), ahead).otherwise(F.col(out)))
+    return df.drop("_sorted", "_sought")

@@ -6,11 +6,12 @@ work was split.
 """
 
 from collections.abc import Sequence
+from dataclasses import replace
 from math import gcd
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tickweave.functions.samplers import Draw, discrete_cdf, sample_value
+from tickweave.functions.samplers import Draw, discrete_cdf, sample_value, with_cdf_rank
 from tickweave.functions.scalars import clamp, interval_ticks
 from tickweave.functions.uniform import digest, fraction, uniform
 from tickweave.operators.ordered import with_row_number
@@ -117,13 +118,13 @@ def with_value(grid: DataFrame, seed: int, keys: Sequence[str] = KEYS,
     grid = grid.withColumns(
         {"_spec": pick(""), "_cdf": pick("_cdf"), "_bits": digest(seed, keys, "value")}
     )
-    draw = value_draw(F.col("_spec.params"), F.col("_bits"), F.col("_cdf"))
+    grid, draw = with_draw(grid, F.col("_spec.params"), F.col("_bits"), F.col("_cdf"))
     # a column of its own: clamping names the value twice, and it would be drawn twice
     grid = grid.withColumn("_value", F.when(F.col("_declared"), sample_value(F.col("_spec.family"), draw, families)))
     drawn = clamp(F.col("_value"), F.col("range_min"), F.col("range_max"))
     return grid.withColumn(
         "value", F.when(F.col("_declared"), drawn).otherwise(F.lit(0.0))
-    ).drop("_spec", "_cdf", "_bits", "_drawn", "_declared", "_value")
+    ).drop("_spec", "_cdf", "_bits", "_u2", "_rank", "_drawn", "_declared", "_value")
 
 
 def value_draw(params: Column, bits: Column, cdf: Column | None = None) -> Draw:
@@ -132,6 +133,12 @@ def value_draw(params: Column, bits: Column, cdf: Column | None = None) -> Draw:
     return Draw(params, fraction(bits, 0, open_interval=True), fraction(bits, 1), none if cdf is None else cdf)
 
 
+def with_draw(grid: DataFrame, params: Column, bits: Column, cdf: Column) -> tuple[DataFrame, Draw]:
+    """``value_draw`` for many rows: the second uniform and its rank in the CDF are columns, ``_u2`` and ``_rank``."""
+    grid = with_cdf_rank(grid.withColumn("_u2", fraction(bits, 1)), "_rank", cdf, F.col("_u2"))
+    return grid, replace(value_draw(params, bits, cdf), u2=F.col("_u2"), rank=F.col("_rank"))
+
+
 def generate_readings(bound: DataFrame, start: int, end: int, ms_per_tick: int, seed: int) -> DataFrame:
     """Readings of bound profiles before transmission, values unrounded.
 
