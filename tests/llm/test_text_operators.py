@@ -2,6 +2,7 @@
 
 import itertools
 import re
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickweave.llm import language_id, line_dedup, mixing, near_duplicates, packing, queries, url_filter
-from tickweave.llm.common import code_points, utf8, words
+from tickweave.llm.common import code_points, utf8, words, written
 from tickweave.llm.components import components
 
 SF_DIR = "/root/testdata/sf0.01"
@@ -101,6 +102,17 @@ def test_large_alphabets_keep_every_letter():
     assert best[:4].tolist() == [0, 0, 1, 1] and fits[:4].all()
 
 
+def test_training_takes_little_more_memory_than_its_table():
+    rng = np.random.default_rng(6)
+    letters = [chr(0x3B1 + i) for i in range(17)] + [chr(0x430 + i) for i in range(32)]
+    samples = [(name, "".join(rng.choice(letters, 500))) for name in "abc" for _ in range(40)]
+    tracemalloc.start()
+    model = language_id.train(samples)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.table.nbytes > 12 << 20 and peak < 1.5 * model.table.nbytes
+
+
 def test_training_parts_come_from_the_whole_row(spark):
     ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 3 != 1]
     rows = [(i, "a" * 3000 + "b" * 3000 + "c" * 3000, "en", "s", 9000) for i in ids]
@@ -277,6 +289,20 @@ def targets_by_hand(sizes):
     return target
 
 
+def test_a_round_of_components_reads_its_links_few_times(spark, monkeypatch):
+    """Plans of a round stay small: the driver holds and compiles them."""
+    reads = []
+
+    def counted(df, name):
+        reads.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
+        return written(df, name)
+
+    monkeypatch.setattr("tickweave.llm.components.written", counted)
+    chain = written(spark.range(40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")), "chain")
+    assert {tuple(r) for r in components(chain).collect()} == {(k, 0) for k in range(41)}
+    assert len(reads) > 2 and max(reads) <= 2
+
+
 def test_mix_reaches_targets(spark):
     mixed = queries.op4_mixing(spark, SF_DIR).join(table(spark).select("doc_id", "source"), "doc_id").collect()
     sizes, taken = defaultdict(int), defaultdict(int)

@@ -11,14 +11,20 @@ def _toward_smallest(pairs: DataFrame, larger_only: bool) -> DataFrame:
     near = pairs.join(lowest, "a").withColumn("m", F.least("a", "m"))
     if larger_only:
         return near.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return (near.select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .unionByName(near.select("a", F.col("m").alias("b"))))
+    return _both(near, ("b", "m"), ("a", "m"))
+
+
+def _both(rows: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """Each of the ``pairs`` of columns as a row (``a``, ``b``); the rows are read once, a union would read them twice."""
+    each = F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in pairs])
+    return rows.select(F.explode(each).alias("pair")).select("pair.a", "pair.b")
 
 
 def _is_settled(edges: DataFrame) -> bool:
     """Whether every larger end hangs on one node and that node hangs on none: then that node is its root."""
-    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(
-        edges.select(F.col("b").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
+    mark = lambda node, hangs: F.struct(
+        F.col(node).alias("node"), F.lit(hangs).alias("hangs"), F.lit(1 - hangs).alias("holds"))
+    ends = edges.select(F.explode(F.array(mark("a", 1), mark("b", 0))).alias("end")).select("end.*")
     nodes = ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
     open_nodes = nodes.where((F.col("hangs") > 1) | ((F.col("hangs") == 1) & (F.col("holds") == 1)))
     return open_nodes.agg(F.count("*")).first()[0] == 0
@@ -35,9 +41,8 @@ def components(links: DataFrame) -> DataFrame:
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = written(edges, "links")
     while not _is_settled(edges):
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _toward_smallest(both, True).where("a <> b").distinct()
-        small = _toward_smallest(large, False).where("a <> b").distinct()
+        large = _toward_smallest(_both(edges, ("a", "b"), ("b", "a")), True).where("a <> b").distinct()
+        small = _toward_smallest(written(large, "links"), False).where("a <> b").distinct()
         edges = written(small, "links")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -15,6 +15,7 @@ are columns of the table; arcs of all others are few, so they are kept as sorted
 state and letter and looked up.
 """
 
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,37 +29,69 @@ DOCS_PER_LANGUAGE = 400         # bound of the sample that is learned from
 LETTERS_PER_LANGUAGE = 60_000   # and of its text after normalisation
 LETTERS_PER_DOC, PARTS = 1_000, 4       # a longer row gives so many parts, spread from its start to its end
 DENSE = 250                     # letters with a column in the table
+ROWS_AT_A_TIME = 4096           # of the table, while it is made
 UNFIT_RATE, UNFIT_LETTERS = 0.6, 20     # rejected: over 0.6 phrases a letter, from 20 letters on
 UNDETERMINED = "und"
 
 
-def automaton(text: list[int]) -> list[dict[int, int]]:
-    """Arcs of the suffix automaton of a sequence; state 0 is the start."""
-    arcs, link, length, last = [{}], [-1], [0], 0
-    for c in text:
-        new = len(arcs)
-        arcs.append({})
-        length.append(length[last] + 1)
-        link.append(0)
-        p = last
-        while p >= 0 and c not in arcs[p]:
-            arcs[p][c] = new
-            p = link[p]
-        if p >= 0:
-            q = arcs[p][c]
-            if length[p] + 1 == length[q]:
-                link[new] = q
-            else:
-                twin = len(arcs)
-                arcs.append(dict(arcs[q]))
-                length.append(length[p] + 1)
-                link.append(link[q])
-                link[q] = link[new] = twin
-                while p >= 0 and arcs[p].get(c) == q:
-                    arcs[p][c] = twin
-                    p = link[p]
-        last = new
-    return arcs
+class Automaton:
+    """The suffix automaton of a sequence, as rows of one flat array that is added to; state 0 is the start.
+
+    Letters below ``width`` are columns (-1: no arc), arcs by others are in ``rare``. States
+    count from 0 in each automaton, wherever in ``table`` its rows begin.
+    """
+
+    def __init__(self, table: array, width: int):
+        self.table, self.width, self.begin = table, width, len(table)
+        self.blank = array("i", [-1]) * width
+        self.rare: dict[int, dict[int, int]] = {}
+        self.states = 0
+
+    def add(self, like: int = -1) -> int:
+        """A new state, without arcs or with those of another one."""
+        at = self.begin + like * self.width
+        self.table.extend(self.blank if like < 0 else self.table[at:at + self.width])
+        if like in self.rare:
+            self.rare[self.states] = dict(self.rare[like])
+        self.states += 1
+        return self.states - 1
+
+    def get(self, state: int, c: int) -> int:
+        if c < self.width:
+            return self.table[self.begin + state * self.width + c]
+        return self.rare[state].get(c, -1) if state in self.rare else -1
+
+    def put(self, state: int, c: int, to: int) -> None:
+        if c < self.width:
+            self.table[self.begin + state * self.width + c] = to
+        else:
+            self.rare.setdefault(state, {})[c] = to
+
+    def read(self, text: list[int]) -> None:
+        get, put, add = self.get, self.put, self.add
+        last = add()
+        link, length = array("i", [-1]), array("i", [0])
+        for c in text:
+            new = add()
+            length.append(length[last] + 1)
+            link.append(0)
+            p = last
+            while p >= 0 and get(p, c) < 0:
+                put(p, c, new)
+                p = link[p]
+            if p >= 0:
+                q = get(p, c)
+                if length[p] + 1 == length[q]:
+                    link[new] = q
+                else:
+                    twin = add(q)
+                    length.append(length[p] + 1)
+                    link.append(link[q])
+                    link[q] = link[new] = twin
+                    while p >= 0 and get(p, c) == q:
+                        put(p, c, twin)
+                        p = link[p]
+            last = new
 
 
 @dataclass
@@ -120,49 +153,50 @@ def train(sample: list[tuple[str, str]]) -> Model | None:
         return None
     n_codes, width = len(letters) + 2, min(len(letters), DENSE) + 2
     known = {c: i + 2 for i, c in enumerate(letters)}
-    names, tables, roots, bits, base = [], [], [], [], 0
+    names, roots, bits, sizes, base = [], [], [], [], 0
+    raw = array("i")        # rows of all languages, so that no second copy is needed to join them
     sparse: dict[int, int] = {}
     starts = []
     for language in sorted(texts):
-        codes: list[int] = []
+        codes = array("i")
         for text in texts[language]:
             own = [known[_lower(c)] if c.isalpha() else 0 for c in text]
-            codes += [c for i, c in enumerate(own) if c or (i and own[i - 1])] + [0]
+            codes.extend([c for i, c in enumerate(own) if c or (i and own[i - 1])] + [0])
         codes = codes[:LETTERS_PER_LANGUAGE]
         if not any(codes):
             continue
-        arcs = automaton(codes)
-        start = np.full(width, base, np.int64)
+        arcs = Automaton(raw, width)
+        arcs.read(codes)
         other = np.full(n_codes - width, base, np.int64)
-        for c, to in arcs[0].items():
-            if c < width:
-                start[c] = base + to
-            else:
-                other[c - width] = base + to
-                sparse[base * n_codes + c] = (base + to) * 2 * width + 1
-        rows = np.repeat((start * 2 * width + 1)[None, :], len(arcs), 0)
-        for k, own in enumerate(arcs[1:], 1):
+        for k, own in arcs.rare.items():
             for c, to in own.items():
-                if c < width:
-                    rows[k, c] = (base + to) * 2 * width
-                else:
-                    sparse[(base + k) * n_codes + c] = (base + to) * 2 * width
+                sparse[(base + k) * n_codes + c] = (base + to) * 2 * width + (k == 0)
+        for c, to in arcs.rare.get(0, {}).items():
+            other[c - width] = base + to
         starts.append(other * 2 * width + 1)
         names.append(language)
         roots.append(base * width)
         bits.append(np.log2(max(2, len(codes))))
-        tables.append(rows.astype(np.int32) if rows.max() < 1 << 31 else rows)
-        base += len(arcs)
-        del rows, arcs
+        sizes.append(arcs.states)
+        base += arcs.states
     if not names:
         return None
-    table = np.concatenate(tables).ravel()
-    tables.clear()
-    small = table.astype(np.int32, copy=False) if table.max() < 1 << 31 else table
+    table = np.frombuffer(raw, np.intc)
+    if base * 2 * width >= 1 << 31:
+        table = table.astype(np.int64)
+    first = 0
+    for size in sizes:      # states of one language become cells of the whole table, a stretch of rows at a time
+        rows = table[first * width:(first + size) * width].reshape(size, width)
+        start = (np.maximum(rows[0], 0).astype(table.dtype) + first) * 2 * width + 1
+        for k in range(0, size, ROWS_AT_A_TIME):
+            part = rows[k:k + ROWS_AT_A_TIME]
+            part[:] = np.where(part < 0, start, (part + first) * 2 * width)
+        rows[0] = start
+        first += size
     keys = np.fromiter(sparse, np.int64, len(sparse))
     order = np.argsort(keys)
-    return Model(names, letters, small, np.array(roots, small.dtype), np.array(bits), width, keys[order],
-                 np.fromiter(sparse.values(), small.dtype, len(sparse))[order], np.stack(starts).astype(small.dtype))
+    return Model(names, letters, table, np.array(roots, table.dtype), np.array(bits), width, keys[order],
+                 np.fromiter(sparse.values(), table.dtype, len(sparse))[order], np.stack(starts).astype(table.dtype))
 
 
 def _by_rare_letters(model: Model, cell: np.ndarray, codes: np.ndarray) -> np.ndarray:
