@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import statistics
 
 import pytest
@@ -15,7 +16,7 @@ from tickweave.functions.search import rank_in_sorted, with_rank
 from tickweave.functions.uniform import digest, uniform
 from tickweave.operators.conformance import summary
 from tickweave.operators.generate import (
-    allocate_classes, chosen_tier, class_counts, make_devices, make_plots, make_zones, plots_per_zone,
+    allocate_classes, chosen_tier, class_counts, generate_readings, make_devices, make_plots, make_zones, plots_per_zone, prepare_profiles,
     shuffle_stride, tick_grid, value_draw, with_draw, with_tier, with_value,
 )
 from tickweave.plans import example_farm as farm
@@ -234,3 +235,49 @@ def test_a_clamped_value_is_drawn_once(spark):
         grid = grid.withColumn(f"{t}_cdf", F.lit(None).cast("struct<first:bigint,cdf:array<double>>"))
     plan = with_value(with_tier(grid, 1), 1, families={"normal": lambda d: d.param("mean") + d.z})
     assert plan._jdf.queryExecution().optimizedPlan().toString().upper().count("COS(") == 1
+
+
+def _bound(spark, n=30):
+    """Bindings whose tiers are normal, Poisson and binomial; two without a device, two alike."""
+    tier = lambda family, share, **params: F.struct(
+        F.lit(family).alias("family"), F.create_map(*[F.lit(x) for kv in params.items() for x in kv]).alias("params"), F.lit(share).alias("probability"))
+    device = F.when(F.col("id") > 1, F.greatest("id", F.lit(3)).cast("string"))
+    return prepare_profiles(spark.range(n).select(
+        device.alias("device_id"), F.concat(F.lit("m"), F.col("id") > 9).alias("measure_name"), tier("NORMAL", 0.6, mean=5.0, std_dev=2.0).alias("normal"),
+        tier("POISSON", 0.2, mean=4.0).alias("above"), tier("BINOMIAL", 0.2, n=20.0, p=0.4).alias("below"), F.lit(0.0).alias("range_min"),
+        F.lit(9.0).alias("range_max"), F.lit("ON_CHANGE").alias("mode"), F.lit(None).cast("double").alias("interval_ms"),
+        F.lit(1.0).alias("threshold"), F.lit(0.1).alias("failure")))
+
+
+def test_drawing_fits_methods_that_are_compiled(spark):
+    """The JVM interprets methods of over 8,000 bytes, which made a reading cost six times as much."""
+    from tickweave.operators.segments import Segments
+    from tickweave.operators.transmit import KEYS as BY, ORDER, transmit
+    readings = generate_readings(_bound(spark), 0, 96, 60_000, 42)
+    grown = tick_grid(_bound(spark), 0, 96, 60_000)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for df in (readings, with_value(with_tier(grown, 42), 42), transmit(readings, 60_000, 42, 0, segments=Segments(BY, ORDER))):
+            text = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "codegen")
+            sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+            assert sizes and max(sizes) < 8000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_stems_draw_what_keys_draw(spark):
+    """Also for a missing device; and over several blocks of ticks."""
+    grid = tick_grid(_bound(spark), 0, 50, 60_000, block=7)
+    want = with_value(with_tier(grid, 5), 5).select("device_id", "tick", "tier", "value")
+    got = generate_readings(_bound(spark), 0, 50, 60_000, 5).select("device_id", "tick", "tier", "value")
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert rows(got) == rows(want) and got.where("tier <> 'NORMAL'").count() > 300
+
+
+def test_a_window_over_keys_finds_them_together(spark):
+    """Over a short span the readings of a key are made in one task, and no shuffle of readings follows."""
+    from pyspark.sql import Window
+    by = Window.partitionBy("device_id", "measure_name").orderBy("tick")
+    plan = lambda end: generate_readings(_bound(spark), 0, end, 60_000, 5).withColumn(
+        "n", F.row_number().over(by))._jdf.queryExecution().executedPlan().toString()
+    assert plan(96).count("Exchange hashpartitioning") == 1 and plan(5000).count("Exchange hashpartitioning") == 2

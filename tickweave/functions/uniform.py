@@ -13,12 +13,23 @@ _BITS = 52
 _HEX = _BITS // 4
 
 
+def _parts(seed: int, keys: Sequence[Column | str]) -> list[Column]:
+    return [F.lit(str(seed)), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys]]
+
+
 def digest(seed: int, keys: Sequence[Column | str], draw: str) -> Column:
     """The 128 random bits of a draw, enough for two numbers."""
-    parts = [F.lit(str(seed))]
-    parts += [(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys]
-    parts.append(F.lit(draw))
-    return F.md5(F.concat_ws(":", *parts))
+    return F.md5(F.concat_ws(":", *_parts(seed, keys), F.lit(draw)))
+
+
+def stem(seed: int, keys: Sequence[Column | str]) -> Column:
+    """What the digests of many draws begin with: the seed and the first keys."""
+    return F.concat_ws(":", *_parts(seed, keys))
+
+
+def digest_from(stem: Column, key: Column, draw: str) -> Column:
+    """``digest`` with one more key after those of the stem."""
+    return F.md5(F.concat_ws(":", stem, key.cast("string"), F.lit(draw)))
 
 
 def fraction(bits: Column, part: int = 0, open_interval: bool = False) -> Column:

@@ -13,12 +13,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tickweave.functions.samplers import Draw, discrete_cdf, sample_value, with_cdf_rank
 from tickweave.functions.scalars import clamp, interval_ticks
-from tickweave.functions.uniform import digest, fraction, uniform
+from tickweave.functions.uniform import digest, digest_from, fraction, stem, uniform
 from tickweave.operators.ordered import with_row_number
 from tickweave.operators.segments import Segments
 from tickweave.schemas import TIER_NAMES
 
 KEYS = ("device_id", "measure_name", "tick")
+STEM = "_stem"
 GRID_BLOCK = 4096      # ticks expanded by one task row
 
 # Shares of device classes, and the values resource tables cycle through. Fixed values.
@@ -44,7 +45,8 @@ def tick_grid(bindings: DataFrame, start: int, end: int, ms_per_tick: int,
     PERIODIC bindings are due every interval, all others on every tick. The grid is
     expanded in two steps, first to blocks of ticks, which are spread over the
     cluster, then to ticks, so a few bindings over a long time do not end up in
-    a few tasks.
+    a few tasks. If no binding has more ticks than a block, all ticks of a key (device and
+    measure) are in one task, as a window over them needs it.
     """
     step = F.when(
         F.coalesce("mode", F.lit("PERIODIC")) == "PERIODIC",
@@ -59,7 +61,8 @@ def tick_grid(bindings: DataFrame, start: int, end: int, ms_per_tick: int,
     )
     # a fixed number: the rows are few here but grow by up to ``block`` right after, so AQE
     # must not merge these partitions for being small
-    blocks = blocks.repartition(_parallelism(bindings.sparkSession), "device_id", "measure_name", "_b")
+    dealt_by = ["device_id", "measure_name"] + ["_b"] * (end - start >= block)
+    blocks = blocks.repartition(_parallelism(bindings.sparkSession), *dealt_by)
     first = F.col("_b") * block
     last = F.least(first + block, F.col("_n")) - 1
     return (
@@ -94,9 +97,19 @@ def prepare_profiles(profiles: DataFrame) -> DataFrame:
     return profiles
 
 
+def _digest(grid: DataFrame, seed: int, keys: Sequence[str], draw: str) -> Column:
+    """The digest of a reading, from its binding's stem if the grid has it."""
+    return digest_from(F.col(STEM), F.col("tick"), draw) if STEM in grid.columns else digest(seed, keys, draw)
+
+
+def with_stem(bound: DataFrame, seed: int) -> DataFrame:
+    """Work out once for a binding what the digests of all its readings begin with."""
+    return bound.withColumn(STEM, stem(seed, [k for k in KEYS if k != "tick"]))
+
+
 def with_tier(grid: DataFrame, seed: int, keys: Sequence[str] = KEYS) -> DataFrame:
     """Draw the tier of each reading; an undeclared tier is labelled NORMAL."""
-    u = uniform(seed, keys, "tier")
+    u = fraction(_digest(grid, seed, keys, "tier"))
     grid = grid.withColumn("_drawn", chosen_tier(u, F.col("normal.probability"), F.col("above.probability")))
     declared = F.lit(False)
     for t in TIER_NAMES:
@@ -116,7 +129,7 @@ def with_value(grid: DataFrame, seed: int, keys: Sequence[str] = KEYS,
         F.col("_drawn") == TIER_NAMES[1], F.col(f"above{suffix}")
     ).otherwise(F.col(f"below{suffix}"))
     grid = grid.withColumns(
-        {"_spec": pick(""), "_cdf": pick("_cdf"), "_bits": digest(seed, keys, "value")}
+        {"_spec": pick(""), "_cdf": pick("_cdf"), "_bits": _digest(grid, seed, keys, "value")}
     )
     grid, draw = with_draw(grid, F.col("_spec.params"), F.col("_bits"), F.col("_cdf"))
     # a column of its own: clamping names the value twice, and it would be drawn twice
@@ -146,10 +159,14 @@ def generate_readings(bound: DataFrame, start: int, end: int, ms_per_tick: int,
     ``event_id`` is a hash of the key, unique per (device, measure, tick) for all
     practical purposes and only used to order ties.
     """
-    grid = tick_grid(bound, start, end, ms_per_tick)
+    return drawn_readings(tick_grid(with_stem(bound, seed), start, end, ms_per_tick), seed)
+
+
+def drawn_readings(grid: DataFrame, seed: int) -> DataFrame:
+    """Tier, value and ``event_id`` of each row of a grid of bound profiles and ticks."""
     out = with_value(with_tier(grid, seed), seed)
     return out.withColumn("event_id", F.xxhash64(*KEYS)).drop(
-        *[t.lower() for t in TIER_NAMES], *[f"{t.lower()}_cdf" for t in TIER_NAMES]
+        STEM, *[t.lower() for t in TIER_NAMES], *[f"{t.lower()}_cdf" for t in TIER_NAMES]
     )
 
 

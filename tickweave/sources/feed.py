@@ -15,9 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from tickweave.functions.scalars import interval_ticks
-from tickweave.operators.generate import GRID_BLOCK
+from tickweave.operators.generate import GRID_BLOCK, drawn_readings, with_stem
 from tickweave.schemas import LONG, struct
-from tickweave.sources.synthetic import drawn_readings
 
 SLOT_ROWS = 1 << 16         # slots in one Arrow batch
 MAX_INTERVALS = 1000        # intervals with slots of their own
@@ -131,7 +130,7 @@ def feed(spark: SparkSession, bound: DataFrame, seed: int, first: int = 0, end:
     frequent = timed.groupBy("_every").count().orderBy(F.desc("count"), "_every").limit(max_intervals + 1).collect()
     own = [r["_every"] for r in frequent[:max_intervals]]
     others = len(frequent) > max_intervals
-    slotted = timed.withColumn("every", F.when(F.col("_every").isin(own), F.col("_every")).otherwise(1).cast("bigint")).withColumn(
+    slotted = with_stem(timed, seed).withColumn("every", F.when(F.col("_every").isin(own), F.col("_every")).otherwise(1).cast("bigint")).withColumn(
         "slot_group", F.pmod(F.xxhash64("device_id", "measure_name"), F.lit(groups)))
 
     spark.dataSource.register(DueSlots)

@@ -3,8 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickweave.functions.scalars import interval_ticks
-from tickweave.operators.generate import KEYS, with_tier, with_value
-from tickweave.schemas import TIER_NAMES
+from tickweave.operators.generate import drawn_readings, with_stem
 
 
 def stream_synthetic(spark: SparkSession, bound: DataFrame, seed: int, ticks_per_second: int = 1,
@@ -31,7 +30,7 @@ def readings_at(ticks: DataFrame, bound: DataFrame, seed: int, shards: int | Non
     partitions unless given.
     """
     shards = shards or int(bound.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sharded = bound.withColumn("_shard", F.pmod(F.xxhash64("device_id", "measure_name"), F.lit(shards)))
+    sharded = with_stem(bound, seed).withColumn("_shard", F.pmod(F.xxhash64("device_id", "measure_name"), F.lit(shards)))
     spread = ticks.withColumn("_shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint"))))
     grid = spread.join(sharded, "_shard").drop("_shard")
     if "interval_ms" in bound.columns:
@@ -39,11 +38,3 @@ def readings_at(ticks: DataFrame, bound: DataFrame, seed: int, shards: int | Non
         mode = F.coalesce("mode", F.lit("PERIODIC")) if "mode" in bound.columns else F.lit("PERIODIC")
         grid = grid.where(mode.isin("ON_CHANGE", "ON_THRESHOLD") | (F.pmod("tick", every) == 0))
     return drawn_readings(grid, seed)
-
-
-def drawn_readings(grid: DataFrame, seed: int) -> DataFrame:
-    """Tier, value and ``event_id`` of each row of a grid of bound profiles and ticks."""
-    out = with_value(with_tier(grid, seed), seed)
-    return out.withColumn("event_id", F.xxhash64(*KEYS)).drop(
-        *[t.lower() for t in TIER_NAMES], *[f"{t.lower()}_cdf" for t in TIER_NAMES]
-    )
